@@ -29,6 +29,7 @@ EXCEPTIONS = ("trash can", "trash bin", "trash day", "clown fish", "pond scum",
 
 SAMPLE_DOCS = 40_000
 MAX_TERMS = 400
+MIN_SHARE = 0.01
 PREFIX = (4, 8)
 _FULL = "".join(chr(0xFF41 + i) for i in range(26)), "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,7 +63,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, *, sample_docs: int
     words = F.filter(F.array_distinct("words"), lambda w: F.length(w) >= 3)
     terms = sample.select("toxic", F.array_distinct(F.flatten(F.transform(words, lambda w: F.when(F.length(w) >= lo, F.concat(F.array(F.concat(F.lit(" "), w, F.lit(" "))), begin(w))).otherwise(F.array(F.concat(F.lit(" "), w, F.lit(" "))))))).alias("terms"))
     counted = terms.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
-    counted = checkpoint(counted.where("t > 2"))
+    # copies of a passage make terms of its words; a term has to show in a share of all toxic documents
+    counted = checkpoint(counted.where(F.col("t") >= max(3, math.ceil(MIN_SHARE * n.t))))
     weight = F.log((F.col("t") + 0.5) / (n.t + 1)) - F.log((F.col("c") + 0.5) / (n.c + 1))
     # of many candidates some look toxic by chance: the likelihood ratio against the prior has to beat their number
     prior = n.t / (n.t + n.c)
@@ -70,29 +72,14 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, *, sample_docs: int
     ratio = 2 * (F.col("t") * F.log(F.col("t") / seen / prior) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / seen / (1 - prior))).otherwise(0.0))
     chance = 2 * math.log(1 + counted.count()) + 4
     best = counted.withColumns({"weight": weight, "ratio": ratio}).where((F.col("weight") >= 2.0) & (F.col("ratio") >= chance)).orderBy(F.desc("ratio"), F.length("term"), "term").limit(max_terms).collect()
-    names = [r.term for r in best]
-    held = terms.where("toxic = 1").select(F.array_intersect("terms", F.array(*[F.lit(x) for x in names])).alias("has")).collect() if names else []
-    found = _cover([r.has for r in held], {r.term: (r.c, float(r.weight)) for r in best}, n.t)
+    found: dict[str, float] = {}
+    for r in best:  # a term adds nothing where its beginning is in already, unless it is far surer
+        inner = [x for x in found if r.term.startswith(x)]
+        if not inner or r.weight > max(found[x] for x in inner) + 1.5:
+            found[r.term] = float(r.weight)
     return {"terms": found, "prior": prior} | _calibrate(sample, found, prior)
 
 
-def _cover(held: list[list[str]], terms: dict[str, tuple[int, float]], n_toxic: int) -> dict[str, float]:
-    """The terms that explain toxic documents which no surer term explains; others are company of these, or chance."""
-    left, found = [set(h) for h in held if h], {}
-    while left:
-        count: dict[str, int] = {}
-        for has in left:
-            for term in has:
-                count[term] = count.get(term, 0) + 1
-        gain = {t: n * math.log((n + 0.5) / (n_toxic + 1) * n_toxic / (terms[t][0] + 0.5)) for t, n in count.items() if n >= 3}
-        term = max(gain, key=lambda t: (gain[t], -len(t), t), default=None)
-        if term is None or gain[term] <= 0:
-            break
-        found[term] = terms[term][1]
-        left = [has for has in left if term not in has]
-    return found
-
-
 def _calibrate(sample: DataFrame, terms: dict, prior: float) -> dict:
     """Gain and bias of the logistic score, by Newton steps on counts of the (rounded) raw score; these are few."""
     if not terms:
