@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphledger.llm import chat_prefix, cube_mix, dart_minhash, decontaminate, suffix_dedup, toxicity, vp_search
+from glyphledger.llm import chat_prefix, context_mixing, cube_mix, dart_minhash, decontaminate, suffix_dedup, toxicity, vp_search
 from glyphledger.llm.common import crc_mod5, read
 
 
@@ -14,6 +14,10 @@ def op1_vp_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_search.search(base, F.col("vec_id") % 20 == 0)
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(read(spark, sf_dir, "documents"), crc_mod5("doc_id") == 1)
+
+
 def op3_suffix_array_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark"))
@@ -47,6 +51,6 @@ def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_prefix.read_back(chat_prefix.expand(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_vp_tree_search, op3_suffix_array_leaks, op5_suffix_array_dedup, op6_dart_minhash, op8_lexicon_toxicity, op9_cube_mix, op10_prefix_targets)}
+QUERIES = {f.__name__: f for f in (op1_vp_tree_search, op2_context_mixing, op3_suffix_array_leaks, op5_suffix_array_dedup, op6_dart_minhash, op8_lexicon_toxicity, op9_cube_mix, op10_prefix_targets)}
 
 ORACLE_SQL: dict[str, str] = {}
