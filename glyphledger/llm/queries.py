@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphledger.llm import chat_prefix, context_mixing, cube_mix, dart_minhash, decontaminate, suffix_dedup, toxicity, vp_search
+from glyphledger.llm import chat_prefix, context_mixing, cube_mix, dart_minhash, decontaminate, suffix_dedup, toxicity, vp_search, weak_quality
 from glyphledger.llm.common import crc_mod5, read
 
 
@@ -24,6 +24,11 @@ def op3_suffix_array_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summarize(found.drop("text")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return weak_quality.score(docs, weak_quality.learn(docs))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(read(spark, sf_dir, "documents"))
 
@@ -51,6 +56,6 @@ def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_prefix.read_back(chat_prefix.expand(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_vp_tree_search, op2_context_mixing, op3_suffix_array_leaks, op5_suffix_array_dedup, op6_dart_minhash, op8_lexicon_toxicity, op9_cube_mix, op10_prefix_targets)}
+QUERIES = {f.__name__: f for f in (op1_vp_tree_search, op2_context_mixing, op3_suffix_array_leaks, op4_weak_quality, op5_suffix_array_dedup, op6_dart_minhash, op8_lexicon_toxicity, op9_cube_mix, op10_prefix_targets)}
 
 ORACLE_SQL: dict[str, str] = {}
