@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphledger.llm import chat_prefix, context_mixing, cube_mix, dart_minhash, decontaminate, suffix_dedup, toxicity, vp_search, weak_quality
+from glyphledger.llm import chain_dedup, chat_prefix, context_mixing, cube_mix, dart_minhash, decontaminate, suffix_dedup, toxicity, vp_search, weak_quality
 from glyphledger.llm.common import crc_mod5, read
 
 
@@ -37,6 +37,10 @@ def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.classes(read(spark, sf_dir, "documents"))
 
 
+def op7_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op8_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_mod5("doc_id") == 0
@@ -56,6 +60,6 @@ def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_prefix.read_back(chat_prefix.expand(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_vp_tree_search, op2_context_mixing, op3_suffix_array_leaks, op4_weak_quality, op5_suffix_array_dedup, op6_dart_minhash, op8_lexicon_toxicity, op9_cube_mix, op10_prefix_targets)}
+QUERIES = {f.__name__: f for f in (op1_vp_tree_search, op2_context_mixing, op3_suffix_array_leaks, op4_weak_quality, op5_suffix_array_dedup, op6_dart_minhash, op7_collinear_chains, op8_lexicon_toxicity, op9_cube_mix, op10_prefix_targets)}
 
 ORACLE_SQL: dict[str, str] = {}

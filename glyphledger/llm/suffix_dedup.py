@@ -190,12 +190,13 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -
     Rows whose text is repeated from end to end are left with an empty text.
     """
     names = docs.columns
-    out = _with_spans(docs, length, gram)
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "n_bytes long, n_removed long, n_spans long, kept binary"])
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _cut(batches)
+        for batch in _cut(batches):
+            removed, kept = batch.column(batch.num_columns - 3), batch.column(batch.num_columns - 1)
+            was = batch.column(names.index("text"))
+            text = [k.as_py().decode("utf-8", "ignore") if r.as_py() else w.as_py() for w, r, k in zip(was, removed, kept, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(text, was.type) if c == "text" else batch.column(i) for i, c in enumerate(names)], names=names)
 
-    cut_out = out.select(*names, "spans").mapInArrow(cut, schema)
-    text = F.when(F.col("text").isNull() | (F.col("n_removed") == 0), F.col("text")).otherwise(F.replace(F.decode("kept", F.lit("UTF-8")), F.lit("�"), F.lit("")))
-    return cut_out.withColumn("text", text).select(*names)
+    return _with_spans(docs, length, gram).select(*names, "spans").mapInArrow(cut, schema)
