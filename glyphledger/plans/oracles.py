@@ -185,3 +185,6 @@ SQL["label_envelope"] = "SELECT c_custkey, c_name AS name FROM customer"
 SQL["json_sidecar"] = "SELECT event_id, coalesce(json_extract_string(props, '$.missing'), 'none') AS missing, json_valid(props) AS parsed FROM events"
 SQL["result_json"] = f"SELECT p.k AS form_id, CASE WHEN p.k % 5 = 0 THEN '' ELSE p.person_id END AS person_id, round_even(CAST(p.k % 1000 AS DOUBLE) / 1024, 3) AS confidence, (SELECT count(*) FROM {_ISSUES} AS i WHERE i.form_id = p.k) AS n_issues FROM {DATES} AS p"
 SQL["base64_image"] = "SELECT c_custkey, to_base64(encode(c_name)) AS b64 FROM customer"
+SQL["generated_faults"] = """
+WITH f(i, broken, rule) AS (VALUES (1, 'arithmetic', 'arithmetic'), (2, 'check digit', 'id_mod11:person_id'), (2, 'check digit', 'id_mod11:person_id_p2'), (3, 'birth date', 'birth_date_id'), (4, 'page match', 'page_match'), (5, 'postal length', 'postal_length'), (6, 'tax id length', 'tax_id_length'), (7, 'year range', 'year_range'))
+SELECT broken, rule, count(*) AS n FROM f JOIN customer ON c_custkey % 8 = i GROUP BY broken, rule"""

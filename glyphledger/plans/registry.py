@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphledger.functions import catalog, evidence, text, vision
-from glyphledger.operators import escalate, evaluate, matching, register, repair, rules, tiers
+from glyphledger.operators import escalate, evaluate, generate, matching, register, repair, rules, tiers
 from glyphledger.plans.adapters import adapter
 from glyphledger.sources import files
 
@@ -547,3 +547,25 @@ def homography_fit(spark, sf_dir):
     off = F.when(k % 7 == 0, 40.0).otherwise(0.0)
     pairs = _table(spark, sf_dir, "embeddings").select((k % 4).alias("image"), x.alias("x"), y.alias("y"), (x * 1.1 + 3 + off).alias("u"), (y * 0.9 - 2).alias("v"))
     return vision.fit_homographies(pairs).select("image", "inliers", F.round(F.get("h", 0), 6).alias("scale_x"), F.round(F.get("h", 2), 6).alias("shift_x"))
+
+
+def _generated(spark, sf_dir):
+    """A form for each customer; every kind of fault in turn, and one in eight without."""
+    k = c("c_custkey")
+    broken = F.get(F.array(*map(F.lit, generate.FAULTS)), (k % 8 - 1).cast("int"))
+    specs = _table(spark, sf_dir, "customer").select(k.alias("form_id"), (k % 2 == 0).alias("female"), (k % 5).cast("int").alias("children"), F.when(k % 3 == 0, "all").otherwise("part").alias("months"), broken.alias("broken"))
+    return generate.generate(specs)
+
+
+@query
+def generated_faults(spark, sf_dir):
+    """The rules that generated forms break, by the fault that was put in."""
+    forms = _generated(spark, sf_dir)
+    found = rules.issues(forms).select("form_id", "rule")
+    return found.join(forms.select("form_id", "broken"), "form_id").groupBy("broken", "rule").agg(F.count("*").alias("n"))
+
+
+@query
+def generated_months(spark, sf_dir):
+    forms = _generated(spark, sf_dir).select("form_id", F.size(F.filter("months", lambda m: m)).alias("n"))
+    return forms.select("form_id", (c("n") == 12).alias("all_year"), (c("n") > 0).alias("any_month"))
