@@ -11,10 +11,10 @@ RATIO, MIN_MATCHES = 0.75, 30
 def two_nearest(queries: DataFrame, stock: DataFrame) -> DataFrame:
     """(image, q_id, s_id, d, rank) for descriptors (image, id, bits), compared within an image pair only.
 
-    The number of descriptors of an image is bounded by its detector, so a pair is small; the join is by image.
+    A descriptor is no neighbour of itself, so queries and stock may be one table. The number of descriptors of an image is bounded by its detector, so a pair is small; the join is by image.
     """
     q, s = queries.select("image", F.col("id").alias("q_id"), F.col("bits").alias("q")), stock.select("image", F.col("id").alias("s_id"), F.col("bits").alias("s"))
-    near = q.join(s, "image").select("image", "q_id", "s_id", F.bit_count(F.col("q").bitwiseXOR(F.col("s"))).alias("d"))
+    near = q.join(s, "image").where("q_id <> s_id").select("image", "q_id", "s_id", F.bit_count(F.col("q").bitwiseXOR(F.col("s"))).alias("d"))
     w = Window.partitionBy("image", "q_id").orderBy("d", "s_id")
     return near.withColumn("rank", F.row_number().over(w)).where("rank <= 2")
 

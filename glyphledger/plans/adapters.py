@@ -1,6 +1,7 @@
 """Form-shaped rows from the driver's tables, in SQL that Spark and DuckDB read alike.
 
-All noise is a function of integer keys. `{table}` stands for a table or view, in Spark for a DataFrame.
+All noise is a function of integer keys, and so is which rows lack a label, a page or a register entry: outer and anti
+joins need such rows. Every adapter reads its whole table. `{table}` stands for a table or view, in Spark for a DataFrame.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ FROM {customer}
 SELECT d.doc_id AS form_id, d.source AS field, CASE WHEN d.n_chars > 900 THEN '1' ELSE '0' END AS value, CAST((d.doc_id * 37) % 100 AS DOUBLE) / 100 AS confidence FROM {documents} AS d
 """,
     "reads": """
-SELECT doc_id, w, CASE WHEN doc_id % 41 = 0 THEN '' ELSE substr(text, 1, 8 + 4 * w) END AS text, CAST((doc_id * 13 + w * 29) % 50 AS DOUBLE) / 50 AS score
+SELECT doc_id, w, lang, CASE WHEN doc_id % 41 = 0 THEN '' WHEN w = 0 THEN text WHEN w = 1 THEN replace(text, 'a', 'o') ELSE replace(text, 'e', 'c') END AS text, CAST((doc_id * 13 + w * 29) % 50 AS DOUBLE) / 50 AS score
 FROM {documents} CROSS JOIN (SELECT 0 AS w UNION ALL SELECT 1 AS w UNION ALL SELECT 2 AS w) AS widths
 """,
     "answers": """

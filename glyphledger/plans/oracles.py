@@ -52,7 +52,7 @@ WITH words AS (SELECT p_partkey, unnest(string_split({_fold('p_name')}, ' ')) AS
 judged AS (SELECT p_partkey, length(w) < 2 OR contains(r, w) OR contains(h, w) OR contains(h, substr(w, 2)) OR contains(h, substr(w, 1, length(w) - 1)) OR (length(w) >= 4 AND ({_NEAR})) AS ok FROM words)
 SELECT p_partkey, bool_and(ok) AS agrees FROM judged GROUP BY p_partkey"""
 SQL["rule_page_match"] = f"SELECT k, raw <> '' AND raw <> ten AS differs FROM {IDS} AS t"
-SQL["name_score"] = f"SELECT doc_id, w, least(score, 0.5) AS score, trim(substr(text, 1, 4) || ' ' || substr(text, 5, 3), ' ') AS joined FROM {READS} AS t"
+SQL["name_score"] = f"SELECT doc_id, w, least(score, 0.5) AS score, trim(text || ' ' || lang, ' ') AS joined FROM {READS} AS t"
 SQL["alphabet_filter"] = f"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^{ALPHABET}]', ' ', 'g'), ' +', ' ', 'g'), ' ') AS kept FROM documents"
 _CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
 SQL["truncate_money"] = f"SELECT l_orderkey, l_linenumber, CAST(CAST({_CENTS} * 134 // 1000 AS DECIMAL(18,0)) * CAST('0.01' AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS share FROM lineitem"
@@ -159,12 +159,12 @@ SQL["accuracy_overall"] = f"SELECT field, count(*) AS total, count(*) FILTER (co
 SQL["eval_report"] = f"SELECT field, total, correct, flagged, round(mean_conf, 9) AS mean_conf, round(acc, 9) AS acc, CASE WHEN acc < 0.95 THEN 'low' ELSE '' END AS mark FROM (SELECT field, count(*) AS total, count(*) FILTER (correct) AS correct, count(*) FILTER (flagged) AS flagged, avg(confidence) AS mean_conf, CAST(count(*) FILTER (correct) AS DOUBLE) / count(*) AS acc FROM {_MATCHES} AS t GROUP BY field) AS u"
 SQL["caught_totals"] = f"SELECT CAST(sum(f) AS BIGINT) AS flagged, CAST(sum(CASE WHEN c < n THEN f ELSE 0 END) AS BIGINT) AS caught FROM (SELECT field, count(*) AS n, count(*) FILTER (correct) AS c, count(*) FILTER (flagged) AS f FROM {_MATCHES} AS t GROUP BY field) AS u"
 SQL["best_width"] = f"SELECT doc_id, CASE WHEN bool_or(text = '') THEN '' ELSE arg_max(text, row(score, -w)) END AS text, CASE WHEN bool_or(text = '') THEN 1.0 ELSE max(score) END AS score FROM {READS} AS t GROUP BY doc_id"
-_BITS = "(SELECT vec_id % 16 AS image, vec_id AS id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(embedding[1:62], lambda x: CAST(CASE WHEN x > 0 THEN 1 ELSE 0 END AS BIGINT))), lambda a, x: a * 2 + x) AS bits FROM embeddings)"
+_BITS = "(SELECT vec_id // 64 AS image, vec_id AS id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(embedding[1:62], lambda x: CAST(CASE WHEN x > 0 THEN 1 ELSE 0 END AS BIGINT))), lambda a, x: a * 2 + x) AS bits FROM embeddings)"
 
 
 def _good(ratio: str) -> str:
     return f"""(SELECT image, q_id, arg_min(s_id, rn) AS s_id, arg_min(d, rn) AS d1, arg_max(d, rn) AS d2 FROM (SELECT q.image, q.id AS q_id, s.id AS s_id, CAST(bit_count(xor(q.bits, s.bits)) AS INT) AS d, row_number() OVER (PARTITION BY q.image, q.id ORDER BY bit_count(xor(q.bits, s.bits)), s.id) AS rn
-FROM {_BITS} AS q JOIN {_BITS} AS s ON q.image = s.image AND q.id % 2 = 0 AND s.id % 2 = 1) AS t WHERE rn <= 2 GROUP BY image, q_id HAVING count(*) = 2 AND arg_min(d, rn) < CAST({ratio} AS DOUBLE) * arg_max(d, rn))"""
+FROM {_BITS} AS q JOIN {_BITS} AS s ON q.image = s.image AND q.id <> s.id) AS t WHERE rn <= 2 GROUP BY image, q_id HAVING count(*) = 2 AND arg_min(d, rn) < CAST({ratio} AS DOUBLE) * arg_max(d, rn))"""
 
 
 SQL["knn_ratio"] = f"SELECT * FROM {_good('0.9')} AS t"

@@ -48,7 +48,7 @@ _over("edit_le1", "noisy_name", ("p_partkey",), near=lambda: text.within_one_edi
 _over("fuzzy_contains", "noisy_name", ("p_partkey",), inside=lambda: text.contains_within_one_edit(F.substring(c("p_name"), 2, 5), text.key_lower(c("noisy"))))
 _over("fuzzy_text_match", "noisy_name", ("p_partkey",), agrees=lambda: text.text_agrees(c("p_name"), c("noisy")))
 _over("rule_page_match", "id_text", ("k",), differs=lambda: F.coalesce(c("raw") != "", F.lit(False)) & ~c("raw").eqNullSafe(c("ten")))
-_over("name_score", "reads", ("doc_id", "w"), score=lambda: F.least(c("score"), F.lit(0.5)), joined=lambda: F.trim(F.concat_ws(" ", F.substring(c("text"), 1, 4), F.substring(c("text"), 5, 3))))
+_over("name_score", "reads", ("doc_id", "w"), score=lambda: F.least(c("score"), F.lit(0.5)), joined=lambda: F.trim(F.concat_ws(" ", c("text"), c("lang"))))
 
 
 @query
@@ -398,20 +398,21 @@ def best_width(spark, sf_dir):
 
 
 def _bits(spark, sf_dir):
+    """Sign bits of vectors as descriptors; 64 of them make an image, however many there are."""
     bits = F.aggregate(F.slice("embedding", 1, 62), F.lit(0).cast("long"), lambda a, x: a * 2 + F.when(x > 0, 1).otherwise(0))
-    return _table(spark, sf_dir, "embeddings").select((c("vec_id") % 16).alias("image"), c("vec_id").alias("id"), bits.alias("bits"))
+    return _table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 64").alias("image"), c("vec_id").alias("id"), bits.alias("bits"))
 
 
 @query
 def knn_ratio(spark, sf_dir):
     rows = _bits(spark, sf_dir)
-    return matching.good_matches(matching.two_nearest(rows.where("id % 2 = 0"), rows.where("id % 2 = 1")), 0.9)
+    return matching.good_matches(matching.two_nearest(rows, rows), 0.9)
 
 
 @query
 def match_guard(spark, sf_dir):
     rows = _bits(spark, sf_dir)
-    return matching.enough(matching.good_matches(matching.two_nearest(rows.where("id % 2 = 0"), rows.where("id % 2 = 1")), 0.97), 3)
+    return matching.enough(matching.good_matches(matching.two_nearest(rows, rows), 0.97), 3)
 
 
 @query
