@@ -22,15 +22,15 @@ SAMPLE_DOCS = 12_000
 HASH_BITS = 16
 #: Labellers as (name, measure, bad below, good from, good to, bad above).
 LABELLERS = (
-    ("words", "words", 12, 40, 1e9, 1e12),
+    ("words", "words", 1, 3, 1e9, 1e12),
     ("word_length", "word_length", 2.2, 3.2, 8.5, 12.0),
     ("letters", "letters", 0.60, 0.72, 1.0, 2.0),
-    ("symbols", "symbols", -1.0, 0.0, 0.01, 0.03),
+    ("symbols", "symbols", -1.0, 0.0, 0.01, 0.02),
     ("capitals", "capitals", -1.0, 0.0, 0.10, 0.40),
     ("line_copies", "line_copies", -1.0, 0.0, 0.05, 0.30),
     ("word_variety", "word_variety", 0.10, 0.30, 1.1, 9.0),
-    ("word_copies", "word_copies", -1.0, 0.0, 0.03, 0.25),
-    ("sentence_marks", "sentence_marks", 0.0, 0.002, 0.05, 0.10),
+    ("word_copies", "word_copies", -1.0, 0.0, 0.03, 0.12),
+    ("sentence_marks", "sentence_marks", 0.0, 0.002, 0.08, 0.12),
 )
 MEASURES = tuple(dict.fromkeys(m for _, m, *_ in LABELLERS))
 _LETTERS = C.byte_table([*range(65, 91), *range(97, 123), *range(128, 256)])
