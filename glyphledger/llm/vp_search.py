@@ -9,8 +9,6 @@ factor one is exact, a larger factor skips more.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +18,7 @@ from glyphledger.llm.common import checkpoint
 
 K = 20
 #: Pruning factor of the production query; recall against brute force is in the README.
-FACTOR = 1.05
+FACTOR = 2.0
 SHARD_ROWS, QUERY_ROWS, LEAF = 16_384, 2_048, 512
 
 
