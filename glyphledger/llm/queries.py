@@ -62,4 +62,33 @@ def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_vp_tree_search, op2_context_mixing, op3_suffix_array_leaks, op4_weak_quality, op5_suffix_array_dedup, op6_dart_minhash, op7_collinear_chains, op8_lexicon_toxicity, op9_cube_mix, op10_prefix_targets)}
 
-ORACLE_SQL: dict[str, str] = {}
+def _escaped(x: str) -> str:
+    x = f"replace({x}, '\\', '\\\\')"
+    for mark in chat_prefix.CONTROL:
+        x = f"replace({x}, '{mark}', '{mark[0]}\\{mark[1:]}')"
+    return x
+
+
+_UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_SMALL}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: The other queries have none: their classes, searches, models and draws are beyond SQL, or (op5) too slow in it; tests
+#: hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_array_leaks": f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0) AS t),
+dw AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN (SELECT DISTINCT n FROM iw) AS l ON len(w) >= n) AS t),
+hit AS (SELECT dw.r, dw.i, dw.n, iw.item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.s = iw.s),
+pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) AS t GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM hit) AS t GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos ON d.r = pos.r LEFT JOIN its ON d.r = its.r""",
+    "op10_prefix_targets": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length({_escaped("role")}) + length({_escaped("text")}) + {len(chat_prefix.TURN + chat_prefix.BODY + chat_prefix.END)}) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id""",
+}
