@@ -32,17 +32,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
+    # Spark drops the shuffle files of a finished query once the driver's JVM has collected what refers to them
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_folder(df: DataFrame) -> None:
-    """Remove the files of a checkpoint() that is no longer read."""
-    spark = df.sparkSession
-    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def crc_mod5(doc_id: Column | str) -> Column:
     """crc32 of the id as text, modulo 5; a null id counts as an empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
