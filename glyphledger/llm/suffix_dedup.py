@@ -8,6 +8,8 @@ Sorting every byte position of the corpus would shuffle many times its size. The
    Anchors that share this rank are repeated as a whole. Anchors whose rank is unique, but whose gram isn't, stay open.
 3. Open anchors (the edges of repeated passages) are spread out to byte positions. Their ranks at length / 2 make pairs
    (rank of p, rank of p + length / 2); positions are ranked again by these pairs, and pairs that occur twice are repeated.
+   Equal strings share the anchor's gram, so the text around open anchors is brought together by gram, and the pairs are
+   ranked there; a gram with very many kinds of surroundings is ranked by a shuffle of its single pairs instead.
 
 A rank is a 64-bit fingerprint, not an ordinal, so no rank needs a global sort; sorting is by key within Spark's
 exchanges. Strings are judged on the input, matches never cross documents, and copies of a text count as occurrences.
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from glyphledger.llm import common as C
 
 LENGTH, GRAM = 200, 96
+#: Kinds of surroundings of one gram that are ranked in one task.
+MAX_KINDS = 20_000
 
 
 def anchors_of(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -62,71 +66,148 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-_ANCHOR = "gram long, ctx long, tid long, at long"
+def _anchor_batches(batches: Iterator[pa.RecordBatch], length: int, gram: int):
+    """(tid, gram, ctx, at) of the anchors of each block of (tid, text); at: first start << 16 | anchor - first << 8 | last - first."""
+    for batch in batches:
+        tid = np.asarray(batch.column(0))
+        for lo, hi, buf, offs in C.blocks(batch.column(1)):
+            row, anchor, first, last, g = anchors_of(buf, offs, length, gram)
+            if len(row):
+                shape = (anchor - first) << 8 | (last - first)
+                ctx = C.mix64(C.PrefixHash(C.BYTE64[buf]).of(first, last + length) + shape.astype(C.U64) * C.BYTE64[7])
+                yield tid[lo:hi][row], g, ctx, (first - offs[row]) << 16 | shape
+        yield None
+
+
+def _count_ranks(length: int, gram: int):
+    """(tid, text) to (gram, ctx, n), counted within each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = []
+        for found in _anchor_batches(batches, length, gram):
+            if found is not None:
+                got.append(found[1:3])
+                continue
+            if got:
+                g, ctx = (np.concatenate(x) for x in zip(*got, strict=True))
+                ctx, first, n = np.unique(ctx, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(C.signed(g[first])), pa.array(C.signed(ctx)), pa.array(n)], names=["gram", "ctx", "n"])
+                got = []
+
+    return run
 
 
-def _find_anchors(length: int, gram: int):
-    """(tid, text) to anchors: gram, ctx (fingerprints), tid, and at: first start << 16 | anchor - first << 8 | last - first."""
+def _list_anchors(length: int, gram: int):
+    """(tid, text) to (ctx, tid, at)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _anchor_batches(batches, length, gram):
+            if found is not None:
+                tid, _, ctx, at = found
+                yield pa.RecordBatch.from_arrays([pa.array(C.signed(ctx)), pa.array(tid), pa.array(at)], names=["ctx", "tid", "at"])
+
+    return run
+
+
+def _surroundings(length: int):
+    """(tid, text, open array<gram, kinds, at>) to (gram, kinds, tid, at, around): the bytes of the strings that pick the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tid = np.asarray(batch.column(0))
-            for lo, hi, buf, offs in C.blocks(batch.column(1)):
-                row, anchor, first, last, g = anchors_of(buf, offs, length, gram)
-                if not len(row):
-                    continue
-                ph = C.PrefixHash(C.BYTE64[buf])
-                shape = (anchor - first) << 8 | (last - first)
-                ctx = C.mix64(ph.of(first, last + length) + shape.astype(C.U64) * C.BYTE64[7])
-                yield pa.RecordBatch.from_arrays([pa.array(C.signed(g)), pa.array(C.signed(ctx)), pa.array(tid[lo:hi][row]), pa.array((first - offs[row]) << 16 | shape)], names=["gram", "ctx", "tid", "at"])
+            tid, opened = np.asarray(batch.column(0)), batch.column(2)
+            per_row, flat = np.asarray(opened.value_lengths()), opened.flatten()
+            gram, kinds, at = (np.asarray(flat.field(i)) for i in range(3))
+            row = np.repeat(np.arange(len(batch)), per_row)
+            buf, offs = C.text_of(batch.column(1))
+            start = (at >> 16) + offs[row]
+            around = [buf[s:e].tobytes() for s, e in zip(start, start + (at & 255) + length, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(kinds), pa.array(tid[row]), pa.array(at), pa.array(around, pa.binary())], names=["gram", "kinds", "tid", "at", "around"])
 
     return run
 
 
-def _spread(length: int):
-    """(tid, text, open array<at>) to (half, other, tid, p): the rank pair of each byte position of the open anchors."""
+def _pairs(tid: np.ndarray, at: np.ndarray, around: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rank pair, tid, p) of each byte position of the open anchors; a pair is one fingerprint of both halves' ranks."""
     half = length // 2
+    out = []
+    for lo, hi, buf, offs in C.blocks(around):
+        n = (at[lo:hi] & 255) + 1
+        k = np.repeat(np.arange(hi - lo), n)
+        p = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        ph, there = C.PrefixHash(C.BYTE64[buf]), p + offs[k]
+        pair = C.mix64(ph.of(there, there + half) * C.U64(0x9FB21C651E98DF25) + ph.of(there + half, there + length))
+        out.append((pair, tid[lo:hi][k], p + (at[lo:hi] >> 16)[k]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _rank_pairs(length: int):
+    """Rows (gram, kinds, tid, at, around) sorted by gram to (tid, start, stop) of runs of repeated strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
         for batch in batches:
-            tid, opened = np.asarray(batch.column(0)), batch.column(2)
-            per_row, at_all = np.asarray(opened.value_lengths()), np.asarray(opened.flatten())
-            ends = np.cumsum(per_row)
-            for lo, hi, buf, offs in C.blocks(batch.column(1)):
-                at = at_all[ends[lo] - per_row[lo] : ends[hi - 1]]
-                row = np.repeat(np.arange(hi - lo), per_row[lo:hi])
-                n = (at & 255) + 1
-                k = np.repeat(np.arange(len(at)), n)
-                p = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + (at >> 16)[k]
-                ph, there = C.PrefixHash(C.BYTE64[buf]), p + offs[row[k]]
-                ranks = [pa.array(C.signed(ph.of(there + a, there + b))) for a, b in ((0, half), (half, length))]
-                yield pa.RecordBatch.from_arrays([*ranks, pa.array(tid[lo:hi][row[k]]), pa.array(p)], names=["half", "other", "tid", "p"])
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            gram = np.asarray(rest.column(0).combine_chunks())
+            cut = int(np.searchsorted(gram, gram[-1])) if len(gram) else 0  # the last gram may go on
+            if cut and rest.nbytes > 8 * C.BLOCK_BYTES:
+                yield ranked(rest.slice(0, cut))
+                rest = rest.slice(cut)
+        if rest is not None and len(rest):
+            yield ranked(rest)
+
+    def ranked(rows: pa.Table) -> pa.RecordBatch:
+        # copies of a text have come with the same anchors
+        rows = rows.take(np.unique(np.stack([np.asarray(rows.column(i)) for i in (2, 3)]), axis=1, return_index=True)[1])
+        tid, at = (np.asarray(rows.column(i).combine_chunks()) for i in (2, 3))
+        pair, tid, p = _pairs(tid, at, rows.column(4).combine_chunks(), length)
+        _, which, n = np.unique(pair, return_inverse=True, return_counts=True)
+        again = np.flatnonzero(n[which] > 1)
+        again = again[np.lexsort((p[again], tid[again]))]
+        tid, p = tid[again], p[again]
+        new = np.ones(len(p), bool)
+        new[1:] = (tid[1:] != tid[:-1]) | (p[1:] > p[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(p))[: len(first)] - 1
+        return pa.RecordBatch.from_arrays([pa.array(tid[first]), pa.array(p[first]), pa.array(p[last] + length)], names=["tid", "start", "stop"])
+
+    return run
+
+
+def _single_pairs(length: int):
+    """Rows (gram, kinds, tid, at, around) to (pair, tid, p)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                pair, tid, p = _pairs(np.asarray(batch.column(2)), np.asarray(batch.column(3)), batch.column(4), length)
+                yield pa.RecordBatch.from_arrays([pa.array(C.signed(pair)), pa.array(tid), pa.array(p)], names=["pair", "tid", "p"])
 
     return run
 
 
-def repeated_spans(texts: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(tid, spans) for rows (tid, text), where tid stands for the text's content: merged [start, stop) byte spans that
+def repeated_spans(texts: DataFrame, *, length: int = LENGTH, gram: int = GRAM, max_kinds: int = MAX_KINDS) -> DataFrame:
+    """(tid, spans) for rows (tid, text), where tid stands for the text's content: [start, stop) byte spans, sorted, that
     are covered by `length`-byte strings which start elsewhere too."""
     if not gram < length <= gram + 256:
         raise ValueError("length - gram has to be from 1 to 256")
     texts = texts.select("tid", "text")
-    anchors = texts.mapInArrow(_find_anchors(length, gram), _ANCHOR)
-    # ranks: how many anchors share the gram, and the gram with what is around it; counted before the shuffle
-    contexts = anchors.groupBy("gram", "ctx").agg(F.count("*").alias("n"))
+    # ranks: how many anchors share the gram and what is around it, and how many kinds of surroundings a gram has
+    contexts = texts.mapInArrow(_count_ranks(length, gram), "gram long, ctx long, n long").repartition("gram").groupBy("gram", "ctx").agg(F.sum("n").alias("n"))
     shared = contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1").drop("all")
-    ranked = contexts.join(shared, "gram").select("ctx", "n", "kinds")
-    ranked = C.checkpoint(ranked)
-    members = C.checkpoint(anchors.select("ctx", "tid", "at").join(ranked, "ctx"))
+    ranked = C.checkpoint(contexts.join(shared, "gram").select("ctx", "gram", "n", "kinds"))
+    members = C.checkpoint(texts.mapInArrow(_list_anchors(length, gram), "ctx long, tid long, at long").join(ranked, "ctx"))
     whole = members.where("n > 1").select("tid", F.shiftright("at", 16).alias("start"), (F.shiftright("at", 16) + F.col("at").bitwiseAND(255) + length).alias("stop"))
     # one anchor of each kind stands for its copies
-    kinds = members.where("kinds > 1").groupBy("ctx").agg(F.min(F.struct("tid", "at")).alias("one")).select("one.*")
-    opened = kinds.groupBy("tid").agg(F.collect_list("at").alias("open"))
-    one_each = texts.join(opened, "tid").dropDuplicates(["tid"])
-    pairs = C.checkpoint(one_each.mapInArrow(_spread(length), "half long, other long, tid long, p long"))
-    twice = pairs.groupBy("half", "other").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    edges = pairs.join(twice, ["half", "other"]).select("tid", F.col("p").alias("start"), (F.col("p") + length).alias("stop"))
-    return whole.unionByName(edges).groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    kinds = members.where("kinds > 1").groupBy("ctx").agg(F.min(F.struct("tid", "at", "gram", "kinds")).alias("one")).select("one.*")
+    opened = kinds.groupBy("tid").agg(F.collect_list(F.struct("gram", "kinds", "at")).alias("open"))
+    around = texts.join(opened, "tid").mapInArrow(_surroundings(length), "gram long, kinds long, tid long, at long, around binary")
+    around = C.checkpoint(around)
+    edges = around.where(F.col("kinds") <= max_kinds).repartition("gram").sortWithinPartitions("gram").mapInArrow(_rank_pairs(length), "tid long, start long, stop long")
+    pairs = around.where(F.col("kinds") > max_kinds).mapInArrow(_single_pairs(length), "pair long, tid long, p long").distinct()
+    twice = pairs.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1").select("pair")
+    singles = pairs.join(twice, "pair").select("tid", F.col("p").alias("start"), (F.col("p") + length).alias("stop"))
+    return whole.unionByName(edges).unionByName(singles).groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
