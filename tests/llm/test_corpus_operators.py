@@ -126,6 +126,17 @@ def test_near_duplicates(docs, rows, empty):
     assert dart_minhash.classes(empty).count() == 0
 
 
+def test_near_duplicates_last_round(spark):
+    """A chain of texts, each alike to its next two only: links that no leader has come from the last round."""
+    base, other = ([f"{mark}{i}" for i in range(200)] for mark in "xy")
+    chain = [(k, " ".join(other[: 6 * k] + base[6 * k :])) for k in range(12)]
+    far = [(100 + k, " ".join(f"z{k}w{i}" for i in range(200))) for k in range(3)]
+    texts = spark.createDataFrame(chain + far, "doc_id long, text string")
+    for likeliest in (0, 16):
+        got = {r.doc_id: r.class_id for r in dart_minhash.classes(texts, likeliest=likeliest).collect()}
+        assert got == {i: 0 if i < 100 else i for i, _ in chain + far}
+
+
 def test_chains_find_shared_passages(docs, rows, empty):
     got = chain_dedup.repeated_passages(docs).collect()
     pairs = {frozenset((r.doc_id, r.other_id)) for r in got}
