@@ -126,6 +126,17 @@ def test_near_duplicates(docs, rows, empty):
     assert dart_minhash.classes(empty).count() == 0
 
 
+def test_near_duplicates_null_and_repeated_ids(spark):
+    """Rows that share an id, or have none, stand for their own texts."""
+    text = lambda mark, n=200: " ".join(f"{mark}{i}" for i in range(n))
+    near = text("a", 199) + " changed"
+    rows = [(None, text("p")), (None, text("q")), (None, text("q")), (None, None), (7, text("r")), (7, text("s")), (7, text("s")), (None, near), (3, text("a")), (1, text("t")), (3, text("t")), (9, near), (None, "")]
+    kept = dart_minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    heads = {text(m) for m in "pqrst"} | {None, ""}
+    assert Counter(r.text for r in kept) == Counter([*heads, text("a")])
+    assert {r.text: r.doc_id for r in kept}[text("a")] == 3 and {r.text: r.doc_id for r in kept}[text("t")] == 1
+
+
 def test_near_duplicates_last_round(spark):
     """A chain of texts, each alike to its next two only: links that no leader has come from the last round."""
     base, other = ([f"{mark}{i}" for i in range(200)] for mark in "xy")
