@@ -157,8 +157,6 @@ def _rank_pairs(length: int):
             yield ranked(rest)
 
     def ranked(rows: pa.Table) -> pa.RecordBatch:
-        # copies of a text have come with the same anchors
-        rows = rows.take(np.unique(np.stack([np.asarray(rows.column(i)) for i in (2, 3)]), axis=1, return_index=True)[1])
         tid, at = (np.asarray(rows.column(i).combine_chunks()) for i in (2, 3))
         pair, tid, p = _pairs(tid, at, rows.column(4).combine_chunks(), length)
         _, which, n = np.unique(pair, return_inverse=True, return_counts=True)
@@ -187,11 +185,11 @@ def _single_pairs(length: int):
 
 
 def repeated_spans(texts: DataFrame, *, length: int = LENGTH, gram: int = GRAM, max_kinds: int = MAX_KINDS) -> DataFrame:
-    """(tid, spans) for rows (tid, text), where tid stands for the text's content: [start, stop) byte spans, sorted, that
+    """(tid, spans) for rows (tid, own, text), where tid stands for the text's content and own for the row's id: [start, stop) byte spans, sorted, that
     are covered by `length`-byte strings which start elsewhere too."""
     if not gram < length <= gram + 256:
         raise ValueError("length - gram has to be from 1 to 256")
-    texts = texts.select("tid", "text")
+    owned, texts = texts.select("tid", "own", "text"), texts.select("tid", "text")
     # ranks: how many anchors share the gram and what is around it, and how many kinds of surroundings a gram has
     contexts = texts.mapInArrow(_count_ranks(length, gram), "gram long, ctx long, n long").repartition("gram").groupBy("gram", "ctx").agg(F.sum("n").alias("n"))
     shared = contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1").drop("all")
@@ -201,7 +199,9 @@ def repeated_spans(texts: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
     # one anchor of each kind stands for its copies
     kinds = members.where("kinds > 1").groupBy("ctx").agg(F.min(F.struct("tid", "at", "gram", "kinds")).alias("one")).select("one.*")
     opened = kinds.groupBy("tid").agg(F.collect_list(F.struct("gram", "kinds", "at")).alias("open"))
-    around = texts.join(opened, "tid").mapInArrow(_surroundings(length), "gram long, kinds long, tid long, at long, around binary")
+    # of copies one row goes on, so that a gram's task holds kinds of surroundings only; rows of one owner are next to each other
+    opened = opened.join(owned.groupBy("tid").agg(F.min("own").alias("own")), "tid")
+    around = owned.join(opened, ["tid", "own"]).dropDuplicates(["tid", "own"]).select("tid", "text", "open").mapInArrow(_surroundings(length), "gram long, kinds long, tid long, at long, around binary")
     around = C.checkpoint(around)
     edges = around.where(F.col("kinds") <= max_kinds).repartition("gram").sortWithinPartitions("gram").mapInArrow(_rank_pairs(length), "tid long, start long, stop long")
     pairs = around.where(F.col("kinds") > max_kinds).mapInArrow(_single_pairs(length), "pair long, tid long, p long").distinct()
@@ -250,7 +250,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     keyed = docs.withColumn("_tid", F.xxhash64(F.coalesce("text", F.lit("")), F.octet_length(F.coalesce("text", F.lit("")))))
-    spans = C.checkpoint(repeated_spans(keyed.where(F.octet_length("text") >= length).select(F.col("_tid").alias("tid"), "text"), length=length, gram=gram))
+    spans = C.checkpoint(repeated_spans(keyed.where(F.octet_length("text") >= length).select(F.col("_tid").alias("tid"), F.xxhash64("doc_id").alias("own"), "text"), length=length, gram=gram))
     return keyed.join(spans.withColumnRenamed("tid", "_tid"), "_tid", "left").drop("_tid")
 
 

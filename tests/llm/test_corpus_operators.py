@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ import pytest
 
 from glyphledger.llm import chain_dedup, context_mixing, cube_mix, dart_minhash, decontaminate, suffix_dedup, weak_quality
 from glyphledger.llm.common import crc_mod5
-from tests.llm.fixtures import SCHEMA, corpus
+from tests.llm.fixtures import SCHEMA, corpus, words
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -94,6 +95,19 @@ def test_suffix_dedup(docs, rows, length, gram, kinds, monkeypatch):
     assert sum(w[2] for w in want) > 0
 
 
+def test_suffix_dedup_takes_one_copy_to_a_gram(spark, monkeypatch):
+    rng = random.Random(9)
+    base = words(rng, 200)
+    near = [*base[:100], "changed", *base[101:]]
+    texts = [" ".join(base)] * 500 + [" ".join(near)] * 300
+    made, plain = [], suffix_dedup.C.checkpoint
+    monkeypatch.setattr(suffix_dedup.C, "checkpoint", lambda df: made.append(plain(df)) or made[-1])
+    got = suffix_dedup.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter(brute_repeats(texts, 200))
+    around = next(d for d in made if "around" in d.columns)
+    assert 0 < around.count() == around.select("tid", "at").distinct().count()
+
+
 def test_remove_repeats(docs, rows, empty):
     cut = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(docs.drop("spans")).select("doc_id", "text").collect()}
     assert cut[3] is None and cut[4] == "" and cut[6] == cut[7] and len(cut[10]) < len(rows[10][1])
