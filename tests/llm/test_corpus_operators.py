@@ -172,6 +172,20 @@ def test_chains_find_shared_passages(docs, rows, empty):
     assert chain_dedup.repeated_passages(empty).count() == 0
 
 
+def test_chains_cross_lines_of_other_texts(spark):
+    """Two lines that many texts have stand next to each other in two texts only."""
+    rng = random.Random(11)
+    texts, want = [], set()
+    for _ in range(20):
+        one, two = words(rng, 30), words(rng, 30)
+        for line in (one, two):
+            texts += [" ".join([*words(rng, 40), *line, *words(rng, 40)]) for _ in range(12)]
+        want.add(frozenset((len(texts), len(texts) + 1)))
+        texts += [" ".join([*words(rng, 40), *one, *two, *words(rng, 40)]) for _ in range(2)]
+    got = chain_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {frozenset((r.doc_id, r.other_id)) for r in got} == want and all(r.stop - r.start >= 60 for r in got)
+
+
 def test_chain_and_alignment():
     import numpy as np
 
