@@ -27,8 +27,6 @@ from glyphledger.llm import common as C
 END, PAD = 256, 257
 #: Bits of each predictor's table: the last two symbols, the last four, the word so far.
 TABLE_BITS = (20, 21, 21)
-#: Of each training text, the weights are corrected on every so many symbols; counts take all of them.
-TRAIN_STEP = 16
 #: Words whose counts are broadcast, the most frequent ones; the others are looked up by a join.
 KNOWN_WORDS = 1 << 18
 #: Bytes of text that one counting task takes, or so.
@@ -137,14 +135,6 @@ def decisions(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.arange(len(at)) - (ends - n - first[s])[at]
 
 
-def some_decisions(s: np.ndarray, step: int) -> np.ndarray:
-    """Places of the decisions on every step-th symbol."""
-    n = code()[0][s]
-    ends = np.cumsum(n)[::step]
-    n = n[::step]
-    return np.arange(int(n.sum())) + np.repeat(ends - np.cumsum(n), n)
-
-
 def _odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.clip(np.log((n1 + 0.4) / (n0 + 0.4)), -8, 8).astype(np.float32)
 
@@ -177,11 +167,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, path = decisions(s)
             hashed = path_tables()[1][path]
             pairs = [((c * 2)[at] + hashed) & ((2 << b) - 1) for c, b in zip(ctx, TABLE_BITS, strict=True)]
-            some = some_decisions(s, TRAIN_STEP)
-            x, y, g = [], code()[3][path[some]], code()[2][path[some]]
+            x, y, g = [], code()[3][path], code()[2][path]
+            sign = y.astype(np.float32) * 2 - 1
             for table, p in zip(tables, pairs, strict=True):
-                own, other = table[p[some]].astype(np.float32), table[p[some] ^ 1].astype(np.float32)
-                x.append(_odds(other, own) * (y * 2.0 - 1))
+                own, other = table[p].astype(np.float32), table[p ^ 1].astype(np.float32)
+                x.append(_odds(other, own) * sign)
             z = sum(w[g] * v for w, v in zip(weights, x, strict=True))
             error = y - 1 / (1 + np.exp(-np.clip(z, -20, 20)))
             n = np.bincount(g, minlength=256)

@@ -213,6 +213,19 @@ def test_context_mixing(docs, rows, empty):
     assert context_mixing.score(empty, crc_mod5("doc_id") == 1).count() == 0
 
 
+def test_every_symbol_teaches_the_weights():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["a", "of", None, "", "Some more words, né?", "x" * 300]
+    made = list(context_mixing._count(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])])))
+    (payload,) = (r["payload"] for b in made for r in b.to_pylist() if r["kind"] == 2)
+    sums = np.frombuffer(payload)
+    length = context_mixing.code()[0]
+    decided = sum(int(length[b]) for t in texts for b in [*(t or "").lower().encode(), context_mixing.END])
+    assert sums[768:1024].sum() == decided == sums[1024:].sum()
+
+
 def test_probabilities_sum_to_one():
     import numpy as np
 
