@@ -14,6 +14,7 @@ The same passes count the words for the unigram base score. All counts are over
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -297,7 +298,7 @@ def _score(shared):
         for batch in batches:
             n = len(batch)
             score, base = np.zeros(n), np.zeros(n)
-            n_tokens, n_known, n_rare = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            n_tokens, n_known, n_rare, n_bytes = (np.zeros(n, np.int64) for _ in range(4))
             rare = []
             for lo, hi, buf, offs in C.blocks(batch.column(batch.num_columns - 1), _BLOCK):
                 score[lo:hi] = model.text_logs(buf, offs)
@@ -308,12 +309,13 @@ def _score(shared):
                 base += np.bincount(row[hit], model.logs[at[hit]], n)
                 n_known += np.bincount(row[hit], minlength=n)
                 n_tokens[lo:hi] = per_row
+                n_bytes[lo:hi] = np.diff(offs)
                 n_rare += np.bincount(row[~hit], minlength=n)
                 rare.append(h[~hit])
             rare = C.signed(np.concatenate(rare) if rare else np.zeros(0, C.U64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32()), pa.array(rare, pa.int64()))
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, (n_tokens, n_known, base, score)), lists], names=[*batch.schema.names[:-1], "n_tokens", "n_known", "base_score", "score", "rare"])
+            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, (n_tokens, n_known, base, score, n_bytes)), lists], names=[*batch.schema.names[:-1], "n_tokens", "n_known", "base_score", "score", "n_bytes", "rare"])
 
     return run
 
@@ -336,7 +338,8 @@ def score(docs: DataFrame, held_out: Column, *, known_words: int = KNOWN_WORDS)
 
     Learns from the rows where held_out is false. A null text is empty: one end token. Equal rows are counted and scored
     each. Without training rows every count is 0, the tables are empty and each decision costs one bit. Reads doc_id and
-    text; other columns are ignored.
+    text; other columns are ignored. bits_per_byte takes all bits, those of the end too, over the bytes of the text; a
+    text without bytes has none (null).
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")
@@ -366,8 +369,8 @@ def score(docs: DataFrame, held_out: Column, *, known_words: int = KNOWN_WORDS)
     model = Model(odds, weights, sums[1024:].reshape(_GATES, _REFINE, 2), top["key"].to_numpy(np.int64).view(C.U64), np.log10((n_top + 0.5) / floor), n_top)
     shared = spark.sparkContext.broadcast(model)
     kind = dict(rows.dtypes)["doc_id"]
-    scored = rows.mapInArrow(_score(shared), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>")
-    scored = C.checkpoint(scored.withColumn("uid", F.monotonically_increasing_id()).withColumn("n_bytes", F.lit(0)).drop("n_bytes"))
+    scored = rows.mapInArrow(_score(shared), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long, rare array<long>")
+    scored = C.checkpoint(scored.withColumn("uid", F.monotonically_increasing_id()))
     rest = scored.select("uid", F.explode("rare").alias("key")).join(words, "key", "left").select("uid", F.coalesce("n", F.lit(0)).alias("n"))
     rest = rest.groupBy("uid").agg(F.sum(F.log10((F.col("n") + 0.5) / floor)).alias("rest"), F.count_if(F.col("n") > 0).alias("more"))
     end_log = float(np.log10((ends + 0.5) / floor))
@@ -380,4 +383,5 @@ def score(docs: DataFrame, held_out: Column, *, known_words: int = KNOWN_WORDS)
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("rest", F.lit(0.0)) + F.lit(end_log)).alias("base_score"),
         "score",
+        (-F.col("score") / math.log10(2) / F.when(F.col("n_bytes") > 0, F.col("n_bytes"))).alias("bits_per_byte"),
     )

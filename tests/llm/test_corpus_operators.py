@@ -213,6 +213,15 @@ def test_context_mixing(docs, rows, empty):
     assert context_mixing.score(empty, crc_mod5("doc_id") == 1).count() == 0
 
 
+def test_bits_per_byte(docs, rows):
+    size = {r[0]: len((r[1] or "").encode()) for r in rows}
+    got = context_mixing.score(docs, crc_mod5("doc_id") == 1).collect()
+    assert len(got) == len(rows) and sum(size[r.doc_id] == 0 for r in got) == 2
+    for r in got:
+        n = size[r.doc_id]
+        assert r.bits_per_byte == (pytest.approx(-r.score * math.log2(10) / n, rel=1e-12) if n else None)
+
+
 def test_every_symbol_teaches_the_weights():
     import numpy as np
     import pyarrow as pa
