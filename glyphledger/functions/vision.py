@@ -94,10 +94,10 @@ def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
         return (p - mid) * s, np.array([[s, 0, -s * mid[0]], [0, s, -s * mid[1]], [0, 0, 1]])
 
     (a, ta), (b, tb) = norm(src), norm(dst)
-    rows = []
-    for (x, y), (u, v) in zip(a, b, strict=True):
-        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y, -u], [0, 0, 0, x, y, 1, -v * x, -v * y, -v]]
-    h = np.linalg.inv(tb) @ np.linalg.svd(np.array(rows))[2][-1].reshape(3, 3) @ ta
+    (x, y), (u, v), one, zero = a.T, b.T, np.ones(len(a)), np.zeros((3, len(a)))
+    rows = np.vstack([np.stack([x, y, one, *zero, -u * x, -u * y, -u], 1), np.stack([*zero, x, y, one, -v * x, -v * y, -v], 1)])
+    # the triangular factor has nine rows at most, however many pairs there are
+    h = np.linalg.inv(tb) @ np.linalg.svd(np.linalg.qr(rows, mode="r"))[2][-1].reshape(3, 3) @ ta
     return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
 
 

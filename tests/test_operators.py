@@ -180,6 +180,31 @@ def test_homography_and_warp(spark):
     assert vision.comb_strip(np.full((8, 8), 255, np.uint8), [(0, 0, 4, 8)], 0.62) is None
 
 
+def test_homography_of_many_points():
+    """In memory that grows with the points, not with their square."""
+    import tracemalloc
+
+    src = np.random.default_rng(3).uniform(0, 100, (3000, 2))
+    want = np.array([[1.1, 0.02, 5], [0.01, 0.95, -3], [1e-4, 2e-5, 1]])
+    tracemalloc.start()
+    got = vision.homography(src, vision.project(want, src))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, want, atol=1e-6) and peak < 20 << 20
+
+
+def test_homography_images_are_bounded(spark, tmp_path):
+    """Images grow in number with the table, and each has 64 pairs."""
+    from glyphledger.plans import registry
+
+    spark.range(1000).withColumnRenamed("id", "vec_id").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.image: r for r in registry.homography_fit(spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(16)) and all(r.inliers <= 64 for r in got.values())
+    for i, r in got.items():
+        n = sum(k % 7 > 0 for k in range(64 * i, min(64 * i + 64, 1000)))
+        assert r.inliers == n and r.scale_x == pytest.approx(1.1, abs=1e-5) and r.shift_x == pytest.approx(3, abs=1e-3)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [dict(form_id=i, **(VALID | {"row_03": "80.00" if i % 2 else "1.00"})) for i in range(6)]
     folder = tmp_path / "in"
