@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -22,19 +23,45 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Spark drops the shuffle files of a query as soon as it has ended: what it made is in the shared folder by then.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see: under spark.checkpoint.dir, or /tmp where that is unset (tests)."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/glyphledger-checkpoints'}/{uuid.uuid4().hex}"
+    """A new folder that the driver and all executors see, under spark.checkpoint.dir.
+
+    Where that is unset, a local session (as in tests) gets a folder of its own. On a cluster that is an error: each machine
+    would write to its own disk, and rows would be missing without a word.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/glyphledger-checkpoints"
+    return f"{base}/{uuid.uuid4().hex}"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder; a lost executor loses none of it."""
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.parquet(path)
-    # Spark drops the shuffle files of a finished query once the driver's JVM has collected what refers to them
-    spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._shared_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that checkpoint() wrote, once all that is made from them has been written itself."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._shared_path)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def crc_mod5(doc_id: Column | str) -> Column:
