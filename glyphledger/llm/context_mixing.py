@@ -2,13 +2,17 @@
 
 A text is the bytes of its lower-cased (A-Z) form and an end symbol; each symbol is a path of binary decisions through a
 fixed prefix code. Three predictors look up each decision under a hashed context (the last two symbols, the last four, the
-word so far). Their log odds are summed with weights that the decision's node gates; the sum is a logistic mixture. The
-weights are learned online: each task predicts a text with what it has counted before, corrects the weights by the error,
-and then counts the text. Counts are added over all training texts and weights averaged. A refining stage maps the mixed
-odds to what followed on them in training; for each document, both forms are weighted by how well they have done in the
-document so far (a Bayesian mixture, so the weights adapt with every bit).
+word so far), in counts over all training texts. Their log odds are summed with weights that the decision's depth gates;
+the sum is a logistic mixture. The weights belong to the document: they begin alike and are corrected by the error of what
+has been predicted, stretch by stretch, so each symbol is predicted with what the text before it has taught.
 
-The same passes count the words for the unigram base score. All counts are over all training documents.
+The last stage refines word by word: the spelled word's probability is mixed with that of the whole word from its count in
+the training texts. How much either is trusted follows from how they have done on the document's last words. The counts of
+words are kept for all distinct words, in a table that grows with the corpus; the tables of short contexts are hashed and
+have a size that grows with the training text up to a bound.
+
+Counts are sums of integers and a document's score depends on them and its text alone, so it is the same however the table
+is partitioned. Long texts are taken in pieces that carry their contexts and weights over.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -26,14 +31,24 @@ from pyspark.sql import functions as F
 from glyphledger.llm import common as C
 
 END, PAD = 256, 257
-#: Bits of each predictor's table: the last two symbols, the last four, the word so far.
-TABLE_BITS = (20, 21, 21)
+#: Bits of each predictor's table (the last two symbols, the last four, the word so far): one place for so many bytes of
+#: training text, within these bounds.
+TABLE_BITS, PLACE_BYTES = ((16, 20), (16, 21), (16, 21)), 64
 #: Words whose counts are broadcast, the most frequent ones; the others are looked up by a join.
 KNOWN_WORDS = 1 << 18
 #: Bytes of text that one counting task takes, or so.
 TASK_BYTES = 64 << 20
 _CHUNK = 1 << 16
-_BLOCK = 1 << 17
+#: Bytes of text that one numpy step works on; longer texts are cut into such pieces, between words where they can be.
+_BLOCK = 1 << 16
+#: Symbols of a document between two corrections of its weights: short stretches at first.
+_STRETCHES = np.cumsum([0, 32, 32, 64, 64, 128, 128, 256, 256, 512, 512, 1024, 1024])
+_LONG = 2048
+_GATES = 8
+#: Weights of the predictors that a document begins with, and the steps of their correction.
+_BEGIN, _RATE, _STEP = (0.25, 0.45, 0.40), 0.35, 0.08
+#: Words that say how far whole-word counts are trusted, how much each says, and the trust to begin with (log odds).
+_RECENT, _SAYS, _TRUST = 48, 0.35, -0.5
 #: Bytes from frequent to rare in written text; the others follow by value.
 FREQUENT = " enitarhsodlucmgpbv.,fwyqzk\n'-xj0123456789\"();:!?_/*#|&%$@+=<>[]{}~^`\\\t\r"
 
@@ -87,17 +102,54 @@ def path_tables() -> tuple[np.ndarray, np.ndarray]:
     return h, h * 2 + bits
 
 
-_REFINE, _GATES = 96, 16
-
-
-def symbols(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Four pads, the lower-cased bytes and the end symbol of each row, and the place after each row."""
-    n, rows = len(buf), len(offs) - 1
+@dataclass
+class Piece:
+    """Whole rows lo to hi of a column, or a part of row lo; `lead` is the four bytes before a part that isn't the first."""
+
+    lo: int
+    hi: int
+    buf: np.ndarray
+    offs: np.ndarray
+    at: int = 0
+    lead: np.ndarray | None = None
+    last: bool = True
+
+
+def pieces(column: pa.Array, limit: int = _BLOCK) -> Iterator[Piece]:
+    for lo, hi, buf, offs in C.blocks(column, limit):
+        if len(buf) <= 2 * limit:
+            yield Piece(lo, hi, buf, offs)
+            continue
+        at, n = 0, len(buf)  # a long text: one row
+        while at < n:
+            stop = min(n, at + limit)
+            if stop < n:
+                blank = np.flatnonzero(~C.NONBLANK_BYTES[buf[at:stop]])
+                # a word that is longer than a piece stays whole
+                more = np.flatnonzero(~C.NONBLANK_BYTES[buf[stop:]]) if not len(blank) else blank
+                stop = at + int(blank[-1]) + 1 if len(blank) else stop + int(more[0]) + 1 if len(more) else n
+            lead = None
+            if at:
+                lead = np.full(4, PAD, np.uint32)
+                before = C.LOWER[buf[max(0, at - 4) : at]]
+                lead[4 - len(before) :] = before
+            yield Piece(lo, hi, buf[at:stop], np.array([0, stop - at]), at, lead, stop == n)
+            at = stop
+
+
+def symbols(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Four symbols before each row, its lower-cased bytes and its end; which of these are predicted; the place of each row."""
+    n, rows = len(piece.buf), len(piece.offs) - 1
     s = np.full(n + 5 * rows, PAD, np.uint32)
-    s[np.arange(n) + np.repeat(np.arange(4, 4 + 5 * rows, 5), np.diff(offs))] = C.LOWER[buf]
-    ends = offs[1:] + np.arange(5, 5 + 5 * rows, 5)
-    s[ends - 1] = END
-    return s, ends
+    first = piece.offs[:-1] + np.arange(0, 5 * rows, 5)
+    s[np.arange(n) + np.repeat(np.arange(4, 4 + 5 * rows, 5), np.diff(piece.offs))] = C.LOWER[piece.buf]
+    if piece.last:
+        s[piece.offs[1:] + np.arange(4, 4 + 5 * rows, 5)] = END
+    told = s != PAD
+    if piece.lead is not None:
+        s[:4] = piece.lead
+        told[:4] = False
+    return s, told, first
 
 
 def contexts(s: np.ndarray) -> list[np.ndarray]:
@@ -128,12 +180,12 @@ def s_shift(s: np.ndarray, by: int) -> np.ndarray:
 
 
 def decisions(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each binary decision: its symbol's place, and its place in the path table."""
+    """For each binary decision: its symbol's place in s, and its place in the path table."""
     length, first, _, _, _ = code()
     n = length[s]
     ends = np.cumsum(n)
-    at = np.repeat(np.arange(len(s)), n)
-    return at, np.arange(len(at)) - (ends - n - first[s])[at]
+    at = np.repeat(np.arange(len(s), dtype=np.int32), n)
+    return at, np.arange(len(at), dtype=np.int32) - (ends - n - first[s]).astype(np.int32)[at]
 
 
 def _odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -145,58 +197,42 @@ def _added(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return h, np.bincount(which, np.concatenate([n for _, n in counts]), len(h)).astype(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) to rows (kind, key, n, payload): word counts (0), chunks of the decision counts (1), weights (2)."""
+def _count(table_bits: tuple[int, ...]):
+    """(text) to rows (kind, key, n, payload): word counts (0) and chunks of the decision counts (1)."""
 
     def rows(kind: int, key, n, payload=None) -> pa.RecordBatch:
         key = pa.array(key, pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind), pa.int32()), key, pa.array(n, pa.int64()), pa.nulls(len(key), pa.binary()) if payload is None else pa.array(payload, pa.binary())], names=["kind", "key", "n", "payload"])
 
-    depth = code()[4]
-    tables = [np.zeros(2 << b, np.uint32) for b in TABLE_BITS]
-    weights, seen = np.full((3, 256), 0.4), np.zeros(256)
-    refine = np.zeros((_GATES, _REFINE, 2))
-    ends = 0
-    for batch in batches:
-        words = []
-        for lo, hi, buf, offs in C.blocks(batch.column(0), _BLOCK):
-            words.append(np.unique(C.hashed_words(buf, offs, C.NONBLANK_BYTES)[0], return_counts=True))
-            if len(words) > 64:
-                words = [_added(words)]
-            s, _ = symbols(buf, offs)
-            ctx = contexts(s)
-            at, path = decisions(s)
-            hashed = path_tables()[1][path]
-            pairs = [((c * 2)[at] + hashed) & ((2 << b) - 1) for c, b in zip(ctx, TABLE_BITS, strict=True)]
-            x, y, g = [], code()[3][path], code()[2][path]
-            sign = y.astype(np.float32) * 2 - 1
-            for table, p in zip(tables, pairs, strict=True):
-                own, other = table[p].astype(np.float32), table[p ^ 1].astype(np.float32)
-                x.append(_odds(other, own) * sign)
-            z = sum(w[g] * v for w, v in zip(weights, x, strict=True))
-            error = y - 1 / (1 + np.exp(-np.clip(z, -20, 20)))
-            n = np.bincount(g, minlength=256)
-            seen += n
-            rate = 2.0 / (np.maximum(n, 1) * (1 + np.sqrt(seen / 2e4)))
-            for w, v in zip(weights, x, strict=True):
-                w += np.clip(rate * np.bincount(g, error * v, 256), -0.1, 0.1)
-            place = (np.minimum(depth[g], _GATES - 1) * _REFINE + np.clip((z + 12) * 4, 0, _REFINE - 1).astype(np.int64)) * 2 + y
-            refine += np.bincount(place, minlength=refine.size).reshape(refine.shape)
-            for table, p in zip(tables, pairs, strict=True):
-                np.add.at(table, p, np.uint32(1))
-            ends += hi - lo
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [np.zeros(2 << b, np.uint32) for b in table_bits]
+        ends, words = 0, []
+        for batch in batches:
+            for piece in pieces(batch.column(0)):
+                words.append(np.unique(C.hashed_words(piece.buf, piece.offs, C.NONBLANK_BYTES)[0], return_counts=True))
+                s, told, _ = symbols(piece)
+                at, path = decisions(s[told])
+                hashed = path_tables()[1][path]
+                for table, c, b in zip(tables, contexts(s), table_bits, strict=True):
+                    np.add.at(table, ((c[told] * 2)[at] + hashed) & ((2 << b) - 1), np.uint32(1))
+                ends += len(piece.offs) - 1 if piece.last else 0
+                if len(words) > 64:
+                    words = [_added(words)]
+                    if len(words[0][0]) > 1 << 16:
+                        yield rows(0, C.signed(words[0][0]), words[0][1])
+                        words = []
         if words:
             h, n = _added(words)
             yield rows(0, C.signed(h), n)
-    if not ends:
-        return
-    yield rows(0, [0], [ends])  # no word hashes to 0: this is the end token
-    for i, table in enumerate(tables):
-        for k in range(0, len(table), _CHUNK):
-            part = table[k : k + _CHUNK]
-            if part.any():
-                yield rows(1, [i << 40 | k], [0], [part.tobytes()])
-    yield rows(2, [0], [ends], [np.concatenate([(weights * seen).ravel(), seen, refine.ravel()]).tobytes()])
+        if ends:
+            yield rows(0, [0], [ends])  # no word hashes to 0: this is the end token
+        for i, table in enumerate(tables):
+            for k in range(0, len(table), _CHUNK):
+                part = table[k : k + _CHUNK]
+                if part.any():
+                    yield rows(1, [i << 40 | k], [0], [part.tobytes()])
+
+    return run
 
 
 def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,38 +293,63 @@ class WordTable:
 
 
 class Model:
-    """What scoring needs: log odds of the three tables, gated weights, the refining stage, and frequent words."""
-
-    def __init__(self, odds: list[np.ndarray], weights: np.ndarray, refine: np.ndarray, words: np.ndarray, logs: np.ndarray, counts: np.ndarray) -> None:
-        self.odds, self.weights = odds, (weights / 15.9).astype(np.float32)
-        p = (refine + 0.5) / (refine.sum(-1, keepdims=True) + 1)
-        mid = 1 / (1 + np.exp(-((np.arange(_REFINE) + 0.5) / 4 - 12)))  # where little followed, as mixed
-        blend = refine.sum(-1)[..., None] / (refine.sum(-1)[..., None] + 50)
-        p = blend * p + (1 - blend) * np.stack([1 - mid, mid], -1)
-        self.refined = -np.log10(p).ravel()
-        steps = (np.arange(24 * 64) + 0.5) / 64 - 12
-        self.plain = np.log1p(np.exp(-steps)) / np.log(10)
-        self.words, self.logs, self.counts = words, logs, counts
-
-    def text_logs(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """log10 probability of each row's text and end."""
-        depth = code()[4]
-        s, ends = symbols(buf, offs)
-        ctx = contexts(s)
-        at, path = decisions(s)
-        node, bit = code()[2][path], code()[3][path]
+    """What scoring needs: log odds of the three tables in sixteenths, and the frequent words with their counts."""
+
+    def __init__(self, odds: list[np.ndarray], words: np.ndarray, logs: np.ndarray) -> None:
+        self.odds, self.words, self.logs = odds, words, logs
+        self.bits = [int(len(o)).bit_length() - 1 for o in odds]
+
+    def symbol_logs(self, piece: Piece, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each symbol (0 where it isn't predicted), and the first place of each row; corrects the
+        rows' weights (rows, gates, predictors) in place."""
+        _, _, nodes, bits, depth = code()
+        s, told, first = symbols(piece)
+        rows = len(first)
+        place = np.flatnonzero(told)
+        row = (np.searchsorted(first, place, "right") - 1).astype(np.int32)
+        order = place - first[row] - 4 + piece.at
+        stretch = np.where(order < _STRETCHES[-1], np.searchsorted(_STRETCHES, order, "right"), len(_STRETCHES) + (order - _STRETCHES[-1]) // _LONG)
+        turn = np.argsort(stretch.astype(np.uint16) if len(stretch) and stretch.max() < 1 << 16 else stretch, kind="stable")
+        place, row, stretch = place[turn], row[turn], stretch[turn]
+        at, path = decisions(s[place])
+        gate = row[at] * _GATES + np.minimum(depth, _GATES - 1).astype(np.int32)[nodes][path]
+        bit = bits[path].astype(np.float32)
         hashed = path_tables()[0][path]
-        z = np.zeros(len(at), np.float32)
-        for c, b, odds, w in zip(ctx, TABLE_BITS, self.odds, self.weights, strict=True):
-            z += odds[(c[at] + hashed) & ((1 << b) - 1)] * w[node]
-        sign = bit.astype(np.float32) * 2 - 1
-        plain = self.plain[np.clip((z * sign + 12) * 64, 0, 24 * 64 - 1).astype(np.int16)]
-        gate = np.minimum(depth, _GATES - 1).astype(np.int32)[node]
-        refined = self.refined[(gate * _REFINE + np.clip((z + 12) * 4, 0, _REFINE - 1).astype(np.int32)) * 2 + bit]
-        first = np.concatenate([[0], np.cumsum(code()[0][s])])[np.concatenate([[0], ends[:-1]])]
-        a, b = -np.add.reduceat(plain, first), -np.add.reduceat(refined, first)
-        top = np.maximum(a, b)
-        return top + np.log10((10 ** (a - top) + 10 ** (b - top)) / 2)
+        x = [odds[(c[place][at] + hashed) & ((1 << b) - 1)].astype(np.float32) * np.float32(1 / 15.9) for c, b, odds in zip(contexts(s), self.bits, self.odds, strict=True)]
+        w = weights.reshape(rows * _GATES, len(x))
+        cost = np.empty(len(at), np.float32)
+        edges = np.searchsorted(at, np.concatenate([[0], np.flatnonzero(np.diff(stretch)) + 1, [len(place)]])) if len(place) else [0]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            g = gate[lo:hi]
+            now = w.astype(np.float32)
+            z = now[g, 0] * x[0][lo:hi]
+            for k in (1, 2):
+                z += now[g, k] * x[k][lo:hi]
+            np.clip(z, -14, 14, out=z)
+            e = np.exp(-z)
+            p = 1 / (1 + e)
+            cost[lo:hi] = np.log(p) - (1 - bit[lo:hi]) * z  # log of p or of 1 - p = p e^-z
+            error = bit[lo:hi] - p
+            n = np.bincount(g, minlength=len(w)) + 8.0
+            for k in range(len(x)):
+                w[:, k] += np.clip(_RATE * np.bincount(g, error * x[k][lo:hi], len(w)) / n, -_STEP, _STEP)
+        logs = np.zeros(len(s))
+        logs[place] = np.bincount(at, cost, len(place)) / np.log(10)
+        return logs, first
+
+
+def _mixed(trust, spelled, whole):
+    """log10 of the mixture of 10 ** spelled and 10 ** whole; trust: log odds of the latter."""
+    a, b = spelled - np.log1p(np.exp(trust)) / np.log(10), whole - np.log1p(np.exp(-trust)) / np.log(10)
+    top = np.maximum(a, b)
+    return top + np.log10(10 ** (a - top) + 10 ** (b - top))
+
+
+def trusts(gain: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Log odds of each word's whole-word count, from the gains of the _RECENT words before it; `before` go ahead of them."""
+    total = np.concatenate([[0.0], np.cumsum(np.concatenate([before, gain]))])
+    end = np.arange(len(before), len(before) + len(gain))
+    return np.clip(_TRUST + _SAYS * (total[end] - total[np.maximum(0, end - _RECENT)]), -8, 8)
 
 
 def _score(shared):
@@ -298,24 +359,42 @@ def _score(shared):
         for batch in batches:
             n = len(batch)
             score, base = np.zeros(n), np.zeros(n)
-            n_tokens, n_known, n_rare, n_bytes = (np.zeros(n, np.int64) for _ in range(4))
-            rare = []
-            for lo, hi, buf, offs in C.blocks(batch.column(batch.num_columns - 1), _BLOCK):
-                score[lo:hi] = model.text_logs(buf, offs)
-                h, _, _, per_row = C.hashed_words(buf, offs, C.NONBLANK_BYTES)
-                at = known.find(h)
-                row = np.repeat(np.arange(lo, hi), per_row)
-                hit = at >= 0
-                base += np.bincount(row[hit], model.logs[at[hit]], n)
-                n_known += np.bincount(row[hit], minlength=n)
-                n_tokens[lo:hi] = per_row
-                n_bytes[lo:hi] = np.diff(offs)
-                n_rare += np.bincount(row[~hit], minlength=n)
-                rare.append(h[~hit])
-            rare = C.signed(np.concatenate(rare) if rare else np.zeros(0, C.U64))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32()), pa.array(rare, pa.int64()))
+            n_tokens, n_known, n_bytes = (np.zeros(n, np.int64) for _ in range(3))
+            rare: list[tuple[np.ndarray, ...]] = []
+            weights, gains = np.zeros(0), np.zeros(0)
+            for piece in pieces(batch.column(batch.num_columns - 1)):
+                lo, rows = piece.lo, len(piece.offs) - 1
+                if not piece.at:
+                    weights, gains = np.tile(np.array(_BEGIN), (rows, _GATES, 1)), np.zeros(0)
+                logs, first = model.symbol_logs(piece, weights)
+                sums = np.concatenate([[0.0], np.cumsum(logs)])
+                size = np.diff(piece.offs) + 5
+                score[lo : lo + rows] += sums[first + size] - sums[first]
+                h, start, stop, per_row = C.hashed_words(piece.buf, piece.offs, C.NONBLANK_BYTES)
+                row = np.repeat(np.arange(rows), per_row)
+                shift = 4 + 5 * row
+                spelled = sums[stop + shift] - sums[start + shift]
+                found = known.find(h)
+                hit = found >= 0
+                whole = model.logs[found] if len(model.logs) else np.zeros(len(h))
+                gain = np.where(hit, np.clip((whole - spelled) * np.log(10), -3, 3), 0.0)
+                trust = np.zeros(len(h))
+                ends = np.cumsum(per_row)
+                for r in np.flatnonzero(per_row):
+                    part = slice(ends[r] - per_row[r], ends[r])
+                    trust[part] = trusts(gain[part], gains)
+                gains = np.concatenate([gains, gain[-_RECENT:]])[-_RECENT:]
+                score[lo : lo + rows] += np.bincount(row[hit], (_mixed(trust, spelled, whole) - spelled)[hit], rows)
+                base[lo : lo + rows] += np.bincount(row[hit], whole[hit], rows)
+                n_known[lo : lo + rows] += np.bincount(row[hit], minlength=rows)
+                n_tokens[lo : lo + rows] += per_row
+                n_bytes[lo : lo + rows] += np.diff(piece.offs)
+                rare.append((lo + row[~hit], C.signed(h[~hit]), trust[~hit].astype(np.float32), spelled[~hit].astype(np.float32)))
+            row, *fields = (np.concatenate(x) for x in zip(*rare, strict=True)) if rare else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
+            value = pa.StructArray.from_arrays([pa.array(f) for f in fields], names=["key", "trust", "spelled"])
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, (n_tokens, n_known, base, score, n_bytes)), lists], names=[*batch.schema.names[:-1], "n_tokens", "n_known", "base_score", "score", "n_bytes", "rare"])
+            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, (n_tokens, n_known, base, score, n_bytes)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), value)], names=[*batch.schema.names[:-1], "n_tokens", "n_known", "base_score", "score", "n_bytes", "rare"])
 
     return run
 
@@ -337,9 +416,9 @@ def score(docs: DataFrame, held_out: Column, *, known_words: int = KNOWN_WORDS)
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte for each row of docs.
 
     Learns from the rows where held_out is false. A null text is empty: one end token. Equal rows are counted and scored
-    each. Without training rows every count is 0, the tables are empty and each decision costs one bit. Reads doc_id and
-    text; other columns are ignored. bits_per_byte takes all bits, those of the end too, over the bytes of the text; a
-    text without bytes has none (null).
+    each. Without training rows every count is 0, the tables are empty and each decision costs one bit at first. Reads
+    doc_id and text; other columns are ignored. bits_per_byte takes all bits, those of the end too, over the bytes of the
+    text; a text without bytes has none (null). A text is taken in pieces; a single word has to fit in a task.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")
@@ -347,32 +426,33 @@ def score(docs: DataFrame, held_out: Column, *, known_words: int = KNOWN_WORDS)
     # a task's tables have a fixed size, so a task takes more text than a scan's usual share, if all cores have work
     size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     train = train.coalesce(max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
-    counted = C.checkpoint(train.mapInArrow(_count, "kind int, key long, n long, payload binary"))
+    table_bits = tuple(min(most, max(least, (size // PLACE_BYTES).bit_length())) for least, most in TABLE_BITS)
+    counted = C.checkpoint(train.mapInArrow(_count(table_bits), "kind int, key long, n long, payload binary"))
     words = C.checkpoint(counted.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")))
     total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_all, kinds = total.n or 0, total.v
     floor = n_all + 0.5 * (kinds + 1)
     chunks = counted.where("kind = 1").select("key", "payload").repartition("key").sortWithinPartitions("key").mapInArrow(_add_chunks, "key long, odds binary")
-    odds = [np.zeros(1 << b, np.int8) for b in TABLE_BITS]
-    for key, step in chunks.toLocalIterator():  # a fixed size, whatever the corpus
+    odds = [np.zeros(1 << b, np.int8) for b in table_bits]
+    for key, step in chunks.toLocalIterator():  # of bounded size, whatever the corpus
         part = np.frombuffer(step, np.int8)
         at = (key & ((1 << 40) - 1)) // 2
         odds[key >> 40][at : at + len(part)] = part
-    sums = np.zeros(3 * 256 + 256 + _GATES * _REFINE * 2)
-    for (payload,) in counted.where("kind = 2").select("payload").toLocalIterator():
-        sums += np.frombuffer(payload)
-    weights = sums[:768].reshape(3, 256) / np.maximum(sums[768:1024], 1)
     top = _frequent(words.where("key <> 0"), known_words).toPandas()
     n_top = top["n"].to_numpy(np.float64)
     ends = words.where("key = 0").first()
     ends = ends.n if ends else 0
-    model = Model(odds, weights, sums[1024:].reshape(_GATES, _REFINE, 2), top["key"].to_numpy(np.int64).view(C.U64), np.log10((n_top + 0.5) / floor), n_top)
+    model = Model(odds, top["key"].to_numpy(np.int64).view(C.U64), np.log10((n_top + 0.5) / floor))
     shared = spark.sparkContext.broadcast(model)
     kind = dict(rows.dtypes)["doc_id"]
-    scored = rows.mapInArrow(_score(shared), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long, rare array<long>")
+    scored = rows.mapInArrow(_score(shared), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long, rare array<struct<key:long,trust:float,spelled:float>>")
     scored = C.checkpoint(scored.withColumn("uid", F.monotonically_increasing_id()))
-    rest = scored.select("uid", F.explode("rare").alias("key")).join(words, "key", "left").select("uid", F.coalesce("n", F.lit(0)).alias("n"))
-    rest = rest.groupBy("uid").agg(F.sum(F.log10((F.col("n") + 0.5) / floor)).alias("rest"), F.count_if(F.col("n") > 0).alias("more"))
+    # rarer words: their counts come by a join, and with them what the last stage makes of the word
+    rest = scored.select("uid", F.inline("rare")).join(words, "key", "left").select("uid", F.coalesce("n", F.lit(0)).alias("n"), "trust", "spelled")
+    share = F.when(F.col("n") > 0, (F.col("n") + 0.5) / floor).otherwise(0.0)
+    e = F.exp(F.col("trust").cast("double"))
+    gain = F.log10((1 + e * F.least(share * F.pow(F.lit(10.0), -F.col("spelled").cast("double")), F.lit(1e250))) / (1 + e))
+    rest = rest.groupBy("uid").agg(F.sum(F.log10((F.col("n") + 0.5) / floor)).alias("rest"), F.count_if(F.col("n") > 0).alias("more"), F.sum(gain).alias("gain"))
     end_log = float(np.log10((ends + 0.5) / floor))
     out = scored.join(rest, "uid", "left")
     return out.select(
@@ -382,6 +462,6 @@ def score(docs: DataFrame, held_out: Column, *, known_words: int = KNOWN_WORDS)
         (F.col("n_known") + F.coalesce("more", F.lit(0)) + F.lit(1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("rest", F.lit(0.0)) + F.lit(end_log)).alias("base_score"),
-        "score",
-        (-F.col("score") / math.log10(2) / F.when(F.col("n_bytes") > 0, F.col("n_bytes"))).alias("bits_per_byte"),
+        (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"),
+        (-(F.col("score") + F.coalesce("gain", F.lit(0.0))) / math.log10(2) / F.when(F.col("n_bytes") > 0, F.col("n_bytes"))).alias("bits_per_byte"),
     )
