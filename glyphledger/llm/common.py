@@ -64,6 +64,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name made of `name` that none of the columns has; Spark takes names in any case for equal."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod5(doc_id: Column | str) -> Column:
     """crc32 of the id as text, modulo 5; a null id counts as an empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

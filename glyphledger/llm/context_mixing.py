@@ -367,13 +367,11 @@ def _score(shared):
                 if not piece.at:
                     weights, gains = np.tile(np.array(_BEGIN), (rows, _GATES, 1)), np.zeros(0)
                 logs, first = model.symbol_logs(piece, weights)
-                sums = np.concatenate([[0.0], np.cumsum(logs)])
-                size = np.diff(piece.offs) + 5
-                score[lo : lo + rows] += sums[first + size] - sums[first]
+                score[lo : lo + rows] += np.add.reduceat(logs, first)
                 h, start, stop, per_row = C.hashed_words(piece.buf, piece.offs, C.NONBLANK_BYTES)
                 row = np.repeat(np.arange(rows), per_row)
                 shift = 4 + 5 * row
-                spelled = sums[stop + shift] - sums[start + shift]
+                spelled = np.add.reduceat(logs, np.stack([start + shift, stop + shift], 1).ravel())[::2] if len(h) else np.zeros(0)
                 found = known.find(h)
                 hit = found >= 0
                 whole = model.logs[found] if len(model.logs) else np.zeros(len(h))

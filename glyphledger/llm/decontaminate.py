@@ -5,7 +5,8 @@ items is looked up in them by binary search; the run of equal suffixes gives all
 successive item suffixes on one diagonal join to the longest verbatim matches. The benchmark is the stated query set: it
 is taken in blocks of bounded size, each sent to all shards in turn. No step shuffles documents.
 
-Suffixes that start with no pair of words that opens a benchmark window are left out of the sort; they can't match.
+All suffixes are sorted by their first two words; the runs in which a test suffix falls are sorted by as many words as a
+window has, and searched again.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from glyphledger.llm import common as C
 
 #: Bytes of benchmark text in one broadcast block.
 BENCH_BLOCK_BYTES = 8 << 20
-_FILTER_BITS = 20
 
 
 class Windows:
@@ -59,28 +59,16 @@ class Windows:
         self.owner, self.place = owner[order], place[order]
         self.ends = np.cumsum(np.bincount(which, minlength=len(first)))
         self.starts = np.concatenate([[0], self.ends[:-1]])
-        self.single = np.zeros(1 << _FILTER_BITS, bool)
-        self.double = np.zeros(1 << _FILTER_BITS, bool)
-        one = self.lengths == 1
-        self.single[self._slot(self.words[one, 0])] = True
-        if width > 1:
-            self.double[self._slot(self._pair(self.words[~one, 0], self.words[~one, 1]))] = True
-
-    @staticmethod
-    def _slot(x: np.ndarray) -> np.ndarray:
-        return (x >> C.U64(64 - _FILTER_BITS)).astype(np.int64)
-
-    @staticmethod
-    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return C.mix64(a * C.U64(3) + b)
-
-    def can_start(self, words: np.ndarray) -> np.ndarray:
-        """Positions of (zero-padded) text words where a window may start."""
-        body = words[: len(words) - self.width]
-        may = self.single[self._slot(body)]
-        if self.width > 1:
-            may |= self.double[self._slot(self._pair(body, words[1 : len(body) + 1]))]
-        return np.flatnonzero(may & (body != 0))
+        # where a window's suffixes begin and end among suffixes sorted by heads(); a window of one word has any second word
+        low = heads(self.words[:, 0], np.where(self.lengths > 1, self.words[:, 1], C.U64(0)) if width > 1 else self.words[:, 0] * C.U64(0))
+        high = np.where(self.lengths > 1, low, low | C.U64(0xFFFFFFFF))
+        self.low = np.unique(low)
+        self.high = np.maximum.reduceat(high[np.argsort(low, kind="stable")], np.searchsorted(np.sort(low), self.low))
+
+
+def heads(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The upper halves of two words in one number."""
+    return (first & ~C.U64(0xFFFFFFFF)) | (second >> C.U64(32))
 
 
 def search(words: np.ndarray, tests: Windows) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +76,13 @@ def search(words: np.ndarray, tests: Windows) -> tuple[np.ndarray, np.ndarray]:
 
     words: rows closed by a 0, and `width` zeros at the end.
     """
-    at = tests.can_start(words)
+    body = np.flatnonzero(words[: len(words) - tests.width])
+    key = heads(words[body], words[body + 1])
+    order = np.argsort(key)
+    key = key[order]
+    begin, end = np.searchsorted(key, tests.low, "left"), np.searchsorted(key, tests.high, "right")
+    inside = np.cumsum(np.bincount(begin, minlength=len(key) + 1) - np.bincount(end, minlength=len(key) + 1))[:-1] > 0
+    at = body[order[inside]]
     if not len(at):
         return at, at
     keys = words[at[:, None] + np.arange(tests.width)]
@@ -142,7 +136,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", wid
     Words are lower-cased runs of letters, digits and non-ASCII characters. A window is `width` successive words of an item
     (all of them where it has fewer); matches shorter than a window don't count. A null or wordless text has no words and no
     leaks; a null or wordless item leaks nowhere; repeated documents and items each count. Columns named n_words or leaks
-    are replaced. An empty benchmark leaves every row without leaks.
+    are replaced (decontaminate() keeps them). An empty benchmark leaves every row without leaks.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id"), F.col("text").alias("text")).where("text is not null")
@@ -214,5 +208,5 @@ def summarize(found: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", width: int = 10) -> DataFrame:
     """docs without the rows that hold a window of a benchmark item."""
-    slim = find_leaks(docs, benchmark, text=text, width=width)
-    return slim.where(F.size("leaks") == 0).select(*docs.columns)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    return find_leaks(packed, benchmark, width=width).where(F.size("leaks") == 0).select("row.*")

@@ -6,13 +6,15 @@ Sorting every byte position of the corpus would shuffle many times its size. The
    equal strings pick the same place. The first rank of an anchor is its gram. Anchors with a rank of their own are done.
 2. The second rank is the pair of the gram and the text around it, as far as the strings reach that pick this anchor.
    Anchors that share this rank are repeated as a whole. Anchors whose rank is unique, but whose gram isn't, stay open.
-3. Open anchors (the edges of repeated passages) are spread out to byte positions. Their ranks at length / 2 make pairs
-   (rank of p, rank of p + length / 2); positions are ranked again by these pairs, and pairs that occur twice are repeated.
-   Equal strings share the anchor's gram, so the text around open anchors is brought together by gram, and the pairs are
-   ranked there; a gram with very many kinds of surroundings is ranked by a shuffle of its single pairs instead.
-
-A rank is a 64-bit fingerprint, not an ordinal, so no rank needs a global sort; sorting is by key within Spark's
-exchanges. Strings are judged on the input, matches never cross documents, and copies of a text count as occurrences.
+3. Open anchors (the edges of repeated passages) are spread out to byte positions, and prefix doubling runs on these: each
+   position starts with the rank of its `length` / 4 bytes. A round at offset h makes the pair (rank of p, rank of p + h),
+   Spark brings equal pairs together, and the pair is the position's next rank. A pair that is alone is dropped: no longer
+   string that begins there occurs twice. So it goes on at growing offsets until no position is left or the ranks cover
+   `length` bytes; the positions that are left then begin strings that occur twice.
+
+A rank is a 64-bit fingerprint, not an ordinal, so no rank needs a global order; sorting is by key within Spark's
+exchanges. One anchor of each kind of surroundings stands for its copies, so pairs are counted over distinct texts around
+an anchor. Strings are judged on the input, matches never cross documents, and copies of a text count as occurrences.
 """
 
 from __future__ import annotations
@@ -28,8 +30,7 @@ from pyspark.sql import functions as F
 from glyphledger.llm import common as C
 
 LENGTH, GRAM = 200, 96
-#: Kinds of surroundings of one gram that are ranked in one task.
-MAX_KINDS = 20_000
+_PAIR = C.U64(0x9FB21C651E98DF25)
 
 
 def anchors_of(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -109,105 +110,108 @@ def _list_anchors(length: int, gram: int):
     return run
 
 
-def _surroundings(length: int):
-    """(tid, text, open array<gram, kinds, at>) to (gram, kinds, tid, at, around): the bytes of the strings that pick the anchor."""
+def _first_pairs(length: int):
+    """(tid, text, open array<at>) to (pair, tid, p): each position whose rank a string of an open anchor needs, with the pair
+    of its first rank and that at the first offset, length / 4."""
+    h = length // 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tid, opened = np.asarray(batch.column(0)), batch.column(2)
-            per_row, flat = np.asarray(opened.value_lengths()), opened.flatten()
-            gram, kinds, at = (np.asarray(flat.field(i)) for i in range(3))
-            row = np.repeat(np.arange(len(batch)), per_row)
-            buf, offs = C.text_of(batch.column(1))
-            start = (at >> 16) + offs[row]
-            around = [buf[s:e].tobytes() for s, e in zip(start, start + (at & 255) + length, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(kinds), pa.array(tid[row]), pa.array(at), pa.array(around, pa.binary())], names=["gram", "kinds", "tid", "at", "around"])
+            per_row, at = np.asarray(opened.value_lengths()), np.asarray(opened.flatten())
+            done = np.cumsum(per_row)
+            for lo, hi, buf, offs in C.blocks(batch.column(1)):
+                own = slice(done[lo] - per_row[lo], done[hi - 1])
+                row = np.repeat(np.arange(hi - lo), per_row[lo:hi])
+                first = (at[own] >> 16) + offs[row]
+                # strings that start at first to last, in the ranks of 2 h bytes that they are made of
+                size = (at[own] & 255) + 1 + length - 2 * h
+                cover = np.bincount(first, minlength=len(buf) + 1) - np.bincount(first + size, minlength=len(buf) + 1)
+                p = np.flatnonzero(np.cumsum(cover))
+                sums = C.PrefixHash(C.BYTE64[buf])
+                pair = C.mix64(sums.of(p, p + h) * _PAIR + sums.of(p + h, p + 2 * h))
+                row = np.searchsorted(offs, p, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(C.signed(pair)), pa.array(tid[lo:hi][row]), pa.array((p - offs[row]).astype(np.int32))], names=["pair", "tid", "p"])
 
     return run
 
 
-def _pairs(tid: np.ndarray, at: np.ndarray, around: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rank pair, tid, p) of each byte position of the open anchors; a pair is one fingerprint of both halves' ranks."""
-    half = length // 2
-    out = []
-    for lo, hi, buf, offs in C.blocks(around):
-        n = (at[lo:hi] & 255) + 1
-        k = np.repeat(np.arange(hi - lo), n)
-        p = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        ph, there = C.PrefixHash(C.BYTE64[buf]), p + offs[k]
-        pair = C.mix64(ph.of(there, there + half) * C.U64(0x9FB21C651E98DF25) + ph.of(there + half, there + length))
-        out.append((pair, tid[lo:hi][k], p + (at[lo:hi] >> 16)[k]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def _rank_pairs(length: int):
-    """Rows (gram, kinds, tid, at, around) sorted by gram to (tid, start, stop) of runs of repeated strings."""
+def _next_pairs(offset: int):
+    """(pair, tid, p) sorted by tid and p to the pairs of each position's rank and that of the position `offset` further;
+    positions without such a partner end here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+        rest: list[np.ndarray] | None = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            rest = table if rest is None else pa.concat_tables([rest, table])
-            gram = np.asarray(rest.column(0).combine_chunks())
-            cut = int(np.searchsorted(gram, gram[-1])) if len(gram) else 0  # the last gram may go on
-            if cut and rest.nbytes > 8 * C.BLOCK_BYTES:
-                yield ranked(rest.slice(0, cut))
-                rest = rest.slice(cut)
-        if rest is not None and len(rest):
-            yield ranked(rest)
-
-    def ranked(rows: pa.Table) -> pa.RecordBatch:
-        tid, at = (np.asarray(rows.column(i).combine_chunks()) for i in (2, 3))
-        pair, tid, p = _pairs(tid, at, rows.column(4).combine_chunks(), length)
-        _, which, n = np.unique(pair, return_inverse=True, return_counts=True)
-        again = np.flatnonzero(n[which] > 1)
-        again = again[np.lexsort((p[again], tid[again]))]
-        tid, p = tid[again], p[again]
-        new = np.ones(len(p), bool)
-        new[1:] = (tid[1:] != tid[:-1]) | (p[1:] > p[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(p))[: len(first)] - 1
-        return pa.RecordBatch.from_arrays([pa.array(tid[first]), pa.array(p[first]), pa.array(p[last] + length)], names=["tid", "start", "stop"])
+            cols = [np.asarray(batch.column(i)) for i in range(3)]
+            if rest is not None:
+                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            rank, tid, p = cols
+            key = (tid.view(C.U64) * C.U64(0x9E3779B97F4A7C15)) + p.astype(C.U64)  # a key of (tid, p) within one batch
+            order = np.argsort(key)
+            found = np.minimum(np.searchsorted(key[order], key + C.U64(offset)), len(key) - 1)
+            partner = order[found]
+            # what lies near the end of the batch may find its partner in the next one
+            late = (tid == tid[-1]) & (p + offset > p[-1])
+            ok = (key[partner] == key + C.U64(offset)) & (tid[partner] == tid) & (p[partner] == p + offset)
+            pair = C.mix64(rank[ok].view(C.U64) * _PAIR + rank[partner[ok]].view(C.U64))
+            yield pa.RecordBatch.from_arrays([pa.array(C.signed(pair)), pa.array(tid[ok]), pa.array(p[ok])], names=["pair", "tid", "p"])
+            rest = [c[late] for c in cols]
 
     return run
 
 
-def _single_pairs(length: int):
-    """Rows (gram, kinds, tid, at, around) to (pair, tid, p)."""
+def _repeated(pairs: DataFrame) -> DataFrame:
+    """The rows (pair, tid, p) whose pair other positions have too."""
+    twice = pairs.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1").select("pair")
+    return C.checkpoint(pairs.join(twice, "pair"))
+
+
+def _runs(length: int):
+    """(tid, p) sorted to (tid, start, stop): runs of successive positions, as far as their strings reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                pair, tid, p = _pairs(np.asarray(batch.column(2)), np.asarray(batch.column(3)), batch.column(4), length)
-                yield pa.RecordBatch.from_arrays([pa.array(C.signed(pair)), pa.array(tid), pa.array(p)], names=["pair", "tid", "p"])
+            tid, p = np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.int64)
+            new = np.ones(len(p), bool)
+            new[1:] = (tid[1:] != tid[:-1]) | (p[1:] > p[:-1] + 1)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(p))[: len(first)] - 1
+            yield pa.RecordBatch.from_arrays([pa.array(tid[first]), pa.array(p[first]), pa.array(p[last] + length)], names=["tid", "start", "stop"])
 
     return run
 
 
-def repeated_spans(texts: DataFrame, *, length: int = LENGTH, gram: int = GRAM, max_kinds: int = MAX_KINDS) -> DataFrame:
-    """(tid, spans) for rows (tid, own, text), where tid stands for the text's content and own for the row's id: [start, stop) byte spans, sorted, that
+def repeated_spans(texts: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(tid, spans) for rows (tid, text), where tid stands for the text's content: [start, stop) byte spans, sorted, that
     are covered by `length`-byte strings which start elsewhere too."""
-    if not gram < length <= gram + 256:
-        raise ValueError("length - gram has to be from 1 to 256")
-    owned, texts = texts.select("tid", "own", "text"), texts.select("tid", "text")
+    if not gram < length <= gram + 256 or length % 4:
+        raise ValueError("length has to be a multiple of 4, and length - gram from 1 to 256")
     # ranks: how many anchors share the gram and what is around it, and how many kinds of surroundings a gram has
     contexts = texts.mapInArrow(_count_ranks(length, gram), "gram long, ctx long, n long").repartition("gram").groupBy("gram", "ctx").agg(F.sum("n").alias("n"))
     shared = contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1").drop("all")
     ranked = C.checkpoint(contexts.join(shared, "gram").select("ctx", "gram", "n", "kinds"))
-    members = C.checkpoint(texts.mapInArrow(_list_anchors(length, gram), "ctx long, tid long, at long").join(ranked, "ctx"))
+    members = C.checkpoint(texts.mapInArrow(_list_anchors(length, gram), "ctx long, tid long, at long").join(ranked.select("ctx", "n", "kinds"), "ctx"))
+    C.discard(ranked)
     whole = members.where("n > 1").select("tid", F.shiftright("at", 16).alias("start"), (F.shiftright("at", 16) + F.col("at").bitwiseAND(255) + length).alias("stop"))
     # one anchor of each kind stands for its copies
-    kinds = members.where("kinds > 1").groupBy("ctx").agg(F.min(F.struct("tid", "at", "gram", "kinds")).alias("one")).select("one.*")
-    opened = kinds.groupBy("tid").agg(F.collect_list(F.struct("gram", "kinds", "at")).alias("open"))
-    # of copies one row goes on, so that a gram's task holds kinds of surroundings only; rows of one owner are next to each other
-    opened = opened.join(owned.groupBy("tid").agg(F.min("own").alias("own")), "tid")
-    around = owned.join(opened, ["tid", "own"]).dropDuplicates(["tid", "own"]).select("tid", "text", "open").mapInArrow(_surroundings(length), "gram long, kinds long, tid long, at long, around binary")
-    around = C.checkpoint(around)
-    edges = around.where(F.col("kinds") <= max_kinds).repartition("gram").sortWithinPartitions("gram").mapInArrow(_rank_pairs(length), "tid long, start long, stop long")
-    pairs = around.where(F.col("kinds") > max_kinds).mapInArrow(_single_pairs(length), "pair long, tid long, p long").distinct()
-    twice = pairs.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1").select("pair")
-    singles = pairs.join(twice, "pair").select("tid", F.col("p").alias("start"), (F.col("p") + length).alias("stop"))
-    return whole.unionByName(edges).unionByName(singles).groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    kinds = members.where("kinds > 1").groupBy("ctx").agg(F.min(F.struct("tid", "at")).alias("one")).select("one.*")
+    opened = C.checkpoint(kinds.groupBy("tid").agg(F.collect_list("at").alias("open")))
+    # copies of a text go before the shuffle, in each task's share of the aggregation
+    some = texts.join(opened.select("tid"), "tid", "left_semi").dropDuplicates(["tid"]).join(opened, "tid").select("tid", "text", "open")
+    pairs, offset = C.checkpoint(some.mapInArrow(_first_pairs(length), "pair long, tid long, p int")), length // 2
+    ranks = _repeated(pairs)
+    while offset < length:
+        made = ranks.repartition("tid").sortWithinPartitions("tid", "p").mapInArrow(_next_pairs(offset), "pair long, tid long, p int")
+        C.discard(pairs)
+        pairs, offset = C.checkpoint(made), offset * 2
+        C.discard(ranks)
+        ranks = _repeated(pairs)
+    C.discard(pairs)
+    edges = ranks.select("tid", "p").repartition("tid").sortWithinPartitions("tid", "p").mapInArrow(_runs(length), "tid long, start long, stop long")
+    return whole.unionByName(edges).groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,9 +253,12 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    keyed = docs.withColumn("_tid", F.xxhash64(F.coalesce("text", F.lit("")), F.octet_length(F.coalesce("text", F.lit("")))))
-    spans = C.checkpoint(repeated_spans(keyed.where(F.octet_length("text") >= length).select(F.col("_tid").alias("tid"), F.xxhash64("doc_id").alias("own"), "text"), length=length, gram=gram))
-    return keyed.join(spans.withColumnRenamed("tid", "_tid"), "_tid", "left").drop("_tid")
+    """docs and, as the last column, the spans of each row's text."""
+    tid, last = C.unused("tid", docs.columns), C.unused("spans", docs.columns)
+    content = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumn(tid, F.xxhash64(content, F.octet_length(content)))
+    spans = C.checkpoint(repeated_spans(keyed.where(F.octet_length("text") >= length).select(F.col(tid).alias("tid"), "text"), length=length, gram=gram))
+    return keyed.join(spans.select(F.col("tid").alias(tid), F.col("spans").alias(last)), tid, "left").select(*docs.columns, last)
 
 
 def digest(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -262,7 +269,7 @@ def digest(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFr
     """
     out = _with_spans(docs.select("doc_id", "text"), length, gram)
     kind = dict(out.dtypes)["doc_id"]
-    return out.select("doc_id", "text", "spans").mapInArrow(_digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.mapInArrow(_digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -280,4 +287,4 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -
             text = [k.as_py().decode("utf-8", "ignore") if r.as_py() else w.as_py() for w, r, k in zip(was, removed, kept, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(text, was.type) if c == "text" else batch.column(i) for i, c in enumerate(names)], names=names)
 
-    return _with_spans(docs, length, gram).select(*names, "spans").mapInArrow(cut, schema)
+    return _with_spans(docs, length, gram).mapInArrow(cut, schema)

@@ -2,8 +2,8 @@
 
 Folding undoes common disguises: case, homoglyphs (Cyrillic and Greek look-alikes, full-width and accented letters) and
 digits or signs in place of letters inside words. The lexicon is learned from labelled documents: whole words and word
-beginnings that toxic documents have and clean ones have not. Its size and the number of labelled documents used have
-documented bounds; every document is scored on its whole text.
+beginnings that toxic documents have and clean ones have not. The number of labelled documents used has a documented
+bound, and so has the lexicon with it; every document is scored on its whole text.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ ACCENTED = {"a": "áàâäãåā", "e": "éèêëē", "i": "íìîïī", "o": "
 EXCEPTIONS = ("trash can", "trash bin", "trash day", "clown fish", "pond scum", "idiot proof", "stupid simple")
 
 SAMPLE_DOCS = 40_000
-MAX_TERMS = 400
 MIN_SHARE = 0.01
 PREFIX = (4, 8)
 _FULL = "".join(chr(0xFF41 + i) for i in range(26)), "abcdefghijklmnopqrstuvwxyz"
@@ -43,7 +42,7 @@ def fold(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, *, sample_docs: int = SAMPLE_DOCS, max_terms: int = MAX_TERMS) -> dict:
+def learn(docs: DataFrame, labels: DataFrame, train: Column, *, sample_docs: int = SAMPLE_DOCS) -> dict:
     """The lexicon {term: weight} and the calibration, from at most `sample_docs` labelled documents.
 
     A term begins with a blank (a word's beginning) and ends with one if it is a whole word. Its weight is the smoothed log
@@ -71,7 +70,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, *, sample_docs: int
     seen = F.col("t") + F.col("c")
     ratio = 2 * (F.col("t") * F.log(F.col("t") / seen / prior) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / seen / (1 - prior))).otherwise(0.0))
     chance = 2 * math.log(1 + counted.count()) + 4
-    best = counted.withColumns({"weight": weight, "ratio": ratio}).where((F.col("weight") >= 2.0) & (F.col("ratio") >= chance)).orderBy(F.desc("ratio"), F.length("term"), "term").limit(max_terms).collect()
+    best = counted.withColumns({"weight": weight, "ratio": ratio}).where((F.col("weight") >= 2.0) & (F.col("ratio") >= chance)).orderBy(F.desc("ratio"), F.length("term"), "term").collect()  # each has its share of a bounded sample
     found: dict[str, float] = {}
     for r in best:  # a term adds nothing where its beginning is in already, unless it is far surer
         inner = [x for x in found if r.term.startswith(x)]
@@ -126,7 +125,13 @@ def match(model: dict, exceptions: tuple[str, ...] = EXCEPTIONS):
                 spared.append((start, end))
             else:  # one weight for each place, the surest
                 best[start] = max(best.get(start, 0.0), weight)
-        total = sum(w for s, w in best.items() if not any(a <= s < b for a, b in spared))
+        total, at, until = 0.0, 0, 0
+        spared.sort()
+        for s in sorted(best):
+            while at < len(spared) and spared[at][0] <= s:
+                until = max(until, spared[at][1])
+                at += 1
+            total += best[s] if s >= until else 0.0
         return total / (1 + math.log1p(text.count(" ") / 400)) if total else 0.0
 
     @F.pandas_udf("double")

@@ -85,32 +85,45 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "gram", "kinds"), [(200, 96, 20_000), (200, 96, 1), (40, 12, 20_000)])
-def test_suffix_dedup(docs, rows, length, gram, kinds, monkeypatch):
-    plain = suffix_dedup.repeated_spans
-    monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda *a, **k: plain(*a, **k, max_kinds=kinds))
+@pytest.mark.parametrize(("length", "gram"), [(200, 96), (40, 12)])
+def test_suffix_dedup(docs, rows, empty, length, gram):
     got = suffix_dedup.digest(docs, length=length, gram=gram).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     want = [(r[0], *x) for r, x in zip(rows, brute_repeats([r[1] for r in rows], length), strict=True)]
     assert Counter(map(tuple, got)) == Counter(want)
     assert sum(w[2] for w in want) > 0
+    assert suffix_dedup.digest(empty, length=length, gram=gram).count() == 0
 
 
-def test_suffix_dedup_takes_one_copy_to_a_gram(spark, monkeypatch):
+def test_suffix_dedup_doubles_one_copy_of_each_text(spark, monkeypatch):
     rng = random.Random(9)
     base = words(rng, 200)
     near = [*base[:100], "changed", *base[101:]]
     texts = [" ".join(base)] * 500 + [" ".join(near)] * 300
-    made, plain = [], suffix_dedup.C.checkpoint
-    monkeypatch.setattr(suffix_dedup.C, "checkpoint", lambda df: made.append(plain(df)) or made[-1])
+    sizes, plain = [], suffix_dedup._repeated
+    monkeypatch.setattr(suffix_dedup, "_repeated", lambda pairs: sizes.append((pairs.count(), pairs.select("tid", "p").distinct().count())) or plain(pairs))
     got = suffix_dedup.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
     assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter(brute_repeats(texts, 200))
-    around = next(d for d in made if "around" in d.columns)
-    assert 0 < around.count() == around.select("tid", "at").distinct().count()
+    # two rounds, at offsets 50 and 100; each position once, and fewer from round to round
+    assert len(sizes) == 2 and all(n == m > 0 for n, m in sizes) and sizes[1][0] < sizes[0][0] < 2 * len(texts[0])
+
+
+def test_suffix_dedup_long_text(spark):
+    """A text of several blocks, cut at its repeated passage only."""
+    rng = random.Random(4)
+    one, two = (" ".join(words(rng, 260_000)) for _ in range(2))
+    passage = one[700_000:701_000]
+    texts = [one, f"{two} {passage} end"]
+    got = sorted(suffix_dedup.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    size = len(passage.encode())
+    assert len(texts[0].encode()) > suffix_dedup.C.BLOCK_BYTES and [r.n_spans for r in got] == [1, 1] and all(size <= r.n_removed <= size + 2 for r in got)
 
 
 def test_remove_repeats(docs, rows, empty):
-    cut = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(docs.drop("spans")).select("doc_id", "text").collect()}
-    assert cut[3] is None and cut[4] == "" and cut[6] == cut[7] and len(cut[10]) < len(rows[10][1])
+    out = suffix_dedup.remove_repeats(docs)
+    assert out.columns == docs.columns
+    cut = {r.doc_id: r for r in out.collect()}
+    assert cut[3].text is None and cut[4].text == "" and cut[6].text == cut[7].text and len(cut[10].text) < len(rows[10][1])
+    assert cut[10].leaks == "x" and cut[10].score == 1.0 and cut[10].spans is None
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
@@ -151,14 +164,15 @@ def test_near_duplicates_null_and_repeated_ids(spark):
     assert {r.text: r.doc_id for r in kept}[text("a")] == 3 and {r.text: r.doc_id for r in kept}[text("t")] == 1
 
 
-def test_near_duplicates_last_round(spark):
-    """A chain of texts, each alike to its next two only: links that no leader has come from the last round."""
+def test_near_duplicates_beyond_the_leader(spark, monkeypatch):
+    """A chain of texts, each alike to its next two only: links that no leader has."""
     base, other = ([f"{mark}{i}" for i in range(200)] for mark in "xy")
     chain = [(k, " ".join(other[: 6 * k] + base[6 * k :])) for k in range(12)]
     far = [(100 + k, " ".join(f"z{k}w{i}" for i in range(200))) for k in range(3)]
     texts = spark.createDataFrame(chain + far, "doc_id long, text string")
-    for likeliest in (0, 16):
-        got = {r.doc_id: r.class_id for r in dart_minhash.classes(texts, likeliest=likeliest).collect()}
+    for small_rows, few in ((1024, 32), (0, 32), (0, 1)):  # settled in a task, by its pairs, or around pivots
+        monkeypatch.setattr(dart_minhash, "FEW", few)
+        got = {r.doc_id: r.class_id for r in dart_minhash.classes(texts, small_rows=small_rows).collect()}
         assert got == {i: 0 if i < 100 else i for i, _ in chain + far}
 
 
@@ -222,31 +236,74 @@ def test_bits_per_byte(docs, rows):
         assert r.bits_per_byte == (pytest.approx(-r.score * math.log2(10) / n, rel=1e-12) if n else None)
 
 
-def test_every_symbol_teaches_the_weights():
+def test_symbol_logs_against_a_plain_model():
+    """Contexts, mixture and corrections, symbol by symbol in plain Python."""
     import numpy as np
-    import pyarrow as pa
 
-    texts = ["a", "of", None, "", "Some more words, né?", "x" * 300]
-    made = list(context_mixing._count(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])])))
-    (payload,) = (r["payload"] for b in made for r in b.to_pylist() if r["kind"] == 2)
-    sums = np.frombuffer(payload)
-    length = context_mixing.code()[0]
-    decided = sum(int(length[b]) for t in texts for b in [*(t or "").lower().encode(), context_mixing.END])
-    assert sums[768:1024].sum() == decided == sums[1024:].sum()
+    rng = np.random.default_rng(3)
+    odds = [rng.integers(-60, 60, 1 << 16).astype(np.int8) for _ in range(3)]
+    model = context_mixing.Model(odds, np.zeros(0, np.uint64), np.zeros(0))
+    texts = ["Some words, né? " * 30, "", "x" * 300, "of a"]
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    piece = context_mixing.Piece(0, len(texts), buf, offs)
+    weights = np.tile(np.array(context_mixing._BEGIN), (len(texts), context_mixing._GATES, 1))
+    logs, first = model.symbol_logs(piece, weights)
+    s, told, _ = context_mixing.symbols(piece)
+    contexts, (length, begin, nodes, bits, depth), hashed = context_mixing.contexts(s), context_mixing.code(), context_mixing.path_tables()[0]
+    for row in range(len(texts)):
+        w = np.tile(np.array(context_mixing._BEGIN), (context_mixing._GATES, 1))
+        n = offs[row + 1] - offs[row] + 1
+        for lo, hi in zip(context_mixing._STRETCHES[:-1], context_mixing._STRETCHES[1:], strict=True):
+            slope, seen = np.zeros_like(w), np.zeros(len(w))
+            for i in range(lo, min(hi, n)):
+                place, total = first[row] + 4 + i, 0.0
+                for j in range(begin[s[place]], begin[s[place]] + length[s[place]]):
+                    x = np.array([o[(c[place] + hashed[j]) % (1 << 16)] / 15.9 for o, c in zip(odds, contexts, strict=True)])
+                    g = min(depth[nodes[j]], context_mixing._GATES - 1)
+                    p = 1 / (1 + math.exp(-max(-14, min(14, float(w[g] @ x)))))
+                    total += math.log10(p if bits[j] else 1 - p)
+                    slope[g] += (bits[j] - p) * x
+                    seen[g] += 1
+                assert logs[place] == pytest.approx(total, abs=2e-4)
+            w += np.clip(context_mixing._RATE * slope / (seen[:, None] + 8), -context_mixing._STEP, context_mixing._STEP)
+        assert weights[row] == pytest.approx(w, abs=1e-3)
+
+
+def test_trust_moves_with_the_words_before():
+    import numpy as np
+
+    gain = np.random.default_rng(2).normal(size=200)
+    recent, says = context_mixing._RECENT, context_mixing._SAYS
+    want = [max(-8, min(8, context_mixing._TRUST + says * gain[max(0, i - recent) : i].sum())) for i in range(200)]
+    assert context_mixing.trusts(gain, np.zeros(0)) == pytest.approx(want)
+    assert context_mixing.trusts(gain[90:], gain[90 - recent : 90]) == pytest.approx(want[90:])
+    assert 10 ** context_mixing._mixed(np.array([0.0]), np.array([-1.0]), np.array([-2.0]))[0] == pytest.approx((0.1 + 0.01) / 2)
+
+
+def test_scores_do_not_depend_on_partitions(docs):
+    some = docs.select("doc_id", "text")
+    one = sorted(map(tuple, context_mixing.score(some.repartition(2), crc_mod5("doc_id") == 1).collect()))
+    two = sorted(map(tuple, context_mixing.score(some.repartition(8), crc_mod5("doc_id") == 1).collect()))
+    for a, b in zip(one, two, strict=True):
+        assert a[:5] == b[:5] and a[5:7] == pytest.approx(b[5:7], rel=1e-10)
 
 
-def test_probabilities_sum_to_one():
+def test_long_text_is_scored_in_pieces():
     import numpy as np
+    import pyarrow as pa
 
-    length = context_mixing.code()[0][:257]
-    assert (0.5 ** length.astype(float)).sum() == pytest.approx(1.0)
-    sizes = [1 << b for b in context_mixing.TABLE_BITS]
-    rng = np.random.default_rng(3)
-    odds = [rng.integers(-60, 60, n).astype(np.int8) for n in sizes]
-    model = context_mixing.Model(odds, np.full((3, 256), 0.4), np.zeros((16, 96, 2)), np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-    # all texts of one byte, and all longer ones: what is left after the first byte
-    first = [10 ** float(model.text_logs(np.frombuffer(bytes([b]), np.uint8), np.array([0, 1]))[0]) for b in range(256) if not 65 <= b <= 90]
-    assert 0 < sum(first) < 1
+    text = " ".join(words(random.Random(8), 30_000))
+    column = pa.array(["short", text, None])
+    found = list(context_mixing.pieces(column, 1 << 14))
+    long = [p for p in found if p.hi == 2 and p.lo == 1]
+    assert len(long) > 8 and b"".join(p.buf.tobytes() for p in long).decode() == text and [p.last for p in long] == [False] * (len(long) - 1) + [True]
+    assert all(p.buf.tobytes().endswith(b" ") for p in long[:-1])
+    # contexts at the start of a piece are those of the whole text
+    whole = context_mixing.contexts(context_mixing.symbols(context_mixing.Piece(1, 2, np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])))[0])
+    part = context_mixing.contexts(context_mixing.symbols(long[3])[0])
+    for a, b in zip(whole, part, strict=True):
+        assert (a[long[3].at + 4 : long[3].at + 200] == b[4:200]).all()
 
 
 def test_cube_mix(docs, rows, empty):
