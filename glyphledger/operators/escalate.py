@@ -10,10 +10,14 @@ def reasons(observations: DataFrame, extracted: DataFrame, issues: DataFrame, ca
     """(form_id, field, reason_ord, reason): low confidence, unreadable numbers, and failed rules.
 
     observations (form_id, field, confidence), extracted (form_id, field, value, flag), issues (form_id, rule, rule_ord,
-    fields), catalog (field, kind, threshold). Blank text is never doubted for its confidence alone.
+    fields), catalog (field, kind, threshold). Blank text is never doubted for its confidence alone; a reading without a
+    value, or without an extracted row, is.
     """
-    seen = extracted.join(F.broadcast(catalog.select("field", "kind", "threshold")), "field")
-    low = observations.join(seen, ["form_id", "field"]).where(~((F.col("kind") != "occupancy") & (F.trim("value") == "")) & (F.col("confidence") < F.col("threshold")))
+    known = catalog.select("field", "kind", "threshold")
+    seen = extracted.join(known, "field")
+    blank = F.coalesce(F.trim("value") == "", F.lit(False))
+    low = observations.join(known, "field").join(extracted.select("form_id", "field", "value"), ["form_id", "field"], "left")
+    low = low.where(~((F.col("kind") != "occupancy") & blank) & (F.col("confidence") < F.col("threshold")))
     low = low.select("form_id", "field", F.lit(1).alias("reason_ord"), F.format_string("low confidence %.2f < %.2f", "confidence", "threshold").alias("reason"))
     unread = seen.where((F.col("kind") == "decimal") & F.col("value").isNotNull() & ~F.col("value").rlike("[0-9]"))
     unread = unread.select("form_id", "field", F.lit(2).alias("reason_ord"), F.lit("no valid decimal").alias("reason"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def unknown_labels(labels: DataFrame, catalog: DataFrame) -> DataFrame:
     """Label rows whose field the catalog doesn't know."""
-    return labels.join(F.broadcast(catalog.select("field")), "field", "left_anti")
+    return labels.join(catalog.select("field"), "field", "left_anti")
 
 
 def by_field(matches: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from glyphledger.functions.text import key_lower
 TOLERANCE, SURE = 0.34, 0.85
 #: A register is broadcast up to so many entries, else joined by list name.
 MAX_BROADCAST = 50_000
+#: Parts that a larger register's lists are dealt into.
+PARTS = 64
 
 
 def nearest_entry(readings: DataFrame, register: DataFrame, *, key: str, value: str = "value", list_name: str = "list_name") -> DataFrame:
@@ -28,7 +30,11 @@ def nearest_entry(readings: DataFrame, register: DataFrame, *, key: str, value:
     rows = rows.join(hint(exact), ["_list", "_key"], "left")
     # an argmin over all entries of the list: blocking by length would change which entry is judged
     asked = rows.where(F.col("_exact").isNull() & (F.col("_key") != "")).select("_list", "_key").distinct()
-    best = asked.join(hint(entries), "_list").groupBy("_list", "_key").agg(F.min(F.struct(F.levenshtein("_key", "_entry_key").alias("d"), "ord", "entry", F.length("_entry_key").alias("n"))).alias("_best"))
+    if not small:
+        # one list may hold most entries: both sides are dealt by hash, and each key meets all parts of its list
+        parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+        asked, entries = asked.withColumn("_part", parts), entries.withColumn("_part", F.pmod(F.xxhash64("entry", "ord"), F.lit(PARTS)).cast("int"))
+    best = asked.join(hint(entries), ["_list"] if small else ["_list", "_part"]).groupBy("_list", "_key").agg(F.min(F.struct(F.levenshtein("_key", "_entry_key").alias("d"), "ord", "entry", F.length("_entry_key").alias("n"))).alias("_best"))
     longest = F.greatest(F.length("_key"), F.col("_best.n"))
     near = F.col("_best.d") <= F.greatest(F.lit(1), F.floor(longest * TOLERANCE))
     rows = rows.join(best, ["_list", "_key"], "left")
@@ -43,6 +49,14 @@ def apply_match(value: Column, confidence: Column, gaz_value: Column, matched: C
     return F.when(matched, gaz_value).otherwise(value), F.when(matched, F.greatest(confidence, F.lit(SURE))).when(~blank, 0.0).otherwise(confidence)
 
 
+def miss_pool(candidates: DataFrame, register: DataFrame, *, key: str, value: str = "value", list_name: str = "list_name") -> DataFrame:
+    """misses() as a pool to draw from, which must not be empty."""
+    pool = misses(candidates, register, key=key, value=value, list_name=list_name)
+    if pool.isEmpty():
+        raise ValueError("no candidate misses the register")
+    return pool
+
+
 def misses(candidates: DataFrame, register: DataFrame, *, key: str, value: str = "value", list_name: str = "list_name") -> DataFrame:
     """The candidates that snap to nothing."""
     return nearest_entry(candidates, register, key=key, value=value, list_name=list_name).where(~F.col("gaz_matched")).select(*candidates.columns)

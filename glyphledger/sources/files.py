@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphledger.functions.evidence import aspect_off
+
 LABELS = "labels map<string,string>, ground_truth map<string,string>"
 SAMPLE = "sample_id string, _is_broken boolean, _broken_fields array<string>, _gazetteer_miss array<string>, _style string, _writer string, ground_truth map<string,string>"
 
@@ -42,6 +44,28 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     return files.groupBy("stem").agg(*[F.first(F.when(F.col("page") == p, F.col("content")), ignorenulls=True).alias(f"p{p}") for p in "12"]).where("p1 IS NOT NULL")
 
 
+def decode_pages(spark: SparkSession, folder: str, pattern: str = "*.png") -> DataFrame:
+    """(name, w, h, pixels, warning) of images: grey pixels by row, by Spark's image reader, and a warning where the sides
+    are not those of the form (more than 3 % off). Files that are no images are left out."""
+    images = spark.read.format("image").option("pathGlobFilter", pattern).option("dropInvalid", True).load(folder).select("image.*")
+    named = images.select(F.regexp_extract("origin", r"([^/]+)\.[A-Za-z]+$", 1).alias("name"), F.col("width").alias("w"), F.col("height").alias("h"), "nChannels", "data")
+    schema = "name string, w int, h int, pixels binary"
+    warning = F.when(aspect_off(F.col("w"), F.col("h")), F.concat_ws(" ", F.lit("page of"), "w", F.lit("x"), "h", F.lit("pixels is not shaped like the form")))
+    return named.mapInPandas(_grey_batches, schema).withColumn("warning", warning)
+
+
+def _grey_batches(batches):
+    import numpy as np
+
+    for batch in batches:
+        made = []
+        for w, h, n, data in zip(batch["w"], batch["h"], batch["nChannels"], batch["data"], strict=True):
+            planes = np.frombuffer(data, np.uint8).reshape(h, w, n)
+            # blue, green, red (and alpha): the usual weights of brightness in 65,536ths
+            made.append((planes[:, :, 0] if n == 1 else (planes[:, :, 2] * np.uint32(19595) + planes[:, :, 1] * np.uint32(38470) + planes[:, :, 0] * np.uint32(7471) + np.uint32(32768)) >> 16).astype(np.uint8).tobytes())
+        yield batch[["name", "w", "h"]].assign(pixels=made)
+
+
 def pair_pages(first: DataFrame, second: DataFrame, labels: DataFrame, key: str = "stem") -> DataFrame:
     """First pages with their labels (required) and second pages (where there are any)."""
     return first.join(labels, key).join(second, key, "left")
@@ -68,5 +92,43 @@ def result_json(fields: DataFrame, issues: DataFrame, flags: DataFrame) -> DataF
     return rows.select("form_id", F.to_json(F.struct("fields", "confidences", F.coalesce("issues", none).alias("issues"), F.coalesce(F.map_keys("reasons"), none).alias("flagged"), "reasons")).alias("body"))
 
 
+def answer_documents(readings: DataFrame, issues: DataFrame, flags: DataFrame, warnings: DataFrame) -> DataFrame:
+    """(form_id, body): the whole answer. readings (form_id, field, value, confidence, threshold, repaired, suggestion,
+    source): repaired is the value before a repair; issues (form_id, rule_ord, rule); flags (form_id, field, reasons);
+    warnings (form_id, page, warning) come before the failed rules. Maps hold only fields that have an entry.
+    """
+    def by_field(value, when=None):
+        entry = F.struct("field", value.alias("v"))
+        return F.map_from_entries(F.array_sort(F.collect_list(entry if when is None else F.when(when, entry))))
+
+    said = lambda name: F.coalesce(F.col(name) != "", F.lit(False))
+    values = readings.groupBy("form_id").agg(
+        by_field(F.coalesce("value", F.lit(""))).alias("fields"),
+        by_field(F.bround("confidence", 3)).alias("confidences"),
+        by_field(F.col("threshold")).alias("thresholds"),
+        by_field(F.concat_ws(" -> ", "repaired", "value"), F.col("repaired").isNotNull()).alias("disambiguated"),
+        by_field(F.col("suggestion"), said("suggestion")).alias("suggestions"),
+        by_field(F.col("source"), said("source")).alias("second_check"),
+    )
+    found = issues.select("form_id", (F.col("rule_ord") + 100).alias("ord"), F.col("rule").alias("msg")).unionByName(warnings.where("warning IS NOT NULL").select("form_id", F.col("page").alias("ord"), F.col("warning").alias("msg")))
+    found = found.groupBy("form_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "msg"))), lambda x: x["msg"]).alias("validation_issues"))
+    doubts = flags.groupBy("form_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "reasons")))).alias("field_reasons"))
+    rows = values.join(found, "form_id", "left").join(doubts, "form_id", "left")
+    none = F.array().cast("array<string>")
+    body = F.struct("fields", F.coalesce("validation_issues", none).alias("validation_issues"), F.coalesce(F.map_keys("field_reasons"), none).alias("flagged_fields"), F.coalesce("field_reasons", F.create_map().cast("map<string,array<string>>")).alias("field_reasons"), "confidences", "thresholds", "disambiguated", "suggestions", "second_check")
+    return rows.select("form_id", F.to_json(body).alias("body"))
+
+
+def record_reviews(reviews: DataFrame, path: str) -> None:
+    """Append review actions (form_id, action, at, fields): approved or flagged forms with what the reviewer left in them."""
+    reviews.where("action IN ('approve', 'flag')").write.mode("append").parquet(path)
+
+
+def first_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in order; 0 takes all."""
+    ordered = rows.orderBy(*order)
+    return ordered.limit(n) if n else ordered
+
+
 def write_results(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").json(path)
