@@ -218,7 +218,7 @@ def search(base: DataFrame, is_query: Column, *, k: int = K, factor: float = FAC
     kth = first.groupBy("query_id").agg(F.count("*").alias("found"), F.sort_array(F.collect_list("score"), asc=False).alias("scores")).where(F.col("found") >= k).select("query_id", F.element_at("scores", k).alias("score"))
     scale = most / F.sqrt(F.aggregate("query", F.lit(0.0), lambda a, x: a + x * x))
     bound = F.sqrt(F.greatest(2 * most**2 - 2 * scale * F.col("score"), F.lit(0.0))) + 1e-6 * most
-    rest = asked.join(kth, "query_id", "left").select("query_id", "query", F.coalesce(bound, F.lit(float("inf"))).alias("bound"))
+    rest = asked.join(kth, "query_id", "left").select("query_id", "query", F.when(F.col("score").isNotNull(), bound).otherwise(float("inf")).alias("bound"))
     found = first.unionByName(searched(rest, True)).distinct()
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -200,6 +200,16 @@ def test_chains_cross_lines_of_other_texts(spark):
     assert {frozenset((r.doc_id, r.other_id)) for r in got} == want and all(r.stop - r.start >= 60 for r in got)
 
 
+def test_chains_refer_past_texts_that_share_less(spark):
+    """Each piece of a passage stands alone in many smaller texts; the two that share it whole are found all the same."""
+    rng = random.Random(12)
+    passage = words(rng, 80)
+    texts = [" ".join([*words(rng, 30), *passage[k : k + 8], *words(rng, 30)]) for k in range(73)]
+    texts += [" ".join([*words(rng, 40), *passage, *words(rng, 40)]) for _ in range(2)]
+    got = chain_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {frozenset((r.doc_id, r.other_id)) for r in got} == {frozenset((73, 74))} and all(r.stop - r.start >= 80 for r in got)
+
+
 def test_chain_and_alignment():
     import numpy as np
 

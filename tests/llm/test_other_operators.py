@@ -105,3 +105,14 @@ def test_pipeline(spark, tmp_path):
 
 def test_names():
     assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(QUERIES) and len(QUERIES) == 10
+
+
+def test_search_settles_ties_by_id(spark):
+    """Sixty different vectors of one score: the least ids, exactly, at factor one and in one shard or many."""
+    from glyphledger.llm import vp_search
+
+    rows = [(i, [1.0, float(i) / 7]) for i in range(1, 61)] + [(0, [1.0, 0.0])]
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard_rows in (16_384, 8):
+        got = vp_search.search(base, F.col("vec_id") == 0, factor=1.0, shard_rows=shard_rows).orderBy("rank").collect()
+        assert [(r.rank, r.vec_id, r.score) for r in got] == [(k, k, 1.0) for k in range(1, 21)]
