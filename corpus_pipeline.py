@@ -44,7 +44,7 @@ STAGES = [
     ("source_mixing", mix_sources),
 ]
 
-#: Classes, cuts and draws are beyond SQL; tests hold run() against a brute-force version.
+#: Classes, cuts and draws are beyond SQL; tests hold the stages' operators against brute force, and run() against the stages.
 ORACLE_SQL = None
 
 
