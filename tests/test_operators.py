@@ -211,3 +211,60 @@ def test_stream_equals_batch(spark, tmp_path):
     stream.awaitTermination(60)
     got = {(r.form_id, r.rule) for r in spark.sql("SELECT * FROM found").collect()}
     assert got == {(i, "arithmetic") for i in (0, 2, 4)}
+
+
+def _png(path, grey):
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    h, w = grey.shape
+    raw = b"".join(b"\0" + row.tobytes() for row in grey)
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+
+
+def test_decode_pages(spark, tmp_path):
+    from glyphledger.sources import files
+
+    rng = np.random.default_rng(2)
+    images = {"a": rng.integers(0, 256, (41, 29), dtype=np.uint8), "b": rng.integers(0, 256, (20, 30), dtype=np.uint8)}
+    for name, grey in images.items():
+        _png(tmp_path / f"{name}.png", grey)
+    (tmp_path / "c.png").write_bytes(b"no image")
+    got = {r.name: r for r in files.decode_pages(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a", "b"} and got["a"].warning is None and "30" in got["b"].warning
+    for name, grey in images.items():
+        assert (got[name].h, got[name].w) == grey.shape and bytes(got[name].pixels) == grey.tobytes()
+
+
+def test_warp_leaves_pixels_where_the_map_does():
+    from glyphledger.functions import vision
+
+    grey = np.random.default_rng(4).integers(0, 256, (9, 7), dtype=np.uint8)
+    assert (vision.warp(grey, np.eye(3), 7, 9) == grey).all()
+    moved = vision.warp(grey, np.array([[1, 0, 2], [0, 1, 1], [0, 0, 1.0]]), 7, 9)
+    assert (moved[3:, 4:] == grey[2:-1, 2:-2]).all()
+
+
+def test_answer_documents(spark):
+    import json
+
+    from glyphledger.sources import files
+
+    readings = spark.createDataFrame([(1, "x", "5", 0.81251, 0.7, "4", None, None), (1, "y", None, 0.5, 0.9, None, "Yve", "suggestion")], "form_id int, field string, value string, confidence double, threshold double, repaired string, suggestion string, source string")
+    issues = spark.createDataFrame([(1, 2, "R2"), (1, 1, "R1")], "form_id int, rule_ord int, rule string")
+    flags = spark.createDataFrame([(1, "y", ["low"])], "form_id int, field string, reasons array<string>")
+    warnings = spark.createDataFrame([(1, 1, "odd page"), (1, 2, None)], "form_id int, page int, warning string")
+    body = json.loads(files.answer_documents(readings, issues, flags, warnings).first().body)
+    assert body == {"fields": {"x": "5", "y": ""}, "validation_issues": ["odd page", "R1", "R2"], "flagged_fields": ["y"], "field_reasons": {"y": ["low"]}, "confidences": {"x": 0.813, "y": 0.5}, "thresholds": {"x": 0.7, "y": 0.9}, "disambiguated": {"x": "4 -> 5"}, "suggestions": {"y": "Yve"}, "second_check": {"y": "suggestion"}}
+
+
+def test_first_rows_and_reviews(spark, tmp_path):
+    from glyphledger.sources import files
+
+    rows = spark.range(5)
+    assert files.first_rows(rows, 0, "id").count() == 5 and [r.id for r in files.first_rows(rows, 2, "id").collect()] == [0, 1]
+    actions = spark.createDataFrame([(1, "approve"), (2, "flag"), (3, "look")], "form_id int, action string")
+    for _ in range(2):
+        files.record_reviews(actions, str(tmp_path / "reviews"))
+    assert spark.read.parquet(str(tmp_path / "reviews")).count() == 4
