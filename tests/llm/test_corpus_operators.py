@@ -153,6 +153,23 @@ def test_near_duplicates(docs, rows, empty):
     assert dart_minhash.classes(empty).count() == 0
 
 
+def test_signatures_of_short_texts_take_bounded_memory():
+    """A block of many short texts, signed in parts: the same signatures, and memory that their number doesn't raise."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    n = 6000
+    row = np.repeat(np.arange(n), rng.integers(0, 9, n))
+    shingle = rng.integers(0, 2**63, len(row)).astype(np.uint64)
+    tracemalloc.start()
+    got = dart_minhash._signed(shingle, row, n, 120)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == dart_minhash.signatures(shingle, row, n, 120)).all() and peak < 60 << 20
+
+
 def test_near_duplicates_null_and_repeated_ids(spark):
     """Rows that share an id, or have none, stand for their own texts."""
     text = lambda mark, n=200: " ".join(f"{mark}{i}" for i in range(n))
