@@ -166,7 +166,7 @@ def _next_pairs(offset: int):
 def _repeated(pairs: DataFrame) -> DataFrame:
     """The rows (pair, tid, p) whose pair other positions have too."""
     twice = pairs.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1").select("pair")
-    return C.checkpoint(pairs.join(twice, "pair"))
+    return pairs.join(twice, "pair")
 
 
 def _runs(length: int):
@@ -202,16 +202,15 @@ def repeated_spans(texts: DataFrame, *, length: int = LENGTH, gram: int = GRAM)
     # copies of a text go before the shuffle, in each task's share of the aggregation
     some = texts.join(opened.select("tid"), "tid", "left_semi").dropDuplicates(["tid"]).join(opened, "tid").select("tid", "text", "open")
     pairs, offset = C.checkpoint(some.mapInArrow(_first_pairs(length), "pair long, tid long, p int")), length // 2
-    ranks = _repeated(pairs)
     while offset < length:
-        made = ranks.repartition("tid").sortWithinPartitions("tid", "p").mapInArrow(_next_pairs(offset), "pair long, tid long, p int")
-        C.discard(pairs)
-        pairs, offset = C.checkpoint(made), offset * 2
-        C.discard(ranks)
-        ranks = _repeated(pairs)
-    C.discard(pairs)
-    edges = ranks.select("tid", "p").repartition("tid").sortWithinPartitions("tid", "p").mapInArrow(_runs(length), "tid long, start long, stop long")
-    return whole.unionByName(edges).groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+        # what a round keeps goes straight to the next pairs; only these are written
+        made = _repeated(pairs).repartition("tid").sortWithinPartitions("tid", "p").mapInArrow(_next_pairs(offset), "pair long, tid long, p int")
+        done, pairs, offset = pairs, C.checkpoint(made), offset * 2
+        C.discard(done)
+    edges = _repeated(pairs).select("tid", "p").repartition("tid").sortWithinPartitions("tid", "p").mapInArrow(_runs(length), "tid long, start long, stop long")
+    spans = C.checkpoint(whole.unionByName(edges).groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans")))
+    C.discard(members, opened, pairs)
+    return spans
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +256,7 @@ def _with_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     tid, last = C.unused("tid", docs.columns), C.unused("spans", docs.columns)
     content = F.coalesce("text", F.lit(""))
     keyed = docs.withColumn(tid, F.xxhash64(content, F.octet_length(content)))
-    spans = C.checkpoint(repeated_spans(keyed.where(F.octet_length("text") >= length).select(F.col(tid).alias("tid"), "text"), length=length, gram=gram))
+    spans = repeated_spans(keyed.where(F.octet_length("text") >= length).select(F.col(tid).alias("tid"), "text"), length=length, gram=gram)
     return keyed.join(spans.select(F.col("tid").alias(tid), F.col("spans").alias(last)), tid, "left").select(*docs.columns, last)
 
 
