@@ -145,7 +145,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def learn(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> dict:
     """The model of docs (text): labeller accuracies from all of them, the scorer from at most `sample_docs`."""
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    counts = texts.mapInArrow(_vote_rows, "key long, pattern long").groupBy("pattern").agg(F.count("*").alias("n")).collect()  # 3 ** labellers at most
+    counts = texts.mapInArrow(_vote_rows, "key long, pattern long").groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # 3 ** labellers at most; in order, so that sums of reruns agree
     if not counts:
         return {"accuracy": np.full((2, len(LABELLERS), 3), 1 / 3), "good": 0.5, "posterior": {}, "weights": np.zeros(1 << HASH_BITS), "bias": 0.0}
     keys, n = np.array([r.pattern for r in counts]), np.array([r.n for r in counts], float)
