@@ -12,10 +12,11 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphledger.llm.common import checkpoint
+from glyphledger.llm.common import checkpoint, discard
 
 #: Characters that look like ASCII letters.
 HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ѵ": "v", "ԝ": "w", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɡ": "g"}
@@ -30,7 +31,8 @@ EXCEPTIONS = ("trash can", "trash bin", "trash day", "clown fish", "pond scum",
 SAMPLE_DOCS = 40_000
 MIN_SHARE = 0.01
 PREFIX = (4, 8)
-_FULL = "".join(chr(0xFF41 + i) for i in range(26)), "abcdefghijklmnopqrstuvwxyz"
+#: Different terms that a task counts before it passes its counts on.
+COUNTED = 200_000
 
 
 def fold(text: Column) -> Column:
@@ -42,6 +44,32 @@ def fold(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
+def terms_of(folded: str) -> set[str]:
+    """The terms of a folded text: its words of three letters or more, and the beginnings of longer ones."""
+    lo, hi = PREFIX
+    words = {w for w in folded.split(" ") if len(w) >= 3}
+    return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in range(lo, min(len(w), hi) + 1)}
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, folded text) to (term, t, c): how many toxic and clean texts have a term, counted within each task."""
+    counts: dict[str, list[int]] = {}
+
+    def counted() -> pa.RecordBatch:
+        seen = list(counts.values())
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([n[k] for n in seen], pa.int64()) for k in (1, 0))], names=["term", "t", "c"])
+
+    for batch in batches:
+        for toxic, folded in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for term in terms_of(folded.as_py()):
+                counts.setdefault(term, [0, 0])[toxic] += 1
+            if len(counts) > COUNTED:
+                yield counted()
+                counts.clear()
+    if counts:
+        yield counted()
+
+
 def learn(docs: DataFrame, labels: DataFrame, train: Column, *, sample_docs: int = SAMPLE_DOCS) -> dict:
     """The lexicon {term: weight} and the calibration, from at most `sample_docs` labelled documents.
 
@@ -53,15 +81,12 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, *, sample_docs: int
     rows = docs.where(train & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     # which documents: the smallest hashes of the ids, so that reruns and any partitioning agree
     chosen = rows.select("doc_id").distinct().join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    sample = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.split(F.trim(fold(F.col("text"))), " ").alias("words"))
     n = chosen.agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c")).first()
     if not n.t or not n.c:
         return {"terms": {}, "prior": 0.5 if n.t == n.c else 0.99 if n.t else 0.01, "gain": 1.0, "bias": 0.0}
-    lo, hi = PREFIX
-    begin = lambda w: F.transform(F.sequence(F.lit(lo), F.least(F.length(w), F.lit(hi))), lambda k: F.concat(F.lit(" "), F.substring(w, 1, k)))
-    words = F.filter(F.array_distinct("words"), lambda w: F.length(w) >= 3)
-    terms = sample.select("toxic", F.array_distinct(F.flatten(F.transform(words, lambda w: F.when(F.length(w) >= lo, F.concat(F.array(F.concat(F.lit(" "), w, F.lit(" "))), begin(w))).otherwise(F.array(F.concat(F.lit(" "), w, F.lit(" "))))))).alias("terms"))
-    counted = terms.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
+    # folded once: the terms are counted on it, and the lexicon that comes of them is calibrated on it
+    sample = checkpoint(rows.join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), fold(F.col("text")).alias("folded")))
+    counted = sample.mapInArrow(_count_terms, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     # copies of a passage make terms of its words; a term has to show in a share of all toxic documents
     counted = checkpoint(counted.where(F.col("t") >= max(3, math.ceil(MIN_SHARE * n.t))))
     weight = F.log((F.col("t") + 0.5) / (n.t + 1)) - F.log((F.col("c") + 0.5) / (n.c + 1))
@@ -76,14 +101,16 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, *, sample_docs: int
         inner = [x for x in found if r.term.startswith(x)]
         if not inner or r.weight > max(found[x] for x in inner) + 1.5:
             found[r.term] = float(r.weight)
-    return {"terms": found, "prior": prior} | _calibrate(sample, found, prior)
+    gain = _calibrate(sample, found, prior)
+    discard(sample, counted)
+    return {"terms": found, "prior": prior} | gain
 
 
 def _calibrate(sample: DataFrame, terms: dict, prior: float) -> dict:
     """Gain and bias of the logistic score, by Newton steps on counts of the (rounded) raw score; these are few."""
     if not terms:
         return {"gain": 1.0, "bias": 0.0}
-    scored = sample.select("toxic", match({"terms": terms})(F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).alias("raw"))
+    scored = sample.select("toxic", match({"terms": terms})("folded").alias("raw"))
     counts = [(r.raw, r.t, r.n) for r in scored.groupBy(F.round(F.least("raw", F.lit(20.0)), 1).alias("raw")).agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()]
     a, b = 1.0, math.log(prior / (1 - prior))
     for _ in range(30):
