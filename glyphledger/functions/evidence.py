@@ -98,5 +98,10 @@ def crop(pixels: Column, width: int, x1: int, y1: int, x2: int, y2: int) -> Colu
 
 
 def months(mode: Column, first: Column, n: Column) -> Column:
-    """Twelve flags: all, none, or n months from `first` (1 to 12) on."""
-    return F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.when(mode == "all", True).when(mode == "none", False).otherwise((m >= first) & (m < first + n)))
+    """Twelve flags: all, none (as with the mark for the whole year, "master"), or n months from `first` (1 to 12) on."""
+    return F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.when(mode == "all", True).when(mode.isin("none", "master"), False).otherwise((m >= first) & (m < first + n)))
+
+
+def aligned_start(cells: int, size: Column, *, middle: bool = False) -> Column:
+    """The cell (from 0) where a text of this size starts that stands at the right end, or in the middle."""
+    return F.floor((cells - size) / 2) if middle else cells - size

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 
 CANVAS_WIDTH, CANVAS_HEIGHT = 1241, 1755
 IMAGE = "w int, h int, pixels binary"
+#: Shares of a comb cell that strips are made of.
+WIDTHS = (0.62, 0.72, 0.82)
 
 
 def _image(w: int, h: int, pixels: bytes) -> np.ndarray:
@@ -67,7 +69,7 @@ def box_with_margin(image: np.ndarray, box: tuple[int, int, int, int], dx: int =
     return resize(part, part.shape[1] * 2, part.shape[0] * 2)
 
 
-def read_strips(pages: DataFrame, recognise: Callable[[np.ndarray], tuple[str, float]], widths: tuple[float, ...] = (0.62, 0.72, 0.82)) -> DataFrame:
+def read_strips(pages: DataFrame, recognise: Callable[[np.ndarray], tuple[str, float]], widths: tuple[float, ...] = WIDTHS) -> DataFrame:
     """(page_id, field, width_ord, text, score) of comb fields (page_id, field, w, h, pixels, cells array<array<int>>).
 
     A field without ink reads '' with score 1. The recogniser is any picklable function from pixels to text and score.

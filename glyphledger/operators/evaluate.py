@@ -28,6 +28,11 @@ def overall(matches: DataFrame) -> DataFrame:
     return matches.rollup("field").agg(F.count("*").alias("total"), F.count_if("correct").alias("correct"))
 
 
+def caught(report: DataFrame) -> DataFrame:
+    """All flagged readings of a report by field, and those of fields that have errors."""
+    return report.agg(F.sum("flagged").alias("flagged"), F.sum(F.when(F.col("correct") < F.col("total"), F.col("flagged")).otherwise(0)).alias("caught"))
+
+
 def worst_first(report: DataFrame, low: float = 0.95) -> DataFrame:
     """The report with acc and a mark under `low`, least accurate and least sure fields first."""
     acc = F.col("correct") / F.col("total")

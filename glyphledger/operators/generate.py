@@ -5,7 +5,7 @@ Every value is a function of the form's key, so forms can be made in parallel an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphledger.functions.evidence import months
@@ -15,9 +15,9 @@ from glyphledger.functions.text import birth_date_of, check_digit, corrupted_id,
 FAULTS = ("arithmetic", "check digit", "birth date", "page match", "postal length", "tax id length", "year range")
 
 
-def draw(key: Column, salt: str, n: int) -> Column:
+def draw(key: Column, salt: str, n: int | Column) -> Column:
     """A number from 0 to n - 1 that the key and the salt decide."""
-    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(n))
+    return F.pmod(F.xxhash64(key, F.lit(salt)), n if isinstance(n, Column) else F.lit(n))
 
 
 def _padded(number: Column, width: int) -> Column:
@@ -34,6 +34,32 @@ def valid_id(key: Column, salt: str, female: Column) -> Column:
     return F.concat(nine, check_digit(nine).cast("string"))
 
 
+def filled(count: Column, i: Column, value: Column) -> Column:
+    """The value in the first `count` rows (from 1), blank after them."""
+    return F.when(i <= count, value).otherwise("")
+
+
+def sample_specs(spark: SparkSession, n: int = 20) -> DataFrame:
+    """n specs for generate(): every kind of fault and every way to fill the months and child rows in turn, one in eight
+    without a fault; pool names where names are drawn from, and every sixth spec asks for names no register has."""
+    i = F.col("form_id")
+    fault = F.get(F.array(*map(F.lit, FAULTS)), (i % (len(FAULTS) + 1) - 1).cast("int"))
+    months_ = F.get(F.array(*map(F.lit, ("all", "none", "master", "part"))), (i % 4).cast("int"))
+    return spark.range(1, n + 1).select(F.col("id").alias("form_id")).select("form_id", (i % 2 == 0).alias("female"), (i % 5).cast("int").alias("children"), months_.alias("months"), fault.alias("broken"), F.when(i % 6 == 0, "unlisted").otherwise("listed").alias("pool"))
+
+
+def draw_names(forms: DataFrame, pools: DataFrame, to: str, *, key: str = "form_id", pool: str = "pool") -> DataFrame:
+    """forms with a column drawn from the entries of their pool, pools (pool, entry); null where a pool has none.
+
+    The same key draws the same entry. Forms meet their pool's size and then one entry, by equi-joins.
+    """
+    entries = pools.select(F.col("pool").alias("_pool"), F.col("entry").alias(to)).distinct()
+    numbered = entries.select(F.col("_pool").alias("_of"), to, (F.row_number().over(Window.partitionBy("_pool").orderBy(to)) - 1).alias("_place"))
+    sizes = entries.groupBy("_pool").agg(F.count("*").alias("_n"))
+    asked = forms.join(sizes, F.col(pool) == F.col("_pool"), "left").withColumn("_at", draw(F.col(key), to, F.col("_n")).cast("int"))
+    return asked.join(numbered, (F.col(pool) == F.col("_of")) & (F.col("_at") == F.col("_place")), "left").select(*forms.columns, to)
+
+
 def _slashed(ten: Column) -> Column:
     return F.concat(F.left(ten, F.lit(6)), F.lit("/"), F.right(ten, F.lit(4)))
 
@@ -42,7 +68,8 @@ def generate(specs: DataFrame) -> DataFrame:
     """Wide forms from specs (form_id, female boolean, children int, months string, broken string or null).
 
     Incomes follow from two drawn amounts: row_01 their sum, row_02a a truncated 13.4 percent of the first, row_03 the
-    rest, row_04 a truncated 19 percent of it. The first `children` rows of child ids are filled, the others blank.
+    rest, row_04 a truncated 19 percent of it. The first `children` rows of child ids are filled, the others blank. Months that
+    are "master" have the mark for the whole year, and none of the twelve.
     """
     k = F.col("form_id")
     broken = lambda name: F.coalesce(F.col("broken") == name, F.lit(False))
@@ -66,7 +93,8 @@ def generate(specs: DataFrame) -> DataFrame:
         "row_02": F.col("row_02").cast("string"),
         "row_03": F.when(broken("arithmetic"), (F.col("row_03") + 1).cast("decimal(12,2)")).otherwise(F.col("row_03")).cast("string"),
         "row_04": truncate_money(F.col("row_03") * F.lit("0.19").cast("decimal(3,2)")).cast("string"),
-        **{f"child{i}_id": F.when(F.col("children") >= i, _slashed(valid_id(k, f"child{i}", draw(k, f"sex{i}", 2) == 0))).otherwise("") for i in range(1, 5)},
+        **{f"child{i}_id": filled(F.col("children"), F.lit(i), _slashed(valid_id(k, f"child{i}", draw(k, f"sex{i}", 2) == 0))) for i in range(1, 5)},
+        "month_all": F.col("months") == "master",
         "months": months(F.col("months"), (draw(k, "from", 12) + 1).cast("int"), (draw(k, "n", 5) + 1).cast("int")),
     }
     return out.select("form_id", "broken", *[c.alias(n) for n, c in columns.items()])

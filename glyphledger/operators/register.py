@@ -60,3 +60,8 @@ def miss_pool(candidates: DataFrame, register: DataFrame, *, key: str, value: st
 def misses(candidates: DataFrame, register: DataFrame, *, key: str, value: str = "value", list_name: str = "list_name") -> DataFrame:
     """The candidates that snap to nothing."""
     return nearest_entry(candidates, register, key=key, value=value, list_name=list_name).where(~F.col("gaz_matched")).select(*candidates.columns)
+
+
+def pool(names: DataFrame, value: str, least: int, most: int) -> DataFrame:
+    """The distinct keys (entry) of `least` to `most` letters, in order: what fits a comb."""
+    return names.select(key_lower(F.col(value)).alias("entry")).where(F.length("entry").between(least, most)).distinct().orderBy("entry")

@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from glyphledger.functions.evidence import THRESHOLDS
 from glyphledger.functions.text import ALPHABET, key_upper
+from glyphledger.operators.readings import needs_cleaner
 
 #: Least similarity of a suggestion and of an adopted value to the reading.
 SUGGEST, ADOPT = 0.4, 0.5
@@ -35,6 +36,19 @@ def revalidates(value: Column, reading: Column, ratio: Column) -> Column:
     return (value != "") & value.rlike(f"^[{ALPHABET} ]+$") & (F.length(value) <= F.greatest(n + 4, F.floor(n * 1.6))) & (ratio >= ADOPT)
 
 
+def with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """rows (field, reading, is_name, confidence) with a cleaner's response from answers (field, reading, is_name, response).
+
+    Only readings that need a cleaner look one up; the others, and those without an answer, have none. Of several answers to
+    one question the least counts, so reruns agree.
+    """
+    asks = F.coalesce(needs_cleaner(F.col("confidence"), F.col("reading")), F.lit(False))
+    question = ["field", "reading", "is_name"]
+    known = answers.where("response IS NOT NULL").groupBy(*question).agg(F.min("response").alias("response"))
+    asked = rows.where(asks).join(known, question, "left").select(*rows.columns, "response")
+    return asked.unionByName(rows.where(~asks).withColumn("response", F.lit(None).cast("string")))
+
+
 def decide(rows: DataFrame, *, available: bool = True) -> DataFrame:
     """rows (reading, response, is_name, ratio, confidence) with value, suggestion, source and the new confidence.
 

@@ -21,6 +21,13 @@ SELECT k, nine, c, ten, CASE WHEN k % 23 = 0 THEN '' WHEN k % 17 = 0 THEN nine W
        WHEN k % 3 = 1 THEN substr(ten, 1, 4) || ' ' || substr(ten, 5) || 'o' ELSE ten END AS raw
 FROM (SELECT k, nine, c, nine || CAST(CASE WHEN k % 13 = 0 THEN (c + 1) % 10 WHEN c = 10 THEN 0 ELSE c END AS STRING) AS ten FROM ({_ID}) AS b) AS d
 """
+#: Ids with their slash and a birth date: mostly the id's own, some impossible, short or another one.
+_DATES = f"""
+SELECT k, ten, substr(ten, 1, 6) || '/' || substr(ten, 7) AS person_id,
+       CASE WHEN k % 11 = 0 THEN '31022001' WHEN k % 19 = 0 THEN '0101' WHEN k % 29 = 0 THEN '01010000' WHEN k % 7 = 0 THEN '15061988'
+            ELSE substr(ten, 5, 2) || '.' || lpad(CAST(CAST(substr(ten, 3, 2) AS INT) % 50 AS STRING), 2, '0') || '.19' || substr(ten, 1, 2) END AS birth_date
+FROM ({_ID_TEXT}) AS e
+"""
 SQL = {
     "money_text": """
 SELECT l_orderkey, l_linenumber, CASE (l_orderkey * 7 + l_linenumber) % 9 WHEN 1 THEN replace(m, '.', ',') WHEN 2 THEN replace(m, '.', ':') WHEN 3 THEN replace(m, '.', '')
@@ -28,12 +35,7 @@ SELECT l_orderkey, l_linenumber, CASE (l_orderkey * 7 + l_linenumber) % 9 WHEN 1
 FROM (SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING) AS m FROM {lineitem}) AS t
 """,
     "id_text": _ID_TEXT,
-    "dates_text": f"""
-SELECT k, ten, substr(ten, 1, 6) || '/' || substr(ten, 7) AS person_id,
-       CASE WHEN k % 11 = 0 THEN '31022001' WHEN k % 19 = 0 THEN '0101' WHEN k % 29 = 0 THEN '01010000' WHEN k % 7 = 0 THEN '15061988'
-            ELSE substr(ten, 5, 2) || '.' || lpad(CAST(CAST(substr(ten, 3, 2) AS INT) % 50 AS STRING), 2, '0') || '.19' || substr(ten, 1, 2) END AS birth_date
-FROM ({_ID_TEXT}) AS e
-""",
+    "dates_text": _DATES,
     "noisy_name": """
 SELECT p_partkey, p_name, CASE p_partkey % 7 WHEN 1 THEN substr(p_name, 1, length(p_name) - 1) WHEN 2 THEN replace(p_name, 'e', 'é') WHEN 3 THEN replace(p_name, 'a', 'o')
        WHEN 4 THEN substr(p_name, 1, 3) || ' ' || substr(p_name, 4) WHEN 5 THEN upper(replace(p_name, 'o', 'ô')) WHEN 6 THEN 'q' || substr(p_name, 4) || 'zz' ELSE p_name END AS noisy
@@ -50,6 +52,13 @@ SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN '' WHEN c_custkey % 5 = 0 THE
        CASE WHEN c_custkey % 8 = 0 THEN '' WHEN c_custkey % 6 = 0 THEN '8410' WHEN c_custkey % 4 = 0 THEN '841 04' ELSE lpad(CAST(c_custkey % 99999 AS STRING), 5, '0') END AS postal_code,
        CASE WHEN c_custkey % 7 = 0 THEN '5' WHEN c_custkey % 3 = 0 THEN CAST(1990 + c_custkey % 40 AS STRING) WHEN c_custkey % 11 = 0 THEN '' ELSE lpad(CAST(c_custkey % 100 AS STRING), 2, '0') END AS tax_year
 FROM {customer}
+""",
+    "records": f"""
+SELECT k AS form_id, CASE WHEN k % 5 = 0 THEN '' ELSE person_id END AS person_id, CASE WHEN k % 7 = 0 THEN '' WHEN k % 8 = 0 THEN '12345' WHEN k % 9 = 0 THEN '900101/1238' ELSE person_id END AS person_id_p2, birth_date,
+       CASE WHEN k % 31 = 0 THEN '1?0.00' ELSE '100.00' END AS row_01, CASE WHEN k % 6 = 0 THEN '1.00' ELSE '20.00' END AS row_02, '80.00' AS row_03,
+       CASE WHEN k % 9 = 0 THEN '' WHEN k % 10 = 0 THEN '123456789' ELSE '1234567890' END AS employer_tax_id, CASE WHEN k % 4 = 0 THEN NULL WHEN k % 14 = 0 THEN '8410' ELSE '841 04' END AS postal_code,
+       CASE WHEN k % 4 = 1 THEN NULL WHEN k % 15 = 0 THEN '1999' ELSE '24' END AS tax_year
+FROM ({_DATES}) AS r
 """,
     "obs": """
 SELECT d.doc_id AS form_id, d.source AS field, CASE WHEN d.n_chars > 900 THEN '1' ELSE '0' END AS value, CAST((d.doc_id * 37) % 100 AS DOUBLE) / 100 AS confidence FROM {documents} AS d

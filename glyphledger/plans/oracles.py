@@ -7,7 +7,7 @@ from glyphledger.plans.adapters import adapter_sql
 
 SQL: dict[str, str] = {}
 
-MONEY, IDS, DATES, NAMES, REGISTER, TRIPLES, EMPLOYER, OBS, READS, ANSWERS = (adapter_sql(n) for n in ("money_text", "id_text", "dates_text", "noisy_name", "register", "triples", "employer", "obs", "reads", "answers"))
+MONEY, IDS, DATES, NAMES, REGISTER, TRIPLES, EMPLOYER, OBS, READS, ANSWERS, RECORDS = (adapter_sql(n) for n in ("money_text", "id_text", "dates_text", "noisy_name", "register", "triples", "employer", "obs", "reads", "answers", "records"))
 
 
 def _digits(x: str) -> str:
@@ -51,7 +51,7 @@ SQL["fuzzy_text_match"] = f"""
 WITH words AS (SELECT p_partkey, unnest(string_split({_fold('p_name')}, ' ')) AS w, {_fold('noisy')} AS r, replace({_fold('noisy')}, ' ', '') AS h FROM {NAMES} AS t),
 judged AS (SELECT p_partkey, length(w) < 2 OR contains(r, w) OR contains(h, w) OR contains(h, substr(w, 2)) OR contains(h, substr(w, 1, length(w) - 1)) OR (length(w) >= 4 AND ({_NEAR})) AS ok FROM words)
 SELECT p_partkey, bool_and(ok) AS agrees FROM judged GROUP BY p_partkey"""
-SQL["rule_page_match"] = f"SELECT k, raw <> '' AND raw <> ten AS differs FROM {IDS} AS t"
+SQL["rule_page_match"] = f"SELECT form_id, person_id_p2 <> '' AND person_id_p2 <> person_id AS differs FROM {RECORDS} AS t"
 SQL["name_score"] = f"SELECT doc_id, w, least(score, 0.5) AS score, trim(text || ' ' || lang, ' ') AS joined FROM {READS} AS t"
 SQL["alphabet_filter"] = f"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^{ALPHABET}]', ' ', 'g'), ' +', ' ', 'g'), ' ') AS kept FROM documents"
 _CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
@@ -93,13 +93,19 @@ SQL["aspect_warning"] = "SELECT p_partkey, abs(CAST(p_size + 60 AS DOUBLE) / CAS
 SQL["month_grid"] = "SELECT c_custkey, CAST(m AS INT) AS month, CASE c_custkey % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE m >= 1 + c_custkey % 12 AND m < 2 + c_custkey % 12 + c_custkey % 5 END AS marked FROM (SELECT c_custkey, unnest(range(1, 13)) AS m FROM customer) AS t"
 SQL["filled_children"] = "SELECT c_custkey, CAST(i AS INT) AS child, CASE WHEN i <= c_custkey % 5 THEN 'child ' || CAST(i AS VARCHAR) ELSE '' END AS name FROM (SELECT c_custkey, unnest(range(1, 5)) AS i FROM customer) AS t"
 _READINGS = f"""
-(SELECT l_orderkey AS form_id, 'row_' || CAST(l_linenumber AS VARCHAR) AS field, 'decimal' AS kind, raw AS value FROM {MONEY} AS a UNION ALL SELECT k, 'person_id', 'id', raw FROM {IDS} AS b
+(SELECT l_orderkey AS form_id, 'row_0' || CAST(l_linenumber AS VARCHAR) AS field, 'decimal' AS kind, raw AS value FROM {MONEY} AS a UNION ALL SELECT k, 'person_id', 'id', raw FROM {IDS} AS b
  UNION ALL SELECT k, 'birth_date', 'digits', birth_date FROM {DATES} AS d UNION ALL SELECT p_partkey, 'street', 'text', ' ' || noisy FROM {NAMES} AS e)"""
 _VALUE = f"CASE kind WHEN 'decimal' THEN {_decimal('value')} WHEN 'id' THEN {_id('value')} WHEN 'digits' THEN {_digits('value')} ELSE trim(value, ' ') END"
 SQL["extracted_values"] = f"SELECT form_id, field, {_VALUE} AS value FROM {_READINGS} AS t"
 SQL["field_match"] = f"""
+WITH marks AS (SELECT c_custkey AS form_id, CASE WHEN c_custkey % 3 = 0 THEN 'True' ELSE 'false' END AS value FROM customer),
+street AS (SELECT form_id, field, value, CASE WHEN form_id % 4 = 0 THEN 'quite else' || value ELSE value END AS truth FROM {_READINGS} AS t WHERE kind = 'text'),
+words AS (SELECT form_id, field, unnest(string_split_regex({_fold('truth')}, '\\s+')) AS w, {_fold('value')} AS r, replace({_fold('value')}, ' ', '') AS h FROM street),
+judged AS (SELECT form_id, field, length(w) < 2 OR contains(r, w) OR contains(h, w) OR contains(h, substr(w, 2)) OR contains(h, substr(w, 1, length(w) - 1)) OR (length(w) >= 4 AND ({_NEAR})) AS ok FROM words)
 SELECT form_id, field, CASE kind WHEN 'decimal' THEN {_decimal('truth')} = {_decimal('value')} WHEN 'id' THEN truth = {_id('value')} ELSE {_digits('truth')} = {_digits('value')} END AS match
-FROM (SELECT *, CASE WHEN kind = 'id' THEN {_id('value')} WHEN form_id % 4 = 0 THEN value || '1' ELSE value END AS truth FROM {_READINGS} AS t WHERE kind <> 'text') AS u"""
+FROM (SELECT *, CASE WHEN kind = 'id' THEN {_id('value')} WHEN form_id % 4 = 0 THEN value || '1' ELSE value END AS truth FROM {_READINGS} AS t WHERE kind <> 'text') AS u
+UNION ALL SELECT form_id, field, bool_and(ok) FROM judged GROUP BY form_id, field
+UNION ALL SELECT form_id, 'is_correction', (lower(value) = 'true') = (form_id % 2 = 0) FROM marks"""
 SQL["field_catalog"] = """
 SELECT * FROM (VALUES (1, 'decimal', 'numeric', 14::BIGINT, 0.8::DOUBLE), (2, 'decimal', 'numeric', 5, 0.8), (1, 'id', 'numeric', 1, 0.8), (2, 'id', 'numeric', 5, 0.8), (1, 'digits', 'numeric', 4, 0.8), (2, 'digits', 'numeric', 4, 0.8),
  (1, 'text', 'text', 5, 0.7), (2, 'text', 'text', 12, 0.7), (1, 'occupancy', 'occupancy', 2, 0.3), (2, 'occupancy', 'occupancy', 78, 0.3)) AS t(page, kind, class, n, threshold)"""
@@ -109,7 +115,7 @@ _BROKEN = f"coalesce({_R[1]} - {_R[2]} <> {_R[3]}, false)"
 SQL["rule_arithmetic"] = f"SELECT l_orderkey, l_linenumber, unnest(['row_01', 'row_02', 'row_03']) AS field FROM {TRIPLES} AS t WHERE {_BROKEN}"
 SQL["rule_unparsable"] = f"SELECT l_orderkey, l_linenumber, row_01, row_02 FROM {TRIPLES} AS t WHERE {_R[1]} IS NULL OR {_R[2]} IS NULL OR {_R[3]} IS NULL"
 SQL["count_broken"] = f"SELECT count(*) FILTER ({_BROKEN}) AS broken, count(*) FILTER (NOT {_BROKEN}) AS fine FROM {TRIPLES} AS t"
-SQL["rule_id_format"] = f"SELECT k, NOT regexp_full_match({_id('raw')}, {ID_FORM}) AS required_bad, false AS optional_bad FROM {IDS} AS t"
+SQL["rule_id_format"] = f"SELECT k, NOT regexp_full_match({_id('raw')}, {ID_FORM}) AS required_bad, k % 4 > 1 AND {_id('raw')} <> '' AND NOT regexp_full_match({_id('raw')}, {ID_FORM}) AS optional_bad FROM {IDS} AS t"
 SQL["rule_id_mod11"] = f"SELECT k, CASE WHEN regexp_full_match({_id('raw')}, {ID_FORM}) THEN CAST(replace({_id('raw')}, '/', '') AS BIGINT) % 11 <> 0 ELSE false END AS fails FROM {IDS} AS t"
 SQL["rule_tax_id"] = f"SELECT c_custkey, employer_tax_id <> '' AND length({_digits('employer_tax_id')}) <> 10 AS wrong FROM {EMPLOYER} AS t"
 SQL["rule_postal"] = f"SELECT c_custkey, length({_digits('postal_code')}) <> 5 AS wrong FROM {EMPLOYER} AS t"
@@ -119,15 +125,21 @@ _DIFFERS = "gate AND valid AND NOT (substr(d, 7, 2) = substr(person_id, 1, 2) AN
 SQL["rule_birth_cross"] = f"SELECT k, {_DIFFERS} AS differs FROM {_BIRTH.replace('@', 'person_id')} AS v"
 SQL["rule_calendar"] = f"SELECT k, gate AND NOT valid AS impossible FROM {_BIRTH.replace('@', 'person_id')} AS v"
 _ISSUES = f"""
-(WITH p AS (SELECT *, CASE WHEN k % 5 = 0 THEN '' ELSE person_id END AS pid FROM {DATES} AS t), b AS {_BIRTH.replace("@", "CASE WHEN k % 5 = 0 THEN '' ELSE person_id END")}
- SELECT k AS form_id, 'arithmetic' AS rule, 10 AS rule_ord, ['row_01', 'row_02', 'row_03'] AS fields FROM p WHERE k % 6 = 0
- UNION ALL SELECT k, 'id_format:person_id', 28, ['person_id'] FROM p WHERE NOT regexp_full_match(pid, {ID_FORM})
- UNION ALL SELECT k, 'id_mod11:person_id', 29, ['person_id'] FROM p WHERE regexp_full_match(pid, {ID_FORM}) AND try_cast(replace(pid, '/', '') AS BIGINT) % 11 <> 0
- UNION ALL SELECT k, 'birth_date_id', 80, ['birth_date', 'person_id'] FROM b WHERE {_DIFFERS}
- UNION ALL SELECT k, 'birth_date_calendar', 81, ['birth_date'] FROM b WHERE gate AND NOT valid)"""
+(WITH p AS {RECORDS}, b AS (SELECT form_id, person_id, d, regexp_full_match(person_id, {ID_FORM}) AND length(d) = 8 AS gate, try_strptime(d, '%d%m%Y') IS NOT NULL AND substr(d, 5, 4) <> '0000' AS valid FROM (SELECT form_id, person_id, {_digits('birth_date')} AS d FROM p) AS u),
+ ids AS (SELECT form_id, 'person_id' AS f, 28 AS o, person_id AS v, true AS needed FROM p UNION ALL SELECT form_id, 'person_id_p2', 30, person_id_p2, false FROM p)
+ SELECT form_id, 'arithmetic' AS rule, 10 AS rule_ord, ['row_01', 'row_02', 'row_03'] AS fields FROM p WHERE {_BROKEN}
+ UNION ALL SELECT form_id, 'arithmetic_unparsable', 11, ['row_01', 'row_02', 'row_03'] FROM p WHERE {_R[1]} IS NULL OR {_R[2]} IS NULL OR {_R[3]} IS NULL
+ UNION ALL SELECT form_id, 'id_format:' || f, o, [f] FROM ids WHERE NOT regexp_full_match(v, {ID_FORM}) AND (needed OR v <> '')
+ UNION ALL SELECT form_id, 'id_mod11:' || f, o + 1, [f] FROM ids WHERE regexp_full_match(v, {ID_FORM}) AND try_cast(replace(v, '/', '') AS BIGINT) % 11 <> 0
+ UNION ALL SELECT form_id, 'page_match', 40, ['person_id_p2', 'person_id'] FROM p WHERE person_id_p2 <> '' AND person_id_p2 <> person_id
+ UNION ALL SELECT form_id, 'tax_id_length', 50, ['employer_tax_id'] FROM p WHERE length(employer_tax_id) NOT IN (0, 10)
+ UNION ALL SELECT form_id, 'postal_length', 60, ['postal_code'] FROM p WHERE length({_digits('postal_code')}) <> 5
+ UNION ALL SELECT form_id, 'year_range', 70, ['tax_year'] FROM p WHERE tax_year = '1999'
+ UNION ALL SELECT form_id, 'birth_date_id', 80, ['birth_date', 'person_id'] FROM b WHERE {_DIFFERS}
+ UNION ALL SELECT form_id, 'birth_date_calendar', 81, ['birth_date'] FROM b WHERE gate AND NOT valid)"""
 SQL["all_issues"] = f"SELECT form_id, rule, rule_ord, array_to_string(fields, ',') AS fields FROM {_ISSUES} AS t"
 SQL["issue_fields"] = f"SELECT field, rule, count(*) AS n FROM (SELECT unnest(fields) AS field, rule FROM {_ISSUES} AS t) AS u GROUP BY field, rule"
-SQL["widen_records"] = f"SELECT i.k AS form_id, i.raw AS person_id, d.birth_date AS birth_date, true AS no_year FROM {IDS} AS i JOIN {DATES} AS d ON i.k = d.k"
+SQL["widen_records"] = f"SELECT i.k AS form_id, i.raw AS person_id, d.birth_date AS birth_date, i.k % 3 <> 0 AS no_year FROM {IDS} AS i JOIN {DATES} AS d ON i.k = d.k"
 _SNAP = f"""
 (WITH q AS (SELECT p_partkey, noisy, {_key('noisy')} AS q FROM {NAMES} AS a), r AS (SELECT entry, ord, {_key('entry')} AS e FROM {REGISTER} AS b),
  best AS (SELECT q, arg_min(struct_pack(entry := entry, n := length(e), d := levenshtein(q, e)), row(levenshtein(q, e), ord)) AS m FROM (SELECT DISTINCT q FROM q) AS c CROSS JOIN r GROUP BY q),
@@ -137,8 +149,9 @@ SQL["register_snap"] = f"SELECT p_partkey, CASE WHEN hit THEN entry ELSE trim(no
 SQL["register_apply"] = f"SELECT p_partkey, CASE WHEN hit THEN entry ELSE noisy END AS value, CASE WHEN hit THEN greatest(CAST(p_partkey % 100 AS DOUBLE) / 100, 0.85) ELSE 0.0 END AS confidence FROM {_SNAP} AS t"
 SQL["register_miss_pool"] = f"SELECT DISTINCT noisy FROM {_SNAP} AS t WHERE NOT hit"
 _REASONS = f"""
-(WITH r AS (SELECT form_id, field, kind, {_VALUE} AS v, CAST((form_id * 7 + length(field)) % 100 AS DOUBLE) / 100 AS c FROM {_READINGS} AS t WHERE kind IN ('id', 'digits'))
- SELECT form_id, field, 1 AS o, printf('low confidence %.2f < %.2f', c, CAST(0.8 AS DOUBLE)) AS reason FROM r WHERE trim(v, ' ') <> '' AND c < 0.8
+(WITH r AS (SELECT form_id, field, kind, {_VALUE} AS v, CAST((form_id * 7 + length(field)) % 100 AS DOUBLE) / 100 AS c, CASE WHEN kind = 'text' THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END AS least FROM (SELECT form_id, field, kind, min(value) AS value FROM {_READINGS} AS x GROUP BY form_id, field, kind) AS t)
+ SELECT form_id, field, 1 AS o, printf('low confidence %.2f < %.2f', c, least) AS reason FROM r WHERE trim(v, ' ') <> '' AND c < least
+ UNION ALL SELECT form_id, field, 2, 'no valid decimal' FROM r WHERE kind = 'decimal' AND NOT regexp_matches(v, '[0-9]')
  UNION ALL SELECT form_id, unnest(fields), rule_ord + 100, 'constraint: ' || rule FROM {_ISSUES} AS i)"""
 SQL["escalate_reasons"] = f"SELECT form_id, field, string_agg(reason, '; ' ORDER BY o) AS reasons FROM {_REASONS} AS t GROUP BY form_id, field"
 SQL["escalate_flags"] = f"SELECT field, count(DISTINCT form_id) AS forms, count(*) AS reasons FROM {_REASONS} AS t GROUP BY field"
@@ -151,7 +164,7 @@ SELECT o.o_orderkey, o.o_orderstatus, a.label, b.p2 FROM orders AS o JOIN (SELEC
 LEFT JOIN (SELECT l_orderkey, min(l_linestatus) AS p2 FROM lineitem WHERE l_linenumber = 2 GROUP BY l_orderkey) AS b ON o.o_orderkey = b.l_orderkey"""
 _MATCHES = f"(SELECT form_id, field, value = CAST(quality AS VARCHAR) AS correct, confidence, confidence < 0.7 AS flagged FROM {OBS} AS o JOIN labels AS l ON o.form_id = l.doc_id)"
 SQL["labels_join"] = f"SELECT * FROM {_MATCHES} AS t"
-SQL["unknown_labels"] = f"SELECT field, count(*) AS n FROM {OBS} AS t WHERE field NOT IN (SELECT field FROM {OBS} AS u WHERE form_id % 7 = 0) GROUP BY field ORDER BY field LIMIT 8"
+SQL["unknown_labels"] = f"SELECT field, count(*) AS n FROM {OBS} AS t WHERE field NOT IN (SELECT field FROM {OBS} AS u GROUP BY field HAVING min(form_id) % 2 = 0) GROUP BY field ORDER BY field LIMIT 8"
 SQL["accuracy_by_field"] = f"""
 SELECT f.field, coalesce(c, 0) AS correct, coalesce(n, 0) AS total, CASE WHEN n > 0 THEN 100.0 * c / n ELSE 0.0 END AS pct FROM (SELECT DISTINCT field FROM {OBS} AS t UNION ALL SELECT 'never seen') AS f
 LEFT JOIN (SELECT field, count(*) AS n, count(*) FILTER (correct) AS c FROM {_MATCHES} AS t GROUP BY field) AS m ON f.field = m.field"""
@@ -169,7 +182,7 @@ FROM {_BITS} AS q JOIN {_BITS} AS s ON q.image = s.image AND q.id <> s.id) AS t
 
 SQL["knn_ratio"] = f"SELECT * FROM {_good('0.9')} AS t"
 SQL["match_guard"] = f"SELECT image, count(*) AS n FROM {_good('0.97')} AS t GROUP BY image HAVING count(*) >= 3"
-SQL["round_robin"] = "SELECT n_nationkey, ['a', 'b', 'c'][(row_number() OVER (ORDER BY n_nationkey) - 1) % 3 + 1] AS style FROM nation"
+SQL["round_robin"] = "SELECT o_orderkey, ['a', 'b', 'c'][(row_number() OVER (ORDER BY o_orderkey) - 1) % 3 + 1] AS style FROM orders WHERE o_orderkey % 5 <> 2"
 SQL["distinct_pool"] = f"SELECT DISTINCT entry FROM (SELECT {_key('p_name')} AS entry FROM part) AS t WHERE length(entry) BETWEEN 1 AND 9"
 SQL["positions"] = "SELECT p_partkey, CAST(i - 1 AS INT) AS i, substr(p_name, i, 1) AS ch FROM (SELECT p_partkey, p_name, CAST(unnest(range(1, length(p_name) + 1)) AS INT) AS i FROM part) AS t"
 SQL["aligned_cells"] = "SELECT p_partkey, CAST(14 - length(p_name) AS INT) AS right_start, CAST((14 - length(p_name)) // 2 AS BIGINT) AS middle_start, lpad(p_name, 14, ' ') AS right_text FROM part"
@@ -183,8 +196,14 @@ SQL["prompt_text"] = f"SELECT p_partkey, 'Correct this misread ' || CASE WHEN is
 SQL["parse_completion"] = f"SELECT p_partkey, nullif(trim(response, ' '), '') AS answer FROM {ANSWERS} AS t"
 SQL["label_envelope"] = "SELECT c_custkey, c_name AS name FROM customer"
 SQL["json_sidecar"] = "SELECT event_id, coalesce(json_extract_string(props, '$.missing'), 'none') AS missing, json_valid(props) AS parsed FROM events"
-SQL["result_json"] = f"SELECT p.k AS form_id, CASE WHEN p.k % 5 = 0 THEN '' ELSE p.person_id END AS person_id, round_even(CAST(p.k % 1000 AS DOUBLE) / 1024, 3) AS confidence, (SELECT count(*) FROM {_ISSUES} AS i WHERE i.form_id = p.k) AS n_issues FROM {DATES} AS p"
+SQL["result_json"] = f"SELECT p.form_id, p.person_id, round_even(CAST(p.form_id % 1000 AS DOUBLE) / 1024, 3) AS confidence, coalesce(n, 0) AS n_issues FROM {RECORDS} AS p LEFT JOIN (SELECT form_id, count(*) AS n FROM {_ISSUES} AS i GROUP BY form_id) AS q ON p.form_id = q.form_id"
 SQL["base64_image"] = "SELECT c_custkey, to_base64(encode(c_name)) AS b64 FROM customer"
 SQL["generated_faults"] = """
 WITH f(i, broken, rule) AS (VALUES (1, 'arithmetic', 'arithmetic'), (2, 'check digit', 'id_mod11:person_id'), (2, 'check digit', 'id_mod11:person_id_p2'), (3, 'birth date', 'birth_date_id'), (4, 'page match', 'page_match'), (5, 'postal length', 'postal_length'), (6, 'tax id length', 'tax_id_length'), (7, 'year range', 'year_range'))
 SELECT broken, rule, count(*) AS n FROM f JOIN customer ON c_custkey % 8 = i GROUP BY broken, rule"""
+SQL["cleaner_lookup"] = f"""
+SELECT a.p_partkey, b.response FROM {ANSWERS} AS a LEFT JOIN (SELECT reading, is_name, min(response) AS response FROM {ANSWERS} AS t WHERE p_partkey % 3 > 0 AND response IS NOT NULL GROUP BY reading, is_name) AS b
+ON a.reading = b.reading AND a.is_name = b.is_name AND a.confidence < 0.7 AND trim(a.reading, ' ') <> ''"""
+SQL["page_observations"] = """
+SELECT page_id, CAST(5 AS BIGINT) AS n, share > 0.1 AS marked, round(least(1.0, abs(share - CAST(0.1 AS DOUBLE)) / CAST(0.1 AS DOUBLE)), 9) AS sure, '16' AS box
+FROM (SELECT vec_id AS page_id, CAST(len(list_filter(embedding, lambda x: floor(least(greatest(CAST(x AS DOUBLE) + 0.5, 0.0), 1.0) * 255) < 128)) AS DOUBLE) / 64 AS share FROM embeddings) AS t"""

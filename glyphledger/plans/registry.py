@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphledger.functions import catalog, evidence, text, vision
-from glyphledger.operators import escalate, evaluate, generate, matching, register, repair, rules, tiers
+from glyphledger.operators import escalate, evaluate, generate, matching, pages, readings, register, repair, rules, tiers
 from glyphledger.plans.adapters import adapter
 from glyphledger.sources import files
 
@@ -47,8 +47,8 @@ _over("edit_distance", "noisy_name", ("p_partkey",), d=lambda: F.levenshtein(tex
 _over("edit_le1", "noisy_name", ("p_partkey",), near=lambda: text.within_one_edit(text.key_lower(c("noisy")), text.key_lower(c("p_name"))))
 _over("fuzzy_contains", "noisy_name", ("p_partkey",), inside=lambda: text.contains_within_one_edit(F.substring(c("p_name"), 2, 5), text.key_lower(c("noisy"))))
 _over("fuzzy_text_match", "noisy_name", ("p_partkey",), agrees=lambda: text.text_agrees(c("p_name"), c("noisy")))
-_over("rule_page_match", "id_text", ("k",), differs=lambda: F.coalesce(c("raw") != "", F.lit(False)) & ~c("raw").eqNullSafe(c("ten")))
-_over("name_score", "reads", ("doc_id", "w"), score=lambda: F.least(c("score"), F.lit(0.5)), joined=lambda: F.trim(F.concat_ws(" ", c("text"), c("lang"))))
+_over("rule_page_match", "records", ("form_id",), differs=lambda: rules.pages_differ())
+_over("name_score", "reads", ("doc_id", "w"), score=lambda: readings.name_score(c("score"), 0.5), joined=lambda: readings.name_of(c("text"), c("lang")))
 
 
 @query
@@ -173,12 +173,12 @@ def month_grid(spark, sf_dir):
 def filled_children(spark, sf_dir):
     """Rows 1 to 4 of each customer, filled up to its count."""
     rows = _table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("child"))
-    return rows.select("c_custkey", "child", F.when(c("child") <= c("c_custkey") % 5, F.concat(F.lit("child "), c("child").cast("string"))).otherwise("").alias("name"))
+    return rows.select("c_custkey", "child", generate.filled(c("c_custkey") % 5, c("child"), F.concat(F.lit("child "), c("child").cast("string"))).alias("name"))
 
 
 def _readings(spark, sf_dir):
     """All kinds of readings in one table (form_id, field, kind, value, occupied)."""
-    money = adapter(spark, sf_dir, "money_text").select(c("l_orderkey").alias("form_id"), F.concat(F.lit("row_"), c("l_linenumber").cast("string")).alias("field"), F.lit("decimal").alias("kind"), c("raw").alias("value"))
+    money = adapter(spark, sf_dir, "money_text").select(c("l_orderkey").alias("form_id"), F.concat(F.lit("row_0"), c("l_linenumber").cast("string")).alias("field"), F.lit("decimal").alias("kind"), c("raw").alias("value"))
     ids = adapter(spark, sf_dir, "id_text").select(c("k").alias("form_id"), F.lit("person_id").alias("field"), F.lit("id").alias("kind"), c("raw").alias("value"))
     dates = adapter(spark, sf_dir, "dates_text").select(c("k").alias("form_id"), F.lit("birth_date").alias("field"), F.lit("digits").alias("kind"), c("birth_date").alias("value"))
     names = adapter(spark, sf_dir, "noisy_name").select(c("p_partkey").alias("form_id"), F.lit("street").alias("field"), F.lit("text").alias("kind"), F.concat(F.lit(" "), "noisy").alias("value"))
@@ -192,10 +192,11 @@ def extracted_values(spark, sf_dir):
 
 @query
 def field_match(spark, sf_dir):
-    """Readings against a label made of the same key."""
-    truth = F.when(c("kind") == "id", text.normalize_id(c("value"))).when(c("form_id") % 4 == 0, F.concat("value", F.lit("1"))).otherwise(c("value"))
-    rows = _readings(spark, sf_dir).where("kind <> 'text'")
-    return rows.select("form_id", "field", text.value_agrees(c("kind"), truth, c("value"), F.lit(None).cast("boolean")).alias("match"))
+    """Readings of all kinds against a label made of the same key."""
+    marks = _table(spark, sf_dir, "customer").select(c("c_custkey").alias("form_id"), F.lit("is_correction").alias("field"), F.lit("occupancy").alias("kind"), F.when(c("c_custkey") % 3 == 0, "True").otherwise("false").alias("value"))
+    truth = F.when(c("kind") == "occupancy", c("value")).when(c("kind") == "id", text.normalize_id(c("value"))).when((c("kind") == "text") & (c("form_id") % 4 == 0), F.concat(F.lit("quite else"), "value")).when(c("form_id") % 4 == 0, F.concat("value", F.lit("1"))).otherwise(c("value"))
+    rows = _readings(spark, sf_dir).unionByName(marks)
+    return rows.select("form_id", "field", text.value_agrees(c("kind"), truth, c("value"), c("form_id") % 2 == 0).alias("match"))
 
 
 @query
@@ -221,7 +222,8 @@ def rule_unparsable(spark, sf_dir):
 
 
 def _persons(spark, sf_dir):
-    return adapter(spark, sf_dir, "id_text").select("k", text.normalize_id(c("raw")).alias("person_id"), F.lit("").alias("person_id_p2"))
+    second = F.when(c("k") % 4 == 0, "").when(c("k") % 4 == 1, None).otherwise(text.normalize_id(c("raw")))
+    return adapter(spark, sf_dir, "id_text").select("k", text.normalize_id(c("raw")).alias("person_id"), second.alias("person_id_p2"))
 
 
 @query
@@ -260,7 +262,8 @@ def rule_calendar(spark, sf_dir):
 
 
 def _records(spark, sf_dir):
-    return adapter(spark, sf_dir, "dates_text").select(c("k").alias("form_id"), F.when(c("k") % 5 == 0, "").otherwise(c("person_id")).alias("person_id"), "birth_date", F.lit("100.00").alias("row_01"), F.when(c("k") % 6 == 0, "1.00").otherwise("20.00").alias("row_02"), F.lit("80.00").alias("row_03"))
+    """Records in which every rule has something to find."""
+    return adapter(spark, sf_dir, "records")
 
 
 @query
@@ -276,8 +279,8 @@ def issue_fields(spark, sf_dir):
 
 @query
 def widen_records(spark, sf_dir):
-    long = _readings(spark, sf_dir).where("kind IN ('id', 'digits')").select("form_id", "field", "value")
-    wide = rules.widen(long)
+    years = _table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(c("o_orderkey").alias("form_id"), F.lit("tax_year").alias("field"), F.lit("24").alias("value"))
+    wide = rules.widen(_readings(spark, sf_dir).where("kind IN ('id', 'digits')").select("form_id", "field", "value").unionByName(years))
     return wide.select("form_id", "person_id", "birth_date", c("tax_year").isNull().alias("no_year"))
 
 
@@ -307,7 +310,8 @@ def register_miss_pool(spark, sf_dir):
 
 
 def _escalation(spark, sf_dir):
-    rows = _readings(spark, sf_dir).where("kind IN ('id', 'digits')")
+    # line items repeat their numbers; a form has one reading of each field
+    rows = _readings(spark, sf_dir).groupBy("form_id", "field", "kind").agg(F.min("value").alias("value"))
     cat = catalog.field_catalog(spark)
     observed = rows.select("form_id", "field", ((c("form_id") * 7 + F.length("field")) % 100).cast("double").alias("h")).select("form_id", "field", (c("h") / 100).alias("confidence"))
     extracted = rows.select("form_id", "field", text.extracted_value(c("kind"), c("value")).alias("value"))
@@ -363,7 +367,7 @@ def labels_join(spark, sf_dir):
 @query
 def unknown_labels(spark, sf_dir):
     sheet = adapter(spark, sf_dir, "obs").select("form_id", "field")
-    known = sheet.where("form_id % 7 = 0").select("field").distinct()
+    known = sheet.groupBy("field").agg(F.min("form_id").alias("first")).where("first % 2 = 0").select("field")
     return evaluate.unknown_labels(sheet, known).groupBy("field").agg(F.count("*").alias("n")).orderBy("field").limit(8)
 
 
@@ -386,15 +390,13 @@ def eval_report(spark, sf_dir):
 
 @query
 def caught_totals(spark, sf_dir):
-    report = evaluate.by_field(_matches(spark, sf_dir))
-    return report.agg(F.sum("flagged").alias("flagged"), F.sum(F.when(c("correct") < c("total"), c("flagged")).otherwise(0)).alias("caught"))
+    return evaluate.caught(evaluate.by_field(_matches(spark, sf_dir)))
 
 
 @query
 def best_width(spark, sf_dir):
     """The reading of the surest width, the first one at a tie; any empty strip makes the field empty and sure."""
-    rows = adapter(spark, sf_dir, "reads").groupBy("doc_id").agg(F.max_by("text", F.struct("score", -c("w"))).alias("t"), F.max("score").alias("s"), F.bool_or(c("text") == "").alias("blank"))
-    return rows.select("doc_id", F.when(c("blank"), "").otherwise(c("t")).alias("text"), F.when(c("blank"), 1.0).otherwise(c("s")).alias("score"))
+    return readings.best_width(adapter(spark, sf_dir, "reads"), "doc_id")
 
 
 def _bits(spark, sf_dir):
@@ -417,8 +419,9 @@ def match_guard(spark, sf_dir):
 
 @query
 def round_robin(spark, sf_dir):
-    """Row i goes to pool place i mod 3, in key order; keys are dense, so the rank comes from the key."""
-    return _table(spark, sf_dir, "nation").select("n_nationkey", F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (c("n_nationkey") % 3 + 1).cast("int")).alias("style"))
+    """Row i in key order goes to pool place i mod 3; the keys have gaps."""
+    rows = _table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 2").select("o_orderkey")
+    return readings.round_robin(rows, "o_orderkey", ("a", "b", "c"), "style")
 
 
 @query
@@ -428,8 +431,7 @@ def count_broken(spark, sf_dir):
 
 @query
 def distinct_pool(spark, sf_dir):
-    names = _table(spark, sf_dir, "part").select(text.key_lower(c("p_name")).alias("entry"))
-    return names.where(F.length("entry").between(1, 9)).distinct().orderBy("entry")
+    return register.pool(_table(spark, sf_dir, "part"), "p_name", 1, 9)
 
 
 @query
@@ -442,7 +444,7 @@ def positions(spark, sf_dir):
 def aligned_cells(spark, sf_dir):
     """Where a text starts in a comb of 14 cells, right-aligned and in the middle."""
     n = F.length("p_name")
-    return _table(spark, sf_dir, "part").select("p_partkey", (14 - n).alias("right_start"), F.floor((14 - n) / 2).alias("middle_start"), F.lpad("p_name", 14, " ").alias("right_text"))
+    return _table(spark, sf_dir, "part").select("p_partkey", evidence.aligned_start(14, n).alias("right_start"), evidence.aligned_start(14, n, middle=True).alias("middle_start"), F.lpad("p_name", 14, " ").alias("right_text"))
 
 
 @query
@@ -458,7 +460,7 @@ def tier_unavailable(spark, sf_dir):
 @query
 def escalated_text(spark, sf_dir):
     """Readings that the text tier would be asked about."""
-    return adapter(spark, sf_dir, "answers").where((c("confidence") < 0.7) & (F.trim("reading") != "")).select("p_partkey", "reading")
+    return adapter(spark, sf_dir, "answers").where(readings.needs_cleaner(c("confidence"), c("reading"))).select("p_partkey", "reading")
 
 
 @query
@@ -571,3 +573,27 @@ def generated_faults(spark, sf_dir):
 def generated_months(spark, sf_dir):
     forms = _generated(spark, sf_dir).select("form_id", F.size(F.filter("months", lambda m: m)).alias("n"))
     return forms.select("form_id", (c("n") == 12).alias("all_year"), (c("n") > 0).alias("any_month"))
+
+
+@query
+def cleaner_lookup(spark, sf_dir):
+    """Unsure readings with the answers that a cleaner gave to the same question before."""
+    rows = adapter(spark, sf_dir, "answers").withColumn("field", F.lit("street"))
+    answers = rows.where("p_partkey % 3 > 0").select("field", "reading", "is_name", "response")
+    return tiers.with_answers(rows.select("p_partkey", "field", "reading", "is_name", "confidence"), answers).select("p_partkey", "response")
+
+
+@query
+def page_observations(spark, sf_dir):
+    """A mark, a box, two digits, a word and a name of every small image, each read in the way of its kind."""
+    halves = (((0, 0, 4, 4), (4, 0, 8, 4)),)
+    at = [pages.Layout("is_correction", "mark", (0, 0, 8, 8)), pages.Layout("p2_row_09", "box", (1, 1, 7, 7)), pages.Layout("tax_year", "cells", combs=halves), pages.Layout("street", "comb", combs=halves), pages.Layout("person_name", "names", combs=(*halves, ((0, 4, 4, 8),)))]
+    found = pages.page_evidence(_images(spark, sf_dir), at, _size_reader, _mean_reader)
+    seen = pages.observations(found, catalog.field_catalog(spark))
+    of = lambda field, value: F.max(F.when(c("field") == field, value))
+    return seen.groupBy("page_id").agg(F.count("*").alias("n"), of("is_correction", c("occupied")).alias("marked"), F.round(of("is_correction", c("confidence")), 9).alias("sure"), of("p2_row_09", c("value")).alias("box"))
+
+
+def _size_reader(image):
+    """Stands in for a recogniser of digits."""
+    return str(image.shape[0]), 0.9

@@ -31,9 +31,9 @@ def read_labels(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("stem", F.explode(envelope(F.col("value"))).alias("field", "truth")).where("truth IS NOT NULL")
 
 
-def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Generated samples with their defaults: not broken, no broken fields."""
-    rows = spark.read.schema(SAMPLE).json(path, multiLine=True)
+def read_samples(spark: SparkSession, path: str, *, by_line: bool = False) -> DataFrame:
+    """Generated samples with their defaults: not broken, no broken fields. One sample a file, or one a line."""
+    rows = spark.read.schema(SAMPLE).json(path, multiLine=not by_line)
     return rows.withColumns({"_is_broken": F.coalesce("_is_broken", F.lit(False)), "_broken_fields": F.coalesce("_broken_fields", F.array().cast("array<string>"))})
 
 
@@ -132,3 +132,44 @@ def first_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
 
 def write_results(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").json(path)
+
+
+def read_template(spark: SparkSession, path: str) -> DataFrame:
+    """(name, w, h, pixels) of a template page; a file that is no image is an error, not a missing row."""
+    from pyspark.errors import PySparkValueError
+
+    image = decode_pages(spark, path).select("name", "w", "h", "pixels")
+    if image.isEmpty():
+        raise PySparkValueError(f"no image can be read at {path}")
+    return image
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Pages (page_id, w, h, pixels) as PNG images, in a table (page_id, content) that read_pages's bytes have the form of."""
+    import pandas as pd
+
+    kind = dict(pages.dtypes)["page_id"]
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame({"page_id": batch["page_id"], "content": [_png(*x) for x in zip(batch["w"], batch["h"], batch["pixels"], strict=True)]})
+
+    pages.select("page_id", "w", "h", "pixels").mapInPandas(run, f"page_id {kind}, content binary").write.mode("overwrite").parquet(path)
+
+
+def _png(w: int, h: int, pixels: bytes) -> bytes:
+    """A grey image: a header, the rows (each unfiltered), an end, and the checksum of every part."""
+    import struct
+    import zlib
+
+    rows = b"".join(b"\0" + pixels[y * w : (y + 1) * w] for y in range(h))
+    parts = ((b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(rows)), (b"IEND", b""))
+    return b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body)) for name, body in parts)
+
+
+def write_samples(forms: DataFrame, path: str) -> None:
+    """Generated forms (form_id, broken, and their fields) as samples, one a line, that read_samples() reads."""
+    fields = [c for c in forms.columns if c not in ("form_id", "broken")]
+    truth = F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[F.to_json(c) if dict(forms.dtypes)[c].startswith("array") else F.col(c).cast("string") for c in fields]))
+    wrong = F.when(F.col("broken").isNull(), F.array().cast("array<string>")).otherwise(F.array("broken"))
+    forms.select(F.col("form_id").cast("string").alias("sample_id"), F.col("broken").isNotNull().alias("_is_broken"), wrong.alias("_broken_fields"), truth.alias("ground_truth")).write.mode("overwrite").json(path)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphledger.functions import catalog, vision
-from glyphledger.operators import escalate, evaluate, matching, register, repair, rules, tiers
+from glyphledger.operators import escalate, evaluate, generate, matching, register, repair, rules, tiers
 from glyphledger.sources import files
 from glyphledger.streaming import ingest
 
@@ -268,3 +268,101 @@ def test_first_rows_and_reviews(spark, tmp_path):
     for _ in range(2):
         files.record_reviews(actions, str(tmp_path / "reviews"))
     assert spark.read.parquet(str(tmp_path / "reviews")).count() == 4
+
+
+def test_places_and_round_robin(spark):
+    from glyphledger.operators import readings
+
+    keys = [3, -70_000, 5, 65_535, 65_536, 10**12, 0]
+    rows = spark.createDataFrame([(k, "x") for k in keys], "k long, n string").repartition(3)
+    got = {r.k: (r.place, r.n) for r in readings.places(rows, "k").collect()}
+    assert got == {k: (i, "x") for i, k in enumerate(sorted(keys))}
+    assert {r.k: r.style for r in readings.round_robin(rows, "k", ("a", "b"), "style").collect()} == {k: "ab"[i % 2] for i, k in enumerate(sorted(keys))}
+    assert readings.places(rows.limit(0), "k").count() == 0
+
+
+def test_cleaner_answers(spark):
+    rows = spark.createDataFrame([(1, "street", "KRATKA", False, 0.5), (2, "street", "KRATKA", False, 0.9), (3, "street", " ", False, 0.1), (4, "title", "KRATKA", False, 0.5), (5, "street", None, False, 0.5)], "i int, field string, reading string, is_name boolean, confidence double")
+    answers = spark.createDataFrame([("street", "KRATKA", False, "KRÁTKA"), ("street", "KRATKA", False, "KRATKÁ"), ("street", " ", False, "x"), ("title", "KRATKA", False, None)], "field string, reading string, is_name boolean, response string")
+    assert {r.i: r.response for r in tiers.with_answers(rows, answers).collect()} == {1: "KRATKÁ", 2: None, 3: None, 4: None, 5: None}
+
+
+def test_prepared_pages(spark):
+    """Pages of the canvas size stay; others follow their map, or are resized with a reason."""
+    from glyphledger.operators import pages
+
+    rng = np.random.default_rng(5)
+    image = rng.integers(0, 256, (6, 8), dtype=np.uint8)
+    big = rng.integers(0, 256, (12, 16), dtype=np.uint8)
+    rows = spark.createDataFrame([(k, x.shape[1], x.shape[0], x.tobytes()) for k, x in ((1, image), (2, big), (3, big), (4, big))], "page_id long, w int, h int, pixels binary")
+    move = [1.0, 0.0, 2.0, 0.0, 1.0, 1.0, 0.0, 0.0, 1.0]
+    fits = spark.createDataFrame([(1, move, 30), (2, move, 30), (3, None, 4)], "image long, h array<double>, inliers long")
+    got = {r.page_id: r for r in pages.prepare_pages(rows, fits, 8, 6, longest=8).collect()}
+    assert {k: (r.w, r.h, r.status, r.reason) for k, r in got.items()} == {1: (8, 6, "as is", None), 2: (8, 6, "aligned", None), 3: (8, 6, "resized", "4 inliers are too few"), 4: (8, 6, "resized", "no match")}
+    small = vision.resize(big, 8, 6)
+    aligned = np.frombuffer(got[2].pixels, np.uint8).reshape(6, 8)
+    assert bytes(got[1].pixels) == image.tobytes() and bytes(got[4].pixels) == small.tobytes()
+    assert (aligned[1:, 2:] == small[:-1, :-2]).all() and (aligned[0] == 255).all() and (aligned[:, :2] == 255).all()
+    assert pages.capped_size(3000, 10) == (3000, 10) and pages.capped_size(6000, 4001) == (3000, 2000)
+
+
+def _width_reader(strip):
+    """Surest on the middle width; digits and marks are noise."""
+    return f"A1{'x' * (strip.shape[1] % 3)}é ", {16: 0.6, 18: 0.9}.get(strip.shape[1], 0.8)
+
+
+def _tone_reader(image):
+    return f"q{int(image.min()) % 10}", 0.7 if image.min() < 50 else 0.9
+
+
+def test_page_observations(spark):
+    from glyphledger.operators import pages
+
+    image = np.full((40, 60), 255, np.uint8)
+    image[2:8, 2:8] = 0  # a mark
+    cells = tuple((10 * k, 20, 10 * k + 10, 30) for k in range(5))
+    for k, tone in ((0, 101), (2, 42), (4, 103)):  # inked cells
+        image[22:28, 10 * k + 2 : 10 * k + 8] = tone
+    at = [pages.Layout("is_correction", "mark", (0, 0, 10, 10)), pages.Layout("limited_liability", "mark", (40, 0, 50, 10)), pages.Layout("p2_row_09", "box", (0, 18, 50, 32)), pages.Layout("row_06", "cells", combs=(cells,)), pages.Layout("postal_code", "cells", combs=(cells,)), pages.Layout("street", "comb", combs=(cells[:1],)), pages.Layout("person_name", "names", combs=(cells[:1], cells[1:2])), pages.Layout("title", "comb", combs=(cells[1:2],))]
+    rows = spark.createDataFrame([(1, 60, 40, image.tobytes())], "page_id long, w int, h int, pixels binary")
+    found = pages.page_evidence(rows, at, _tone_reader, _width_reader)
+    got = {r.field: r for r in pages.observations(found, catalog.field_catalog(spark)).collect()}
+    assert len(got) == len(at)
+    assert got["is_correction"].occupied and got["is_correction"].value is None and not got["limited_liability"].occupied
+    assert got["is_correction"].confidence == 1.0 and got["limited_liability"].confidence == 1.0
+    # three whole cells of which two have ink, then the cents: a blank one reads what its recogniser says
+    assert got["row_06"].value == "12.53" and got["row_06"].confidence == 0.7 and got["row_06"].low_cells == [1]
+    assert got["postal_code"].value == "123" and got["postal_code"].low_cells == [1]
+    assert got["street"].value == "A é" or got["street"].value.startswith("A ")
+    assert got["title"].value == "" and got["title"].confidence == 1.0
+    assert got["person_name"].confidence <= 0.9 and got["person_name"].value == got["person_name"].value.strip() != ""
+
+
+def test_images_and_samples_are_written(spark, tmp_path):
+    grey = np.random.default_rng(7).integers(0, 256, (9, 5), dtype=np.uint8)
+    rows = spark.createDataFrame([(1, 5, 9, grey.tobytes())], "page_id long, w int, h int, pixels binary")
+    files.write_pages(rows, str(tmp_path / "pages"))
+    (tmp_path / "one.png").write_bytes(bytes(spark.read.parquet(str(tmp_path / "pages")).first().content))
+    back = files.read_template(spark, str(tmp_path / "one.png")).first()
+    assert (back.w, back.h, bytes(back.pixels)) == (5, 9, grey.tobytes())
+    (tmp_path / "two.png").write_bytes(b"no image")
+    with pytest.raises(ValueError):
+        files.read_template(spark, str(tmp_path / "two.png"))
+    specs = generate.sample_specs(spark)
+    forms = generate.generate(specs)
+    assert specs.count() == 20 and {r.broken for r in specs.collect()} == {None, *generate.FAULTS}
+    assert all(r.month_all == (r.months == [False] * 12) or not r.month_all for r in forms.collect())
+    files.write_samples(forms, str(tmp_path / "samples"))
+    samples = {int(r.sample_id): r for r in files.read_samples(spark, str(tmp_path / "samples"), by_line=True).collect()}
+    for form in forms.collect():
+        s = samples[form.form_id]
+        assert s._is_broken == (form.broken is not None) and s._broken_fields == ([form.broken] if form.broken else []) and s.ground_truth["row_01"] == form.row_01 and json.loads(s.ground_truth["months"]) == form.months
+
+
+def test_names_come_from_their_pool(spark):
+    specs = generate.sample_specs(spark, 60)
+    pools = spark.createDataFrame([("listed", f"Town {i}") for i in range(5)] + [("unlisted", "Nowhere"), ("unlisted", "Nowhere")], "pool string, entry string")
+    got = generate.draw_names(specs, pools, "municipality").collect()
+    assert len(got) == 60 and all((r.municipality == "Nowhere") == (r.pool == "unlisted") and r.municipality for r in got) and len({r.municipality for r in got}) == 6
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, generate.draw_names(specs.repartition(3), pools, "municipality").collect()), key=repr)
+    assert {r.municipality for r in generate.draw_names(specs, pools.limit(0), "municipality").collect()} == {None}
