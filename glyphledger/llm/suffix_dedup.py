@@ -6,11 +6,12 @@ Sorting every byte position of the corpus would shuffle many times its size. The
    equal strings pick the same place. The first rank of an anchor is its gram. Anchors with a rank of their own are done.
 2. The second rank is the pair of the gram and the text around it, as far as the strings reach that pick this anchor.
    Anchors that share this rank are repeated as a whole. Anchors whose rank is unique, but whose gram isn't, stay open.
-3. Open anchors (the edges of repeated passages) are spread out to byte positions, and prefix doubling runs on these: each
-   position starts with the rank of its `length` / 4 bytes. A round at offset h makes the pair (rank of p, rank of p + h),
-   Spark brings equal pairs together, and the pair is the position's next rank. A pair that is alone is dropped: no longer
-   string that begins there occurs twice. So it goes on at growing offsets until no position is left or the ranks cover
-   `length` bytes; the positions that are left then begin strings that occur twice.
+3. Open anchors (the edges of repeated passages) are spread out to the positions where their strings start, and prefix
+   doubling runs on these: a position starts with the rank of its `length` / 4 bytes. A round at offset h makes the pair
+   (rank of p, rank of p + h), Spark brings equal pairs together, and the pair is the position's next rank. A pair that is
+   alone is dropped: no longer string that begins there occurs twice. The rounds are at offsets `length` / 4 and
+   `length` / 2; the positions that are left then begin strings that occur twice. As a rank depends on the text alone, a
+   position carries the rank of its partner at the next offset with it, in place of looking it up among the others.
 
 A rank is a 64-bit fingerprint, not an ordinal, so no rank needs a global order; sorting is by key within Spark's
 exchanges. One anchor of each kind of surroundings stands for its copies, so pairs are counted over distinct texts around
@@ -111,8 +112,9 @@ def _list_anchors(length: int, gram: int):
 
 
 def _first_pairs(length: int):
-    """(tid, text, open array<at>) to (pair, tid, p): each position whose rank a string of an open anchor needs, with the pair
-    of its first rank and that at the first offset, length / 4."""
+    """(tid, text, open array<at>) to (pair, next, tid, p) for each position p where a string of an open anchor starts: the
+    pair of the ranks of length / 4 bytes at p and at the first offset, length / 4, and the same pair of the position that
+    the second round needs, at offset length / 2."""
     h = length // 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,48 +125,19 @@ def _first_pairs(length: int):
             for lo, hi, buf, offs in C.blocks(batch.column(1)):
                 own = slice(done[lo] - per_row[lo], done[hi - 1])
                 row = np.repeat(np.arange(hi - lo), per_row[lo:hi])
-                first = (at[own] >> 16) + offs[row]
-                # strings that start at first to last, in the ranks of 2 h bytes that they are made of
-                size = (at[own] & 255) + 1 + length - 2 * h
-                cover = np.bincount(first, minlength=len(buf) + 1) - np.bincount(first + size, minlength=len(buf) + 1)
-                p = np.flatnonzero(np.cumsum(cover))
+                # strings of different anchors start at different places
+                size = (at[own] & 255) + 1
+                p = np.repeat((at[own] >> 16) + offs[row] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                row = np.repeat(row, size)
                 sums = C.PrefixHash(C.BYTE64[buf])
-                pair = C.mix64(sums.of(p, p + h) * _PAIR + sums.of(p + h, p + 2 * h))
-                row = np.searchsorted(offs, p, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(C.signed(pair)), pa.array(tid[lo:hi][row]), pa.array((p - offs[row]).astype(np.int32))], names=["pair", "tid", "p"])
-
-    return run
-
-
-def _next_pairs(offset: int):
-    """(pair, tid, p) sorted by tid and p to the pairs of each position's rank and that of the position `offset` further;
-    positions without such a partner end here."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-        for batch in batches:
-            cols = [np.asarray(batch.column(i)) for i in range(3)]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            if not len(cols[0]):
-                continue
-            rank, tid, p = cols
-            key = (tid.view(C.U64) * C.U64(0x9E3779B97F4A7C15)) + p.astype(C.U64)  # a key of (tid, p) within one batch
-            order = np.argsort(key)
-            found = np.minimum(np.searchsorted(key[order], key + C.U64(offset)), len(key) - 1)
-            partner = order[found]
-            # what lies near the end of the batch may find its partner in the next one
-            late = (tid == tid[-1]) & (p + offset > p[-1])
-            ok = (key[partner] == key + C.U64(offset)) & (tid[partner] == tid) & (p[partner] == p + offset)
-            pair = C.mix64(rank[ok].view(C.U64) * _PAIR + rank[partner[ok]].view(C.U64))
-            yield pa.RecordBatch.from_arrays([pa.array(C.signed(pair)), pa.array(tid[ok]), pa.array(p[ok])], names=["pair", "tid", "p"])
-            rest = [c[late] for c in cols]
+                pair, following = (C.mix64(sums.of(q, q + h) * _PAIR + sums.of(q + h, q + 2 * h)) for q in (p, p + 2 * h))
+                yield pa.RecordBatch.from_arrays([pa.array(C.signed(pair)), pa.array(C.signed(following)), pa.array(tid[lo:hi][row]), pa.array((p - offs[row]).astype(np.int32))], names=["pair", "next", "tid", "p"])
 
     return run
 
 
 def _repeated(pairs: DataFrame) -> DataFrame:
-    """The rows (pair, tid, p) whose pair other positions have too."""
+    """The rows whose pair other positions have too."""
     twice = pairs.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1").select("pair")
     return pairs.join(twice, "pair")
 
@@ -201,15 +174,13 @@ def repeated_spans(texts: DataFrame, *, length: int = LENGTH, gram: int = GRAM)
     opened = C.checkpoint(kinds.groupBy("tid").agg(F.collect_list("at").alias("open")))
     # copies of a text go before the shuffle, in each task's share of the aggregation
     some = texts.join(opened.select("tid"), "tid", "left_semi").dropDuplicates(["tid"]).join(opened, "tid").select("tid", "text", "open")
-    pairs, offset = C.checkpoint(some.mapInArrow(_first_pairs(length), "pair long, tid long, p int")), length // 2
-    while offset < length:
-        # what a round keeps goes straight to the next pairs; only these are written
-        made = _repeated(pairs).repartition("tid").sortWithinPartitions("tid", "p").mapInArrow(_next_pairs(offset), "pair long, tid long, p int")
-        done, pairs, offset = pairs, C.checkpoint(made), offset * 2
-        C.discard(done)
-    edges = _repeated(pairs).select("tid", "p").repartition("tid").sortWithinPartitions("tid", "p").mapInArrow(_runs(length), "tid long, start long, stop long")
+    pairs = C.checkpoint(some.mapInArrow(_first_pairs(length), "pair long, next long, tid long, p int"))
+    # the rank that a pair has next to another at twice the offset; positions that are alone have dropped out
+    later = C.checkpoint(_repeated(pairs).select(F.xxhash64("pair", "next").alias("pair"), "tid", "p"))
+    C.discard(pairs)
+    edges = _repeated(later).select("tid", "p").repartition("tid").sortWithinPartitions("tid", "p").mapInArrow(_runs(length), "tid long, start long, stop long")
     spans = C.checkpoint(whole.unionByName(edges).groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans")))
-    C.discard(members, opened, pairs)
+    C.discard(members, opened, later)
     return spans
 
 
