@@ -169,18 +169,21 @@ def repeated_spans(texts: DataFrame, *, length: int = LENGTH, gram: int = GRAM)
     members = C.checkpoint(texts.mapInArrow(_list_anchors(length, gram), "ctx long, tid long, at long").join(ranked.select("ctx", "n", "kinds"), "ctx"))
     C.discard(ranked)
     whole = members.where("n > 1").select("tid", F.shiftright("at", 16).alias("start"), (F.shiftright("at", 16) + F.col("at").bitwiseAND(255) + length).alias("stop"))
+    whole = C.checkpoint(whole)
     # one anchor of each kind stands for its copies
     kinds = members.where("kinds > 1").groupBy("ctx").agg(F.min(F.struct("tid", "at")).alias("one")).select("one.*")
     opened = C.checkpoint(kinds.groupBy("tid").agg(F.collect_list("at").alias("open")))
+    C.discard(members)
     # copies of a text go before the shuffle, in each task's share of the aggregation
     some = texts.join(opened.select("tid"), "tid", "left_semi").dropDuplicates(["tid"]).join(opened, "tid").select("tid", "text", "open")
     pairs = C.checkpoint(some.mapInArrow(_first_pairs(length), "pair long, next long, tid long, p int"))
+    C.discard(opened)
     # the rank that a pair has next to another at twice the offset; positions that are alone have dropped out
     later = C.checkpoint(_repeated(pairs).select(F.xxhash64("pair", "next").alias("pair"), "tid", "p"))
     C.discard(pairs)
     edges = _repeated(later).select("tid", "p").repartition("tid").sortWithinPartitions("tid", "p").mapInArrow(_runs(length), "tid long, start long, stop long")
     spans = C.checkpoint(whole.unionByName(edges).groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans")))
-    C.discard(members, opened, later)
+    C.discard(whole, later)
     return spans
 
 
