@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphledger.llm import chain_dedup, chat_prefix, context_mixing, cube_mix, dart_minhash, decontaminate, suffix_dedup, toxicity, vp_search, weak_quality
+from glyphledger.llm import chain_dedup, chat_prefix, context_mixing, cube_mix, dart_minhash, decontaminate, fill_middle, suffix_dedup, toxicity, vp_search, weak_quality
 from glyphledger.llm.common import crc_mod5, read
 
 
@@ -60,7 +60,12 @@ def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_prefix.read_back(chat_prefix.expand(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_vp_tree_search, op2_context_mixing, op3_suffix_array_leaks, op4_weak_quality, op5_suffix_array_dedup, op6_dart_minhash, op7_collinear_chains, op8_lexicon_toxicity, op9_cube_mix, op10_prefix_targets)}
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.fill_in_middle(read(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_vp_tree_search, op2_context_mixing, op3_suffix_array_leaks, op4_weak_quality, op5_suffix_array_dedup, op6_dart_minhash, op7_collinear_chains, op8_lexicon_toxicity, op9_cube_mix, op10_prefix_targets, op13_fill_middle)}
+
 
 def _escaped(x: str) -> str:
     x = f"replace({x}, '\\', '\\\\')"
@@ -91,4 +96,13 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length({_escaped("role")}) + length({_escaped("text")}) + {len(chat_prefix.TURN + chat_prefix.BODY + chat_prefix.END)}) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id""",
+    "op13_fill_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || h[i:i + 7] AS BIGINT)) AS r FROM d),
+k AS (SELECT doc_id, text, w, CAST(len(w) AS BIGINT) AS n, r[1] % (len(w) + 1) AS x, r[2] % (len(w) + 1) AS y,
+      CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+c AS (SELECT doc_id, text, n, form, array_to_string(w[1:least(x, y)], '') AS p, array_to_string(w[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(w[greatest(x, y) + 1:], '') AS s FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM c""",
 }
