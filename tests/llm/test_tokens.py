@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import random
 import re
+import unicodedata
 
+import public_tokenizers
 import pytest
+import regex
+import tiktoken
 from pyspark.sql import functions as F
 
-from glyphledger.llm import fill_middle
+from glyphledger.llm import byte_bpe, fill_middle
 from tests.llm.fixtures import SCHEMA, corpus
 
 ODD = [(None, "no id at all"), (None, None), (900, "holds a <P> mark"), (901, "<S>"), (902, "<M"), (903, "\t\n lead and trail \r\n"), (904, "\x1c no blank \x85 either   thin"), (905, "🙂🙂 é ü 漢字 " * 50), (906, "word " * 250_000), (907, "x" * 1_500_000), (908, " " * 50_000), (909, "a\u0000b c"), (8, "same id, other text")]
@@ -52,3 +58,74 @@ def test_fill_in_middle_of_nothing(spark):
     made = fill_middle.digest(fill_middle.fill_in_middle(spark.createDataFrame([], SCHEMA)))
     assert made.columns == ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"]
     assert made.count() == 0
+
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def library():
+    """The tokenizer library on the same rank file."""
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return byte_bpe.Vocabulary(open(RANKS, "rb").read())
+
+
+def test_byte_bpe(spark, library):
+    rows = [*odd_rows(), (920, "<|endoftext|> isn't special, we'll see it's 1234567 ...  \n\n x"), (921, "ab" * 300_000), (922, "aaaaaaaab" * 20_000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").withColumns({"ids": F.lit("clash"), "Decoded": F.lit(1)})
+    got = byte_bpe.digest(byte_bpe.decode(byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN).repartition(3), RANKS)).collect()
+    want = []
+    for i, text, *_ in rows:
+        ids = library.encode_ordinary(text or "")
+        want.append((i, len(ids), hexed(",".join(map(str, ids))), hexed(text or "")))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_byte_bpe_of_nothing(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    assert byte_bpe.digest(byte_bpe.decode(byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)).count() == 0
+    none = byte_bpe.decode(spark.sql("SELECT 1L AS doc_id, CAST(NULL AS array<int>) AS ids"), RANKS).collect()
+    assert [tuple(r) for r in none] == [(1, [], bytearray())]
+
+
+def test_pieces_of_every_character(library, vocabulary):
+    """Both libraries put every assigned character in the same class, beside letters, digits, marks and blanks."""
+    pattern, pieces = regex.compile(public_tokenizers.PATTERN), byte_bpe.Pieces(lambda piece: vocabulary.merged(piece.encode()))
+    chars = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cn", "Cs", "Co")]
+    for start in range(0, len(chars), 5000):
+        text = "".join(f"a{c}b 1{c}2 .{c}; {c} {c}\n" for c in chars[start : start + 5000])
+        assert byte_bpe.split_ids(text, pattern, pieces).tolist() == library.encode_ordinary(text), hex(ord(chars[start]))
+
+
+def test_merges_of_random_pieces(library, vocabulary):
+    rng = random.Random(5)
+    for _ in range(3000):
+        letters = rng.choice(["ab", "aeiou", "the rain", "0123456789", "éüß漢字", "-=#", "thesandoring"]).replace(" ", "")
+        piece = "".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 3, 7, 30, 200])))
+        assert vocabulary.merged(piece.encode()).tolist() == library._encode_single_piece(piece), piece
+
+
+def test_rank_queue():
+    rng = random.Random(6)
+    for n_ranks in (1, 64, 65, 5000, 300_000):
+        queue, held = byte_bpe.RankQueue(n_ranks), []
+        assert queue.pop() == (-1, -1)
+        start = [rng.randrange(-1, n_ranks) for _ in range(200)]
+        queue.fill(byte_bpe.np.array(start))
+        held += [(r, i) for i, r in enumerate(start) if r >= 0]
+        for _ in range(2000):
+            if rng.random() < 0.5:
+                entry = rng.randrange(n_ranks), rng.randrange(1000)
+                queue.push(*entry)
+                held.append(entry)
+            elif held:
+                held.remove(least := min(held))
+                assert queue.pop() == least
+        for entry in sorted(held):
+            assert queue.pop() == entry
+        assert queue.pop() == (-1, -1) and not any(map(any, queue.levels))
