@@ -215,7 +215,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     equal ids stay as they are; other columns are ignored. A text has to fit in a task: its longest piece takes about thirty
     times its bytes.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(_file(rank_file))
+    ranks = docs.sparkSession.sparkContext.broadcast(file_bytes(rank_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = once(Vocabulary, ranks.value)
@@ -235,7 +235,7 @@ def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
 
     Null ids count as none and give no bytes. An id that the vocabulary doesn't have is an error. Other columns are ignored.
     """
-    ranks = encoded.sparkSession.sparkContext.broadcast(_file(rank_file))
+    ranks = encoded.sparkSession.sparkContext.broadcast(file_bytes(rank_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = once(Vocabulary, ranks.value)
@@ -254,7 +254,7 @@ def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id string, ids array<int>, decoded binary").withColumn("doc_id", F.col("doc_id").cast(encoded.schema["doc_id"].dataType))
 
 
-def _file(path: str) -> bytes:
+def file_bytes(path: str) -> bytes:
     with open(path, "rb") as file:
         return file.read()
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphledger.llm import byte_bpe, chain_dedup, chat_prefix, context_mixing, cube_mix, dart_minhash, decontaminate, fill_middle, suffix_dedup, toxicity, vp_search, weak_quality
+from glyphledger.llm import align_tokens, byte_bpe, chain_dedup, chat_prefix, context_mixing, cube_mix, dart_minhash, decontaminate, fill_middle, suffix_dedup, toxicity, vp_search, weak_quality
 from glyphledger.llm.common import crc_mod5, read
 
 
@@ -61,6 +61,10 @@ def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_prefix.read_back(chat_prefix.expand(rows))
 
 
+def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -71,7 +75,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(fill_middle.fill_in_middle(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_vp_tree_search, op2_context_mixing, op3_suffix_array_leaks, op4_weak_quality, op5_suffix_array_dedup, op6_dart_minhash, op7_collinear_chains, op8_lexicon_toxicity, op9_cube_mix, op10_prefix_targets, op12_byte_bpe, op13_fill_middle)}
+QUERIES = {f.__name__: f for f in (op1_vp_tree_search, op2_context_mixing, op3_suffix_array_leaks, op4_weak_quality, op5_suffix_array_dedup, op6_dart_minhash, op7_collinear_chains, op8_lexicon_toxicity, op9_cube_mix, op10_prefix_targets, op11_align_tokens, op12_byte_bpe, op13_fill_middle)}
 
 
 def _escaped(x: str) -> str:

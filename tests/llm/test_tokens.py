@@ -11,10 +11,12 @@ import unicodedata
 import public_tokenizers
 import pytest
 import regex
+import sentencepiece
 import tiktoken
+import tokenizers
 from pyspark.sql import functions as F
 
-from glyphledger.llm import byte_bpe, fill_middle
+from glyphledger.llm import align_tokens, byte_bpe, fill_middle
 from tests.llm.fixtures import SCHEMA, corpus
 
 ODD = [(None, "no id at all"), (None, None), (900, "holds a <P> mark"), (901, "<S>"), (902, "<M"), (903, "\t\n lead and trail \r\n"), (904, "\x1c no blank \x85 either   thin"), (905, "🙂🙂 é ü 漢字 " * 50), (906, "word " * 250_000), (907, "x" * 1_500_000), (908, " " * 50_000), (909, "a\u0000b c"), (8, "same id, other text")]
@@ -129,3 +131,89 @@ def test_rank_queue():
         for entry in sorted(held):
             assert queue.pop() == entry
         assert queue.pop() == (-1, -1) and not any(map(any, queue.levels))
+
+
+A_FILE, B_FILE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def plain_alignment(texts):
+    """The rows of digest() without ids, by comparing all tokens of a text; token bytes from the files themselves."""
+    a_kind = tokenizers.Tokenizer.from_file(A_FILE)
+    a_kind.encode_special_tokens = True
+    ranks = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    b_kind = sentencepiece.SentencePieceProcessor(model_file=B_FILE)
+
+    def b_bytes(i):
+        piece = b_kind.id_to_piece(i)
+        return bytes.fromhex(piece[3:5]) if re.fullmatch("<0x[0-9A-F]{2}>", piece) else piece.replace("\u2581", " ").encode()
+
+    def intervals(ids, spell):
+        at, out = 0, []
+        for i in ids:
+            out.append((i, at, at + len(spell(i))))
+            at = out[-1][2]
+        return out, b"".join(map(spell, ids))
+
+    rows, docs_of = [], {}
+    for k, text in enumerate(texts):
+        a, b, links, parts = [], [], [], []
+        if text:
+            a, a_spelled = intervals(a_kind.encode(" " + text, add_special_tokens=False).ids, ranks.__getitem__)
+            b, b_spelled = intervals(b_kind.encode(text), b_bytes)
+            if a_spelled != (" " + text).encode() or b_spelled != (" " + text).encode():
+                a = b = []
+            low = 0
+            for x, start, stop in a:  # B tokens that end before this A token starts are passed
+                while b[low][2] <= start:
+                    low += 1
+                j = low
+                while j < len(b) and b[j][1] < stop:
+                    links.append((x, b[j][0]))
+                    j += 1
+            cuts = sorted({s for *_, s in a} & {s for *_, s in b})
+            for side in (a, b):
+                at, mine = 0, []
+                for cut in cuts:
+                    here = []
+                    while at < len(side) and side[at][2] <= cut:
+                        here.append(str(side[at][0]))
+                        at += 1
+                    mine.append(",".join(here))
+                parts.append(mine)
+        for pair in set(links):
+            docs_of.setdefault(pair, set()).add(k)
+        groups = ";".join("|".join(pair) for pair in zip(*parts, strict=True)) if a else ""
+        rows.append((len(a), len(b), groups.count(";") + 1 if groups else 0, links, groups))
+    best = {}
+    for (x, _), ks in [(pair, docs) for pair, docs in docs_of.items()]:
+        best[x] = max(best.get(x, 0), len(ks))
+    return [(n_a, n_b, n_groups, len(links), sum(len(docs_of[p]) == best[p[0]] for p in links), sum(len(docs_of[p]) for p in links), hexed(groups) if groups else "") for n_a, n_b, n_groups, links, groups in rows]
+
+
+ALIGNED = [(930, "<|endoftext|> <s>\u2581 </s> <0x41>"), (931, "a\u2581b"), (932, "  two  blanks "), (933, "ｆｕｌｌ width ﬁ"), (934, "naïve café 🙂 漢字 \n\t x"), (935, "<s> </s> <unk> <0x41> <|endoftext|>"), (936, "plain words again"), (937, "plain words again")]
+
+
+@pytest.mark.parametrize("max_broadcast", [1 << 20, 0])
+def test_align_tokens(spark, max_broadcast):
+    rows = [*odd_rows(), *[(i, t, None, None, None) for i, t in ALIGNED]]
+    rows = [r for r in rows if len(r[1] or "") < 1_400_000]
+    docs = spark.createDataFrame([(*r[:2], "clash", 1, "x") for r in rows], "doc_id long, text string, links string, Row int, a string").repartition(5)
+    got = align_tokens.digest(docs, A_FILE, B_FILE, max_broadcast).collect()
+    want = [(r[0], *w) for r, w in zip(rows, plain_alignment([r[1] for r in rows]), strict=True)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_align_tokens_of_nothing(spark):
+    assert align_tokens.digest(spark.createDataFrame([], SCHEMA), A_FILE, B_FILE).count() == 0
+    blank = align_tokens.digest(spark.createDataFrame([(1, None), (None, "")], "doc_id long, text string"), A_FILE, B_FILE).collect()
+    assert sorted(map(tuple, blank), key=repr) == [(1, 0, 0, 0, 0, 0, 0, ""), (None, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_tokens_of_pieces_are_those_of_texts():
+    """Encoding a text's pieces one by one gives what the tokenizer gives for the whole text, for every character."""
+    kind = align_tokens.ByteLevel(open(A_FILE, "rb").read())
+    assert kind.by_piece
+    chars = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cn", "Cs", "Co")]
+    texts = ["".join(f"a{c}b 1{c}2 .{c}; {c} {c}\n" for c in chars[i : i + 5000]) for i in range(0, len(chars), 5000)]
+    for text, ids in zip(texts, kind.encode(texts), strict=True):
+        assert ids.tolist() == kind._ids(" " + text)
