@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from glyphledger.llm.common import BLOCK_BYTES, blocks
 
-#: Pieces that a task remembers, and up to how many characters each.
+#: Pieces that a task remembers (twice as many at most), and up to how many characters each.
 REMEMBERED, REMEMBERED_CHARS = 1 << 17, 48
+#: Below so many bytes a piece's first pairs go to the queue one by one; beyond, they are sorted into it.
+SHORT = 200
 #: Ids are kept in so many bits where two of them make a key.
 ID_BITS = 24
 
@@ -114,12 +116,14 @@ class Vocabulary:
         if any(bytes([b]) not in self.ranks for b in range(256)) or self.n_ids > 1 << ID_BITS:
             raise ValueError("a rank file needs a rank below 2**24 for every single byte")
         self.pairs = {left << ID_BITS | right: rank for token, rank in self.ranks.items() for i in range(1, len(token)) if (left := self.ranks.get(token[:i])) is not None and (right := self.ranks.get(token[i:])) is not None}
-        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.letters = [self.ranks[bytes([b])] for b in range(256)]
+        self.single = np.array(self.letters, np.int32)
         self.first = np.full(1 << 16, -1, np.int32)
         for token, rank in self.ranks.items():
             if len(token) == 2:
                 self.first[token[0] << 8 | token[1]] = rank
         self.queue = RankQueue(self.n_ids)
+        self.known = Pieces(lambda piece: self.merged(piece.encode()))  # for all tasks of a process
         tokens = [b""] * self.n_ids
         for token, rank in self.ranks.items():
             tokens[rank] = token
@@ -131,13 +135,18 @@ class Vocabulary:
         if whole is not None:
             return array("i", [whole])
         n = len(piece)
-        if n < 2:
-            return array("i", self.single[list(piece)].tobytes())
-        raw = np.frombuffer(piece, np.uint8)
-        token = array("i", self.single[raw].tobytes())
-        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
         queue, pairs = self.queue, self.pairs
-        queue.fill(self.first[raw[:-1].astype(np.int32) << 8 | raw[1:]])
+        if n < SHORT:
+            token, after, before = [self.letters[b] for b in piece], list(range(1, n + 1)), list(range(-1, n - 1))
+            for at in range(n - 1):
+                new = pairs.get(token[at] << ID_BITS | token[at + 1])
+                if new is not None:
+                    queue.push(new, at)
+        else:
+            raw = np.frombuffer(piece, np.uint8)
+            token = array("i", self.single[raw].tobytes())
+            after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+            queue.fill(self.first[raw[:-1].astype(np.int32) << 8 | raw[1:]])
         while True:
             rank, at = queue.pop()
             if rank < 0:
@@ -157,8 +166,7 @@ class Vocabulary:
                 new = pairs.get(token[left] << ID_BITS | rank)
                 if new is not None:
                     queue.push(new, left)
-        ids = np.frombuffer(token, np.int32)
-        return array("i", ids[ids >= 0].tobytes())
+        return array("i", [x for x in token if x >= 0])
 
     def decoded(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the ids, one after the other."""
@@ -170,16 +178,19 @@ class Vocabulary:
 
 
 class Pieces(dict):
-    """The ids of pieces, remembered while there is room; then all are forgotten, and it starts again."""
+    """The ids of pieces. Once it is full, what has not been asked for since the last time it was full is forgotten."""
 
     def __init__(self, encode) -> None:
         super().__init__()
-        self.encode = encode
+        self.encode, self.before = encode, {}
 
     def __missing__(self, piece: str):
-        ids = self.encode(piece)
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
         if len(piece) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
+                self.before = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -218,11 +229,10 @@ def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     ranks = docs.sparkSession.sparkContext.broadcast(file_bytes(rank_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = once(Vocabulary, ranks.value)
-        pieces, matches = Pieces(lambda piece: vocabulary.merged(piece.encode())), regex.compile(pattern)
+        vocabulary, matches = once(Vocabulary, ranks.value), regex.compile(pattern)
         for batch in batches:
             for row, end, buf, offs in blocks(batch["text"]):
-                ids = [split_ids(buf[offs[i] : offs[i + 1]].tobytes().decode(), matches, pieces) for i in range(end - row)]
+                ids = [split_ids(buf[offs[i] : offs[i + 1]].tobytes().decode(), matches, vocabulary.known) for i in range(end - row)]
                 part = batch.slice(row, end - row)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["text"], int_lists(ids)], ["doc_id", "text", "ids"])
 
