@@ -2,39 +2,155 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphledger.functions.text import key_lower
+from glyphledger.functions.trie import Trie, nearest
+from glyphledger.sources.shared import written
 
 #: An entry is accepted within this share of the longer key, at least one edit; hits are this sure.
 TOLERANCE, SURE = 0.34, 0.85
-#: A register is broadcast up to so many entries, else joined by list name.
-MAX_BROADCAST = 50_000
-#: Parts that a larger register's lists are dealt into.
-PARTS = 64
+#: A register of up to so many bytes is broadcast as a trie; a larger one is dealt into shards of about so many entries.
+MAX_BROADCAST_BYTES, SHARD_ENTRIES = 32 << 20, 20_000
+#: Readings that meet a shard in one task; a shard that more of them visit is copied.
+VISITS = 50_000
+
+_BEST = "_list string, _key string, d int, ord long, entry string"
+
+
+def radius(length: np.ndarray) -> np.ndarray:
+    """The farthest an entry can be from a key of this length and still be accepted: it is longer by its distance at most."""
+    reach = np.ones(len(length), np.int64)
+    while (more := reach + 1 <= np.floor((length + reach + 1) * TOLERANCE)).any():
+        reach += more
+    return reach
+
+
+def _texts(rows: pd.DataFrame) -> pd.DataFrame:
+    """Texts as plain objects, whatever pandas makes of them."""
+    return rows.astype({name: object for name in ("_list", "_key", "entry") if name in rows})
+
+
+class _Lists:
+    """A trie for each list of entries (_list, _key, ord, entry) with distinct keys; the least (ord, entry) wins a tie."""
+
+    def __init__(self, entries: pd.DataFrame) -> None:
+        self.of = {}
+        for name, rows in entries.groupby("_list", dropna=False):
+            rows = rows.sort_values(["ord", "entry"], na_position="last").reset_index(drop=True)
+            self.of[name] = Trie(rows["_key"].tolist()), rows
+
+    def nearest(self, asked: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """The nearest entry of each row (_list, _key), within its column `reach` if it has one and else within its radius."""
+        for name, rows in asked.groupby("_list", dropna=False):
+            if name in self.of:
+                trie, entries = self.of[name]
+                keys = rows["_key"].tolist()
+                reach = rows["reach"].to_numpy(np.int64) if "reach" in rows else radius(np.array([len(k) for k in keys]))
+                best, d, _ = nearest(trie, keys, reach, np.arange(len(entries)))
+                hit = np.flatnonzero(best >= 0)
+                found = entries.iloc[best[hit]]
+                yield _texts(pd.DataFrame({"_list": name, "_key": [keys[i] for i in hit], "d": d[hit], "ord": found["ord"].to_numpy(), "entry": found["entry"].to_numpy(object)}))
+
+
+def _by_broadcast(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """The nearest entry of each key, from tries that every executor has."""
+    lists = asked.sparkSession.sparkContext.broadcast(entries.toPandas())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tries = None
+        for batch in batches:
+            tries = tries or _Lists(lists.value)
+            yield from tries.nearest(batch)
+
+    return asked.mapInPandas(run, _BEST)
+
+
+def _prefixes(shards: pd.DataFrame) -> list[str]:
+    return [os.path.commonprefix([low, high]) for low, high in zip(shards["low"], shards["high"], strict=True)]
+
+
+def _visits(asked: DataFrame, shards: Broadcast) -> DataFrame:
+    """(_list, _key, reach, shard) for keys (_list, _key): the shard where each would stand; with a column d, which is the
+    distance of the best entry there or null, all others that may have an entry as near."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        runs = {name: (rows["low"].to_numpy(str), rows["shard"].to_numpy(), _prefixes(rows)) for name, rows in shards.value.groupby("_list")}
+        tries = {name: Trie(sorted(set(prefixes))) for name, (_, _, prefixes) in runs.items()}
+        at = {name: pd.DataFrame({"prefix": np.unique(prefixes, return_inverse=True)[1], "shard": shard}) for name, (_, shard, prefixes) in runs.items()}
+        for batch in batches:
+            for name, rows in batch.groupby("_list"):
+                if name not in runs:
+                    continue
+                low, shard, _ = runs[name]
+                keys = rows["_key"].to_numpy(object)
+                own = radius(np.array([len(k) for k in keys]))
+                home = shard[np.maximum(np.searchsorted(low, keys.astype(str), "right") - 1, 0)]
+                if "d" not in rows:
+                    yield _texts(pd.DataFrame({"_list": name, "_key": keys, "reach": own, "shard": home}))
+                    continue
+                reach = np.where(rows["d"].isna(), own, np.minimum(own, rows["d"].fillna(0))).astype(np.int64)
+                text, prefix, _ = tries[name].within(keys.tolist(), reach, prefixes=True)
+                near = pd.DataFrame({"text": text, "prefix": prefix}).merge(at[name], on="prefix")
+                near = near[near["shard"].to_numpy() != home[near["text"]]]
+                yield _texts(pd.DataFrame({"_list": name, "_key": keys[near["text"]], "reach": reach[near["text"]], "shard": near["shard"].to_numpy()}))
+
+    return asked.mapInPandas(run, "_list string, _key string, reach int, shard int")
+
+
+def _by_shards(asked: DataFrame, entries: DataFrame, n_entries: int, shard_entries: int) -> DataFrame:
+    """The nearest entry of each key, from tries of runs of sorted entries.
+
+    A key first visits the shard among whose entries it would stand, then those whose common prefix is no farther from a
+    beginning of the key than the entry found there. The driver gets a row for each shard.
+    """
+    sharded = written(entries.repartitionByRange(max(1, -(-n_entries // shard_entries)), "_list", "_key").withColumn("shard", F.spark_partition_id()))
+    ends = sharded.groupBy("_list", "shard").agg(F.min("_key").alias("low"), F.max("_key").alias("high")).orderBy("_list", "low")
+    shards = asked.sparkSession.sparkContext.broadcast(ends.toPandas())
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = list(_Lists(right).nearest(left)) if len(left) and len(right) else []
+        return _texts(pd.concat(found) if found else pd.DataFrame({"_list": [], "_key": [], "d": [], "ord": [], "entry": []}))
+
+    def look(keys: DataFrame) -> DataFrame:
+        visits = written(_visits(keys, shards))
+        copies = written(visits.groupBy("_list", "shard").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("copies")))
+        dealt = visits.join(copies, ["_list", "shard"]).withColumn("copy", F.pmod(F.xxhash64("_key"), F.col("copies")).cast("int"))
+        asked_for = copies.select("_list", "shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+        group = ["_list", "shard", "copy"]
+        there = sharded.select("_list", "shard", "_key", "ord", "entry").join(asked_for, ["_list", "shard"])
+        dealt = dealt.select(*group, "_key", "reach")
+        return dealt.groupBy(group).cogroup(there.groupBy(group)).applyInPandas(meet, _BEST)
+
+    asked = written(asked)
+    at_home = written(look(asked))
+    elsewhere = look(asked.join(at_home.select("_list", "_key", "d"), ["_list", "_key"], "left"))
+    return at_home.unionByName(elsewhere).groupBy("_list", "_key").agg(F.min(F.struct("d", "ord", "entry")).alias("b")).select("_list", "_key", "b.*")
 
 
-def nearest_entry(readings: DataFrame, register: DataFrame, *, key: str, value: str = "value", list_name: str = "list_name") -> DataFrame:
+def nearest_entry(readings: DataFrame, register: DataFrame, *, key: str, value: str = "value", list_name: str = "list_name", max_broadcast_bytes: int = MAX_BROADCAST_BYTES, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """readings with gaz_value, gaz_matched and gaz_score from register (list_name, entry, ord).
 
     The nearest entry is the one of least edit distance between keys, ties to the lowest ord; only then its own length
-    decides whether it is accepted. Readings that equal an entry's key are settled by an equi-join; distances are taken
-    for distinct remaining keys only. A blank reading or a list without entries is a miss; misses keep the reading.
+    decides whether it is accepted. Readings that equal an entry's key are settled by an equi-join; distinct remaining keys
+    are looked up in tries of the entries' keys, as far as an entry could be accepted. A blank reading or a list without
+    entries is a miss; misses keep the reading. A null list is one that has no entries.
     """
-    entries = register.select(F.col(list_name).alias("_list"), "entry", "ord", key_lower(F.col("entry")).alias("_entry_key"))
-    small = entries.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    hint = F.broadcast if small else (lambda df: df)
+    entries = register.select(F.col(list_name).alias("_list"), key_lower(F.col("entry")).alias("_key"), F.struct("ord", "entry").alias("e")).where("_list IS NOT NULL AND _key IS NOT NULL")
+    entries = entries.groupBy("_list", "_key").agg(F.min("e").alias("e")).select("_list", "_key", F.col("e.ord").cast("long").alias("ord"), "e.entry")
+    n_entries, n_bytes = entries.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_key") + F.octet_length("entry") + 16), F.lit(0))).first()
     rows = readings.withColumns({"_list": F.col(list_name), "_key": key_lower(F.trim(F.coalesce(value, F.lit(""))))})
-    exact = entries.groupBy("_list", F.col("_entry_key").alias("_key")).agg(F.min_by("entry", "ord").alias("_exact"))
-    rows = rows.join(hint(exact), ["_list", "_key"], "left")
-    # an argmin over all entries of the list: blocking by length would change which entry is judged
-    asked = rows.where(F.col("_exact").isNull() & (F.col("_key") != "")).select("_list", "_key").distinct()
-    if not small:
-        # one list may hold most entries: both sides are dealt by hash, and each key meets all parts of its list
-        parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
-        asked, entries = asked.withColumn("_part", parts), entries.withColumn("_part", F.pmod(F.xxhash64("entry", "ord"), F.lit(PARTS)).cast("int"))
-    best = asked.join(hint(entries), ["_list"] if small else ["_list", "_part"]).groupBy("_list", "_key").agg(F.min(F.struct(F.levenshtein("_key", "_entry_key").alias("d"), "ord", "entry", F.length("_entry_key").alias("n"))).alias("_best"))
+    rows = rows.join(entries.select("_list", "_key", F.col("entry").alias("_exact")), ["_list", "_key"], "left")
+    asked = rows.where(F.col("_exact").isNull() & F.col("_list").isNotNull() & (F.col("_key") != "")).select("_list", "_key").distinct()
+    best = _by_broadcast(asked, entries) if n_bytes <= max_broadcast_bytes else _by_shards(asked, entries, n_entries, shard_entries)
+    best = best.select("_list", "_key", F.struct("d", "ord", "entry", F.length(key_lower(F.col("entry"))).alias("n")).alias("_best"))
     longest = F.greatest(F.length("_key"), F.col("_best.n"))
     near = F.col("_best.d") <= F.greatest(F.lit(1), F.floor(longest * TOLERANCE))
     rows = rows.join(best, ["_list", "_key"], "left")

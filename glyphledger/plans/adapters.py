@@ -42,6 +42,18 @@ SELECT p_partkey, p_name, CASE p_partkey % 7 WHEN 1 THEN substr(p_name, 1, lengt
 FROM {part}
 """,
     "register": "SELECT 'parts' AS list_name, p_name AS entry, CAST(row_number() OVER (ORDER BY p_name) AS INT) AS ord FROM (SELECT DISTINCT p_name FROM {part} WHERE p_partkey % 3 > 0) AS t",
+    # a register of made-up account names, one for each line item and each order, and customers' names read badly
+    "accounts": """
+SELECT 'accounts' AS list_name, entry, CAST(min(n) AS INT) AS ord
+FROM (SELECT 'Account#' || lpad(CAST((l_orderkey * 7919 + l_linenumber * 104729) % 999983 AS STRING), 9, '0') AS entry, l_orderkey * 8 + l_linenumber AS n FROM {lineitem}
+      UNION ALL SELECT 'Customer#' || lpad(CAST((o_orderkey * 48271) % 999979 AS STRING), 9, '0') AS entry, o_orderkey * 8 AS n FROM {orders}) AS t
+GROUP BY entry
+""",
+    "noisy_customer": """
+SELECT c_custkey, CASE c_custkey % 9 WHEN 1 THEN replace(name, 'o', '0') WHEN 2 THEN substr(name, 1, 12) || substr(name, 14) WHEN 3 THEN 'x' || name WHEN 4 THEN upper(name) || '7' WHEN 5 THEN substr(name, 1, 10) || 'l' || substr(name, 12)
+       WHEN 6 THEN replace(name, 'Customer', 'Acc0unt') WHEN 7 THEN substr(name, 3) WHEN 8 THEN CASE WHEN c_custkey % 4 = 0 THEN ' ' ELSE 'somebody else ' || c_mktsegment END ELSE name END AS noisy
+FROM (SELECT c_custkey, c_mktsegment, 'Customer#' || lpad(CAST((c_custkey * 48271 * 7) % 999979 AS STRING), 9, '0') AS name FROM {customer}) AS t
+""",
     "triples": """
 SELECT l_orderkey, l_linenumber, CASE WHEN k % 31 = 0 THEN '' ELSE CAST(gross AS STRING) END AS row_01, CASE WHEN k % 37 = 0 THEN '1?2.00' ELSE CAST(off AS STRING) END AS row_02,
        CAST(CASE WHEN k % 10 = 0 THEN gross - off + CAST('0.01' AS DECIMAL(18,2)) ELSE gross - off END AS STRING) AS row_03

@@ -140,12 +140,20 @@ _ISSUES = f"""
 SQL["all_issues"] = f"SELECT form_id, rule, rule_ord, array_to_string(fields, ',') AS fields FROM {_ISSUES} AS t"
 SQL["issue_fields"] = f"SELECT field, rule, count(*) AS n FROM (SELECT unnest(fields) AS field, rule FROM {_ISSUES} AS t) AS u GROUP BY field, rule"
 SQL["widen_records"] = f"SELECT i.k AS form_id, i.raw AS person_id, d.birth_date AS birth_date, i.k % 3 <> 0 AS no_year FROM {IDS} AS i JOIN {DATES} AS d ON i.k = d.k"
-_SNAP = f"""
-(WITH q AS (SELECT p_partkey, noisy, {_key('noisy')} AS q FROM {NAMES} AS a), r AS (SELECT entry, ord, {_key('entry')} AS e FROM {REGISTER} AS b),
+
+
+def _snap(key: str, names: str, entries: str) -> str:
+    return f"""
+(WITH q AS (SELECT {key}, noisy, {_key('noisy')} AS q FROM {names} AS a), r AS (SELECT entry, ord, {_key('entry')} AS e FROM {entries} AS b),
  best AS (SELECT q, arg_min(struct_pack(entry := entry, n := length(e), d := levenshtein(q, e)), row(levenshtein(q, e), ord)) AS m FROM (SELECT DISTINCT q FROM q) AS c CROSS JOIN r GROUP BY q),
  j AS (SELECT q.*, m.entry AS entry, m.d AS d, greatest(length(q.q), m.n) AS longest FROM q JOIN best ON q.q = best.q)
- SELECT p_partkey, noisy, entry, d <= greatest(1, CAST(floor(longest * CAST(0.34 AS DOUBLE)) AS INT)) AS hit, round_even(CAST(1 - CAST(d AS DOUBLE) / longest AS DOUBLE), 3) AS score FROM j)"""
-SQL["register_snap"] = f"SELECT p_partkey, CASE WHEN hit THEN entry ELSE trim(noisy, ' ') END AS gaz_value, hit AS gaz_matched, CASE WHEN hit THEN score ELSE 0.0 END AS gaz_score FROM {_SNAP} AS t"
+ SELECT {key}, noisy, entry, d <= greatest(1, CAST(floor(longest * CAST(0.34 AS DOUBLE)) AS INT)) AS hit, round_even(CAST(1 - CAST(d AS DOUBLE) / longest AS DOUBLE), 3) AS score FROM j)"""
+
+
+_SNAP = _snap("p_partkey", NAMES, REGISTER)
+_SNAPPED = "CASE WHEN hit THEN entry ELSE trim(noisy, ' ') END AS gaz_value, hit AS gaz_matched, CASE WHEN hit THEN score ELSE 0.0 END AS gaz_score"
+SQL["register_index"] = f"SELECT c_custkey, {_SNAPPED} FROM {_snap('c_custkey', adapter_sql('noisy_customer'), adapter_sql('accounts'))} AS t"
+SQL["register_snap"] = f"SELECT p_partkey, {_SNAPPED} FROM {_SNAP} AS t"
 SQL["register_apply"] = f"SELECT p_partkey, CASE WHEN hit THEN entry ELSE noisy END AS value, CASE WHEN hit THEN greatest(CAST(p_partkey % 100 AS DOUBLE) / 100, 0.85) ELSE 0.0 END AS confidence FROM {_SNAP} AS t"
 SQL["register_miss_pool"] = f"SELECT DISTINCT noisy FROM {_SNAP} AS t WHERE NOT hit"
 _REASONS = f"""

@@ -295,6 +295,13 @@ def register_snap(spark, sf_dir):
     return register.nearest_entry(names, entries, key="p_partkey", value="noisy").select("p_partkey", "gaz_value", "gaz_matched", "gaz_score")
 
 
+@query
+def register_index(spark, sf_dir):
+    """Badly read customer names against a large register of names that are all alike."""
+    names = adapter(spark, sf_dir, "noisy_customer").withColumn("list_name", F.lit("accounts"))
+    return register.nearest_entry(names, adapter(spark, sf_dir, "accounts"), key="c_custkey", value="noisy").select("c_custkey", "gaz_value", "gaz_matched", "gaz_score")
+
+
 @query
 def register_apply(spark, sf_dir):
     names, entries = _snap(spark, sf_dir)
