@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from array import array
 from collections.abc import Iterator
 
 import duckdb
@@ -23,6 +24,7 @@ import sentencepiece
 import tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from sentencepiece import sentencepiece_model_pb2
 
 from glyphledger.llm.byte_bpe import Pieces, file_bytes, once, split_ids
 from glyphledger.llm.common import blocks, checkpoint
@@ -63,14 +65,14 @@ class ByteLevel(TokenBytes):
         # where pieces are encoded one by one anyway, those that come again needn't be
         step = made.get("pre_tokenizer") or {}
         self.by_piece = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space") and not made.get("normalizer")
-        self.pattern, self.pieces = regex.compile(BYTE_LEVEL_PATTERN), Pieces(self._ids)
+        self.pattern, self.pieces = regex.compile(BYTE_LEVEL_PATTERN), Pieces(self.whole)
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("i", made.ids).tobytes() for made in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        each = (split_ids(f" {t}", self.pattern, self.pieces) if self.by_piece else self._ids(f" {t}") for t in texts)
-        return [np.array(ids, np.int32) for ids in each]
+        texts = [f" {t}" for t in texts]
+        return [np.frombuffer(ids, np.int32) for ids in (split_ids(texts, self.pattern, self.pieces) if self.by_piece else self.whole(texts))]
 
 
 class PieceModel(TokenBytes):
@@ -78,26 +80,49 @@ class PieceModel(TokenBytes):
 
     def __init__(self, data: bytes) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=data)
-        pieces = ((self.model.id_to_piece(i), self.model.is_byte(i)) for i in range(self.model.get_piece_size()))
-        super().__init__([bytes([int(piece[3:5], 16)]) if is_byte else piece.replace(BLANK_SIGN, " ").encode() for piece, is_byte in pieces])
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        super().__init__([bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace(BLANK_SIGN, " ").encode() for i, piece in enumerate(pieces)])
+        # merges never cross a blank if no piece has one behind another character: words that come again needn't be encoded again
+        made = sentencepiece_model_pb2.ModelProto.FromString(data)
+        kinds = sentencepiece_model_pb2.ModelProto.SentencePiece
+        self.by_word = (
+            made.trainer_spec.model_type == sentencepiece_model_pb2.TrainerSpec.BPE
+            and made.normalizer_spec.name == "identity"
+            and made.normalizer_spec.add_dummy_prefix
+            and not made.normalizer_spec.remove_extra_whitespaces
+            and not any(BLANK_SIGN in piece.lstrip(BLANK_SIGN) for piece in pieces)
+            and not any(piece.type == kinds.USER_DEFINED for piece in made.pieces)
+        )
+        self.words = Pieces(self.whole)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("i", ids).tobytes() for ids in self.model.encode(texts, num_threads=1)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int32) for ids in self.model.encode(texts, num_threads=1)]
-
-
-#: Groups end where tokens of both end; a token's group is the number of such ends before its own.
-_CUTS = "CREATE OR REPLACE TEMP TABLE cuts AS SELECT stop FROM a JOIN b USING (stop)"
-_GROUPS = "SELECT count(cuts.stop) OVER (ORDER BY t.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM {side} AS t LEFT JOIN cuts USING (stop) ORDER BY t.i"
-#: The first B token that an A token overlaps is the last one that starts no later; the last one starts before its end.
+        # each word gets the blank before it; where blanks stand together or at an end, the text is encoded as a whole
+        plain = [self.by_word and "  " not in f" {t} " for t in texts]
+        words = iter(self.words.join([t.split(" ") for t, ok in zip(texts, plain, strict=True) if ok]))
+        others = iter(self.whole([t for t, ok in zip(texts, plain, strict=True) if not ok]))
+        return [np.frombuffer(next(words if ok else others), np.int32) for ok in plain]
+
+
+#: Groups end where tokens of both end; the window sum over these places numbers them, and a token is in the group that the
+#: next such place ends.
+_CUTS = "CREATE OR REPLACE TEMP TABLE cuts AS SELECT stop, count(*) OVER (ORDER BY stop ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT stop FROM a JOIN b USING (stop)) AS both_end"
+_GROUPS = "SELECT t.i, cuts.g FROM {side} AS t ASOF JOIN cuts ON t.stop <= cuts.stop"
+#: The first B token that an A token overlaps is the last one that starts no later. Where that ends too early, the last one is
+#: looked for as well, and those in between follow by position.
 _LINKS = """
 CREATE OR REPLACE TEMP TABLE links AS
-WITH spans AS MATERIALIZED (
-  SELECT a.doc, a.id, head.id AS head_id, head.i AS head, tail.i AS tail
-  FROM a ASOF JOIN b AS head ON a.start >= head.start ASOF JOIN b AS tail ON a.stop > tail.start),
+WITH heads AS MATERIALIZED (
+  SELECT a.doc, a.id, a.stop, head.id AS head_id, head.i AS head, head.stop AS head_stop FROM a ASOF JOIN b AS head ON a.start >= head.start),
+more AS (
+  SELECT long.doc, long.id, unnest(range(long.head + 1, tail.i + 1)) AS i
+  FROM (SELECT * FROM heads WHERE head_stop < stop) AS long ASOF JOIN b AS tail ON long.stop > tail.start),
 met AS (
-  SELECT doc, id AS a, head_id AS b FROM spans
+  SELECT doc, id AS a, head_id AS b FROM heads
   UNION ALL
-  SELECT more.doc, more.id AS a, b.id AS b FROM (SELECT doc, id, unnest(range(head + 1, tail + 1)) AS i FROM spans WHERE tail > head) AS more JOIN b ON b.i = more.i)
+  SELECT more.doc, more.id AS a, b.id AS b FROM more JOIN b ON b.i = more.i)
 SELECT doc, a, b, CAST(count(*) AS INT) AS n FROM met GROUP BY doc, a, b"""
 _BY_DOC = "SELECT doc, CAST(sum(n) AS BIGINT) AS n_links, list({'a': a, 'b': b, 'n': n}) AS links FROM links GROUP BY doc ORDER BY doc"
 _BY_PAIR = "SELECT list({'a': a, 'b': b, 'docs': docs}) AS partial FROM (SELECT a, b, CAST(count(*) AS INT) AS docs FROM links GROUP BY a, b) AS p"
@@ -114,6 +139,12 @@ def _intervals(ids: list[np.ndarray], docs: list[int], kind: TokenBytes) -> pa.T
     return pa.table({"i": np.arange(len(flat), dtype=np.int32), "doc": np.repeat(np.array(docs, np.int32), [len(x) for x in ids]), "id": flat, "start": stop - kind.length[flat], "stop": stop})
 
 
+def _groups(db: duckdb.DuckDBPyConnection, side: str, n_tokens: int) -> np.ndarray:
+    found, group = db.execute(_GROUPS.format(side=side)).fetchnumpy(), np.zeros(n_tokens, np.int64)
+    group[found["i"]] = found["g"]
+    return group
+
+
 def _written(a: list[np.ndarray], b: list[np.ndarray], group_a: np.ndarray, group_b: np.ndarray, names: list[str]) -> list[str]:
     """`a1,a2|b1;a3|b2,b3` of each text; names has each id followed by a comma, then by a bar, then by a semicolon."""
     group, side = np.concatenate([group_a, group_b]), np.repeat(np.array([0, 1]), [len(group_a), len(group_b)])
@@ -165,9 +196,9 @@ def _aligned(db: duckdb.DuckDBPyConnection, doc_id: pa.Array, texts: list[str],
         db.register("a", _intervals(a, kept, a_kind))
         db.register("b", _intervals(b, kept, b_kind))
         db.execute(_CUTS)
-        group_a, group_b = (db.execute(_GROUPS.format(side=side)).fetchnumpy()["g"] for side in "ab")
+        group_a, group_b = _groups(db, "a", n_tokens=sum(map(len, a))), _groups(db, "b", n_tokens=sum(map(len, b)))
         db.execute(_LINKS)
-        by_doc, by_pair = (db.execute(sql).to_arrow_table().combine_chunks() for sql in (_BY_DOC, _BY_PAIR))
+        by_doc, by_pair = (db.sql(sql).to_arrow_table().combine_chunks() for sql in (_BY_DOC, _BY_PAIR))
         n_a[kept], n_b[kept] = [len(x) for x in a], [len(x) for x in b]
         ends = n_a[kept].cumsum()
         n_groups[kept] = group_a[ends - 1] - group_a[ends - n_a[kept]] + 1

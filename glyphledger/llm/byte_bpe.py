@@ -3,8 +3,8 @@
 A piece of text is a linked list of tokens, one for each byte at first. The queue has a bucket of list positions for each rank
 that some neighbouring pair could merge to; a bitmap of 64-bit words, with a bit for each bucket, and words above it with a bit
 for each word that isn't zero, give the least rank by find-first-set on each level. A merge leaves the entries of the pairs that
-it breaks where they are: they are stale and skipped when their turn comes. So a piece of n bytes takes about n log n steps,
-which counts for pieces without blanks or punctuation, as long as the text; short pieces that come again are remembered.
+it breaks where they are: they are stale and skipped when their turn comes. So n bytes take about n log n steps however long
+a piece is; short ones share a queue (their order among each other doesn't matter), and those that come again are remembered.
 
 The rank file is read on the driver (some 50,000 lines) and sent to the executors, which need no copy of it. Texts stay in
 their rows: nothing is shuffled.
@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
 from array import array
-from collections.abc import Iterator
-from heapq import heappop, heappush
-from itertools import chain
+from collections.abc import Callable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +29,14 @@ from glyphledger.llm.common import BLOCK_BYTES, blocks
 
 #: Pieces that a task remembers (twice as many at most), and up to how many characters each.
 REMEMBERED, REMEMBERED_CHARS = 1 << 17, 48
-#: Below so many bytes a piece's first pairs go to the queue one by one; beyond, they are sorted into it.
-SHORT = 200
+#: From so many bytes on, lists of numbers are kept in four bytes each.
+LONG = 1 << 20
 #: Ids are kept in so many bits where two of them make a key.
 ID_BITS = 24
 
 
 class RankQueue:
-    """Positions by rank: least rank first, within a rank from left to right. Empty again once all has been taken."""
+    """Buckets of positions by rank, least rank first. Empty again once all buckets have been taken."""
 
     def __init__(self, n_ranks: int) -> None:
         self.levels = []
@@ -44,10 +44,20 @@ class RankQueue:
             n_ranks = max(1, n_ranks + 63 >> 6)
             self.levels.append([0] * n_ranks)
         self.down = self.levels[::-1]
-        self.runs: dict[int, list] = {}  # rank: sorted positions that came first, and how many of them are taken
-        self.late: dict[int, list[int]] = {}  # rank: a heap of positions that came later
+        self.buckets: dict[int, list[int]] = {}
 
-    def _mark(self, rank: int) -> None:
+    def fill(self, ranks: np.ndarray) -> None:
+        """Start with the rank of each position; those below 0 have none."""
+        at = np.flatnonzero(ranks >= 0)
+        at = at[np.argsort(ranks[at], kind="stable")]
+        found, first = np.unique(ranks[at], return_index=True)
+        ends = [*first[1:].tolist(), len(at)][: len(first)]
+        for rank, i, j in zip(found.tolist(), first.tolist(), ends, strict=True):
+            self.put(rank, at[i:j].tolist() if j - i < LONG else array("i", at[i:j].astype(np.int32).tobytes()))
+
+    def put(self, rank: int, positions) -> None:
+        """Start a bucket of a rank that has none."""
+        self.buckets[rank] = positions
         for level in self.levels:
             word = rank >> 6
             before = level[word]
@@ -56,55 +66,30 @@ class RankQueue:
                 break
             rank = word
 
-    def _clear(self, rank: int) -> None:
-        for level in self.levels:
-            word = rank >> 6
-            level[word] &= ~(1 << (rank & 63))
-            if level[word]:
-                break
-            rank = word
-
-    def fill(self, ranks: np.ndarray) -> None:
-        """Start with the rank of each position; those below 0 have none."""
-        at = np.flatnonzero(ranks >= 0)
-        at = at[np.argsort(ranks[at], kind="stable")].astype(np.int32)
-        found, first = np.unique(ranks[at], return_index=True)
-        for rank, run in zip(found.tolist(), np.split(at, first[1:]), strict=True) if len(at) else ():
-            self.runs[rank] = [array("i", run.tobytes()), 0]
-            self._mark(rank)
-
     def push(self, rank: int, at: int) -> None:
-        heap = self.late.get(rank)
-        if heap is None:
-            self.late[rank] = [at]
-            if rank not in self.runs:
-                self._mark(rank)
+        bucket = self.buckets.get(rank)
+        if bucket is None:
+            self.put(rank, [at])
         else:
-            heappush(heap, at)
+            bucket.append(at)
 
-    def pop(self) -> tuple[int, int]:
-        """(rank, position), or (-1, -1) if nothing is left."""
+    def take(self) -> tuple[int, list[int]]:
+        """(the least rank, its positions from left to right), or (-1, []) if nothing is left."""
         rank = 0
         for level in self.down:
             bits = level[rank]
             if not bits:
-                return -1, -1
+                return -1, []
             rank = rank << 6 | (bits & -bits).bit_length() - 1
-        run, heap = self.runs.get(rank), self.late.get(rank)
-        if run and not (heap and heap[0] < run[0][run[1]]):
-            at = run[0][run[1]]
-            run[1] += 1
-            if run[1] == len(run[0]):
-                del self.runs[rank]
-                run = None
-        else:
-            at = heappop(heap)
-            if not heap:
-                del self.late[rank]
-                heap = None
-        if not run and not heap:
-            self._clear(rank)
-        return rank, at
+        at = rank
+        for level in self.levels:
+            word = at >> 6
+            level[word] &= ~(1 << (at & 63))
+            if level[word]:
+                break
+            at = word
+        bucket = self.buckets.pop(rank)
+        return rank, sorted(bucket) if len(bucket) > 1 else bucket
 
 
 class Vocabulary:
@@ -116,57 +101,70 @@ class Vocabulary:
         if any(bytes([b]) not in self.ranks for b in range(256)) or self.n_ids > 1 << ID_BITS:
             raise ValueError("a rank file needs a rank below 2**24 for every single byte")
         self.pairs = {left << ID_BITS | right: rank for token, rank in self.ranks.items() for i in range(1, len(token)) if (left := self.ranks.get(token[:i])) is not None and (right := self.ranks.get(token[i:])) is not None}
-        self.letters = [self.ranks[bytes([b])] for b in range(256)]
-        self.single = np.array(self.letters, np.int32)
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.first = np.full(1 << 16, -1, np.int32)
         for token, rank in self.ranks.items():
             if len(token) == 2:
                 self.first[token[0] << 8 | token[1]] = rank
         self.queue = RankQueue(self.n_ids)
-        self.known = Pieces(lambda piece: self.merged(piece.encode()))  # for all tasks of a process
+        self.pieces = Pieces(self.encode)  # for all tasks of a process
         tokens = [b""] * self.n_ids
         for token, rank in self.ranks.items():
             tokens[rank] = token
         self.bytes, self.offsets = np.frombuffer(b"".join(tokens), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
 
-    def merged(self, piece: bytes) -> array:
-        """The ids of one piece: its own where the whole piece is a token, else what merging by least rank leaves."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return array("i", [whole])
-        n = len(piece)
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, as int32: its own where the whole piece is a token, else what merging leaves."""
+        raw = [piece.encode() for piece in pieces]
+        whole = [self.ranks.get(x) for x in raw]
+        merged = iter(self.merged([x for x, own in zip(raw, whole, strict=True) if own is None]))
+        return [next(merged) if own is None else own.to_bytes(4, sys.byteorder) for own in whole]
+
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """Merge the pieces side by side: each is a linked list of its own, and the queue has the ranks of all of them."""
+        n = sum(map(len, pieces))
+        keep = list if n < LONG else lambda values: array("i", values)
+        raw, ends = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([len(x) for x in pieces], dtype=np.int64)
+        token, after, before = keep(self.single[raw].tolist()), keep(range(1, n + 1)), keep(range(-1, n - 1))
+        for end in ends.tolist():
+            after[end - 1] = -1
+            if end < n:
+                before[end] = -1
+        ranks = self.first[raw[:-1].astype(np.int32) << 8 | raw[1:]]
+        ranks[ends[:-1] - 1] = -1
         queue, pairs = self.queue, self.pairs
-        if n < SHORT:
-            token, after, before = [self.letters[b] for b in piece], list(range(1, n + 1)), list(range(-1, n - 1))
-            for at in range(n - 1):
-                new = pairs.get(token[at] << ID_BITS | token[at + 1])
-                if new is not None:
-                    queue.push(new, at)
-        else:
-            raw = np.frombuffer(piece, np.uint8)
-            token = array("i", self.single[raw].tobytes())
-            after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
-            queue.fill(self.first[raw[:-1].astype(np.int32) << 8 | raw[1:]])
+        queue.fill(ranks)
         while True:
-            rank, at = queue.pop()
+            rank, bucket = queue.take()
             if rank < 0:
                 break
-            right = after[at]
-            if token[at] < 0 or right >= n or pairs.get(token[at] << ID_BITS | token[right]) != rank:
-                continue  # stale: a merge took one of the two
-            token[at], token[right] = rank, -1
-            after[at] = beyond = after[right]
-            if beyond < n:
-                before[beyond] = at
-                new = pairs.get(rank << ID_BITS | token[beyond])
-                if new is not None:
-                    queue.push(new, at)
-            left = before[at]
-            if left >= 0:
-                new = pairs.get(token[left] << ID_BITS | rank)
-                if new is not None:
-                    queue.push(new, left)
-        return array("i", [x for x in token if x >= 0])
+            for k, at in enumerate(bucket):
+                right = after[at]
+                if right < 0 or token[at] < 0 or pairs.get(token[at] << ID_BITS | token[right]) != rank:
+                    continue  # stale: a merge took one of the two
+                token[at], token[right] = rank, -1
+                after[at] = beyond = after[right]
+                least = rank
+                if beyond >= 0:
+                    before[beyond] = at
+                    new = pairs.get(rank << ID_BITS | token[beyond])
+                    if new is not None:
+                        queue.push(new, at)
+                        least = min(least, new)
+                left = before[at]
+                if left >= 0:
+                    new = pairs.get(token[left] << ID_BITS | rank)
+                    if new is not None:
+                        queue.push(new, left)
+                        least = min(least, new)
+                if least < rank:  # the new pair comes first; the rest of the bucket waits
+                    if k + 1 < len(bucket):
+                        queue.put(rank, bucket[k + 1 :])
+                    break
+        ids = np.array(token, np.int32)
+        left = np.cumsum(ids >= 0)[ends - 1] if len(ends) else ends
+        flat = ids[ids >= 0].tobytes()
+        return [flat[4 * i : 4 * j] for i, j in zip([0, *left[:-1].tolist()], left.tolist(), strict=True)]
 
     def decoded(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the ids, one after the other."""
@@ -177,34 +175,37 @@ class Vocabulary:
         return self.bytes[np.repeat(self.offsets[ids] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-class Pieces(dict):
-    """The ids of pieces. Once it is full, what has not been asked for since the last time it was full is forgotten."""
+class Pieces:
+    """The ids of pieces of text, as int32 bytes. Those that come again are remembered; once there are many, what has not been
+    asked for since the last time there were many is forgotten. Pieces that aren't known yet are encoded together."""
 
-    def __init__(self, encode) -> None:
-        super().__init__()
-        self.encode, self.before = encode, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]) -> None:
+        self.encode, self.known, self.before = encode, {}, {}
 
-    def __missing__(self, piece: str):
-        ids = self.before.get(piece)
-        if ids is None:
-            ids = self.encode(piece)
-        if len(piece) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self.before = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
+    def join(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of each text, which is a list of pieces."""
+        if len(self.known) >= REMEMBERED:
+            self.known, self.before = {}, self.known
+        known, missing = self.known, list(dict.fromkeys(piece for pieces in texts for piece in pieces if piece not in self.known))
+        new = [piece for piece in missing if piece not in self.before]
+        known.update((piece, self.before[piece]) for piece in missing if piece in self.before)
+        known.update(zip(new, self.encode(new), strict=True))
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in texts]
+        for piece in new:
+            if len(piece) > REMEMBERED_CHARS:
+                del known[piece]
+        return out
 
 
-def split_ids(text: str, pattern: regex.Pattern, pieces: Pieces) -> array:
-    """The ids of a text's pieces in a row; the pieces of a long text are never all in memory."""
-    found = pattern.findall(text) if len(text) <= BLOCK_BYTES else (m[0] for m in pattern.finditer(text))
-    return array("i", chain.from_iterable(map(pieces.__getitem__, found)))
+def split_ids(texts: list[str], pattern: regex.Pattern, pieces: Pieces) -> list[bytes]:
+    """The ids of each text's pieces in a row, as int32; the pieces of a long text are never all in memory."""
+    if sum(map(len, texts)) <= 2 * BLOCK_BYTES:
+        return pieces.join([pattern.findall(text) for text in texts])
+    return [b"".join(pieces.join([list(some)])[0] for some in batched((m[0] for m in pattern.finditer(text)), 1 << 17)) for text in texts]
 
 
-def int_lists(ids: list[array]) -> pa.Array:
-    flat = np.frombuffer(b"".join(memoryview(x).cast("B") for x in ids), np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
+def int_lists(ids: list[bytes]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
 
 _LOADED: dict[tuple, object] = {}
@@ -223,7 +224,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
     The text is cut into the matches of pattern (text that no match covers has no ids), each of which is merged for itself.
     Special tokens are not known: their strings are plain text. A null text counts as empty and has no ids; rows with null or
-    equal ids stay as they are; other columns are ignored. A text has to fit in a task: its longest piece takes about thirty
+    equal ids stay as they are; other columns are ignored. A text has to fit in a task: its longest piece takes about fifty
     times its bytes.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(file_bytes(rank_file))
@@ -232,7 +233,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
         vocabulary, matches = once(Vocabulary, ranks.value), regex.compile(pattern)
         for batch in batches:
             for row, end, buf, offs in blocks(batch["text"]):
-                ids = [split_ids(buf[offs[i] : offs[i + 1]].tobytes().decode(), matches, vocabulary.known) for i in range(end - row)]
+                ids = split_ids([buf[offs[i] : offs[i + 1]].tobytes().decode() for i in range(end - row)], matches, vocabulary.pieces)
                 part = batch.slice(row, end - row)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["text"], int_lists(ids)], ["doc_id", "text", "ids"])
 
