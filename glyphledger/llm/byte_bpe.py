@@ -51,7 +51,7 @@ class RankQueue:
         at = np.flatnonzero(ranks >= 0)
         at = at[np.argsort(ranks[at], kind="stable")]
         found, first = np.unique(ranks[at], return_index=True)
-        ends = [*first[1:].tolist(), len(at)][: len(first)]
+        ends = [*first[1:].tolist(), len(at)][: len(first)]  # none of none
         for rank, i, j in zip(found.tolist(), first.tolist(), ends, strict=True):
             self.put(rank, at[i:j].tolist() if j - i < LONG else array("i", at[i:j].astype(np.int32).tobytes()))
 
@@ -123,6 +123,8 @@ class Vocabulary:
     def merged(self, pieces: list[bytes]) -> list[bytes]:
         """Merge the pieces side by side: each is a linked list of its own, and the queue has the ranks of all of them."""
         n = sum(map(len, pieces))
+        if not n:
+            return [b""] * len(pieces)
         keep = list if n < LONG else lambda values: array("i", values)
         raw, ends = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([len(x) for x in pieces], dtype=np.int64)
         token, after, before = keep(self.single[raw].tolist()), keep(range(1, n + 1)), keep(range(-1, n - 1))
@@ -162,7 +164,7 @@ class Vocabulary:
                         queue.put(rank, bucket[k + 1 :])
                     break
         ids = np.array(token, np.int32)
-        left = np.cumsum(ids >= 0)[ends - 1] if len(ends) else ends
+        left = np.cumsum(ids >= 0)[ends - 1]
         flat = ids[ids >= 0].tobytes()
         return [flat[4 * i : 4 * j] for i, j in zip([0, *left[:-1].tolist()], left.tolist(), strict=True)]
 
