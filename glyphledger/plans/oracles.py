@@ -215,3 +215,9 @@ ON a.reading = b.reading AND a.is_name = b.is_name AND a.confidence < 0.7 AND tr
 SQL["page_observations"] = """
 SELECT page_id, CAST(5 AS BIGINT) AS n, share > 0.1 AS marked, round(least(1.0, abs(share - CAST(0.1 AS DOUBLE)) / CAST(0.1 AS DOUBLE)), 9) AS sure, '16' AS box
 FROM (SELECT vec_id AS page_id, CAST(len(list_filter(embedding, lambda x: floor(least(greatest(CAST(x AS DOUBLE) + 0.5, 0.0), 1.0) * 255) < 128)) AS DOUBLE) / 64 AS share FROM embeddings) AS t"""
+SQL["live_merge"] = """
+WITH p1 AS (SELECT o_orderkey AS form_id, unnest([struct_pack(field := 'total', value := o_orderpriority), struct_pack(field := 'state', value := o_orderstatus)]) AS f FROM orders WHERE o_orderkey % 7 > 0),
+newest AS (SELECT l_orderkey AS form_id, arg_max(struct_pack(state := l_linestatus, returned := l_returnflag), row(l_linenumber, '{"state":"' || l_linestatus || '","returned":"' || l_returnflag || '"}')) AS n FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY l_orderkey),
+p2 AS (SELECT form_id, unnest([struct_pack(field := 'state', value := n.state), struct_pack(field := 'returned', value := n.returned)]) AS f FROM newest),
+a AS (SELECT coalesce(p1.form_id, p2.form_id) AS form_id, coalesce(p1.f.field, p2.f.field) AS field, coalesce(p2.f.value, p1.f.value) AS value FROM p1 FULL JOIN p2 ON p1.form_id = p2.form_id AND p1.f.field = p2.f.field)
+SELECT form_id, CASE WHEN form_id NOT IN (SELECT form_id FROM p2) THEN 'first page only' WHEN form_id NOT IN (SELECT form_id FROM p1) THEN 'second page only' ELSE 'complete' END AS status, field, value FROM a"""

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from glyphledger.functions import catalog, evidence, text, vision
 from glyphledger.operators import escalate, evaluate, generate, matching, pages, readings, register, repair, rules, tiers
 from glyphledger.plans.adapters import adapter
-from glyphledger.sources import files
+from glyphledger.sources import files, shared
+from glyphledger.streaming import pairing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -350,6 +351,31 @@ def merge_pages(spark, sf_dir):
     return files.merge_pages(p1, p2)
 
 
+@query
+def live_merge(spark, sf_dir):
+    """Orders and line items as pages in a stream that stops and goes on from its checkpoint; each form as it went out last.
+
+    Each line item is the second page anew; pages arrive in order of their kind and number. The first run leaves forms with
+    one page waiting; a later time mark, in a folder of its own, lets them go in the second run.
+    """
+    base = spark.createDataFrame([], pairing.PAGE)
+    marks = shared.folder(spark)
+    written = lambda df, mode: df.coalesce(1).write.mode(mode).parquet(marks)
+    written(base, "overwrite")
+    at = lambda seconds: F.timestamp_seconds(F.lit(1_700_000_000) + seconds)
+    stream = lambda name: spark.readStream.schema(_table(spark, sf_dir, name).schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}.parquet*")
+    first = stream("orders").where("o_orderkey % 7 > 0").select(c("o_orderkey").cast("string").alias("form_id"), F.lit(1).alias("page"), at(F.lit(0)).alias("arrived"), F.create_map(F.lit("total"), c("o_orderpriority"), F.lit("state"), c("o_orderstatus")).alias("fields"))
+    second = stream("lineitem").where("l_orderkey % 3 > 0").select(c("l_orderkey").cast("string").alias("form_id"), F.lit(2).alias("page"), at(c("l_linenumber")).alias("arrived"), F.create_map(F.lit("state"), c("l_linestatus"), F.lit("returned"), c("l_returnflag")).alias("fields"))
+    out, state = shared.folder(spark), shared.folder(spark)
+    for mark in (None, 86_400):
+        if mark:
+            written(spark.range(1).select(F.lit(None).cast("string").alias("form_id"), F.lit(None).cast("int").alias("page"), at(F.lit(mark)).alias("arrived"), F.lit(None).cast("map<string,string>").alias("fields")), "append")
+        pages = first.unionByName(second).unionByName(spark.readStream.schema(pairing.PAGE).parquet(marks))
+        pairing.start(pairing.live_forms(pages), out, state).awaitTermination()
+    forms = pairing.latest(spark, out)
+    return forms.select(c("form_id").cast("long").alias("form_id"), "status", F.explode("fields").alias("field", "value"))
+
+
 @query
 def pair_files(spark, sf_dir):
     """Orders as first pages; line items make a label (required) and a second page (optional)."""

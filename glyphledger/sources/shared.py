@@ -5,21 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table under spark.checkpoint.dir: made once, and there for a retry after a lost executor.
+def folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which the driver and all executors see.
 
     Where the setting is missing, a local session gets a folder of its own; on a cluster that is an error, as each machine
     would write to its own disk.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/glyphledger-tables"
-    path = f"{base}/{uuid.uuid4().hex}"
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in a shared folder: made once, and there for a retry after a lost executor."""
+    path = folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
