@@ -410,7 +410,8 @@ def drop_near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY) ->
     A null id comes after all others. Classes are of texts, so rows that share an id, or have none, stand for themselves.
     """
     _, named = _named(docs, similarity, BANDS, ROWS)
-    kept = named.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull(), "least_id", "tid")).alias("k")).select(F.col("k.tid").alias("_kept_tid"), F.col("k.least_id").alias("_kept"))
-    keyed = docs.select("*", _tid("_tid"))
-    first = keyed.join(kept, (F.col("_tid") == F.col("_kept_tid")) & keyed["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    return first.dropDuplicates(["_tid"]).select(*docs.columns)
+    tid, kept_tid, kept_id = (C.unused(name, docs.columns) for name in ("_tid", "_kept_tid", "_kept"))
+    kept = named.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull(), "least_id", "tid")).alias("k")).select(F.col("k.tid").alias(kept_tid), F.col("k.least_id").alias(kept_id))
+    keyed = docs.select("*", _tid(tid))
+    first = keyed.join(kept, (F.col(tid) == F.col(kept_tid)) & keyed["doc_id"].eqNullSafe(F.col(kept_id)), "left_semi")
+    return first.dropDuplicates([tid]).select(*docs.columns)

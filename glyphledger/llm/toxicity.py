@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphledger.llm.common import checkpoint, discard
+from glyphledger.llm.common import checkpoint, discard, unused
 
 #: Characters that look like ASCII letters.
 HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ѵ": "v", "ԝ": "w", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɡ": "g"}
@@ -171,7 +171,7 @@ def match(model: dict, exceptions: tuple[str, ...] = EXCEPTIONS):
 
 
 def score(docs: DataFrame, model: dict, *, text: str = "text", to: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1; empty and null texts get the score of a text without terms."""
+    """docs with a score from 0 to 1; empty and null texts get the score of a text without terms. A column of its name is replaced."""
     base = math.log(model["prior"] / (1 - model["prior"]))
     hits = match(model)(fold(F.col(text)))
     return docs.withColumn(to, 1 / (1 + F.exp(-(F.lit(base + model["bias"]) + F.lit(model["gain"]) * hits))))
@@ -179,4 +179,5 @@ def score(docs: DataFrame, model: dict, *, text: str = "text", to: str = "score"
 
 def drop_toxic(docs: DataFrame, model: dict, *, threshold: float = 0.5) -> DataFrame:
     """docs without those that score `threshold` or more."""
-    return score(docs, model, to="_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    to = unused("_toxicity", docs.columns)
+    return score(docs, model, to=to).where(F.col(to) < threshold).drop(to)

@@ -181,6 +181,13 @@ def test_near_duplicates_null_and_repeated_ids(spark):
     assert {r.text: r.doc_id for r in kept}[text("a")] == 3 and {r.text: r.doc_id for r in kept}[text("t")] == 1
 
 
+def test_near_duplicates_with_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 1, 2, "x"), (2, "a b c d e f", 3, 4, "y"), (3, "g h", 5, 6, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _TID int, _kept int, _kept_tid string")
+    kept = dart_minhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
 def test_near_duplicates_beyond_the_leader(spark, monkeypatch):
     """A chain of texts, each alike to its next two only: links that no leader has."""
     base, other = ([f"{mark}{i}" for i in range(200)] for mark in "xy")

@@ -53,7 +53,10 @@ def test_toxicity_learns_terms(spark):
     auto = toxicity.match(model, exceptions=("villain biscuit",))
     spared = docs.where("doc_id = 903").select(auto(toxicity.fold(F.col("text"))).alias("raw")).first().raw
     assert spared == 0
-    assert toxicity.drop_toxic(docs, model).columns == docs.columns
+    clashing = docs.withColumns({"_Toxicity": F.lit("mine"), "score": F.lit(7)})
+    left = toxicity.drop_toxic(clashing, model)
+    assert left.columns == clashing.columns and {(r["_Toxicity"], r.score) for r in left.collect()} == {("mine", 7)}
+    assert 0 < left.count() < docs.count()
     none = toxicity.learn(docs, labels.limit(0), F.lit(True))
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.5}
 
