@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphledger.llm import cube_mix, dart_minhash, decontaminate, suffix_dedup, toxicity
-from glyphledger.llm.common import checkpoint, crc_mod5, read
+from glyphledger.llm.common import checkpoint, crc_mod5, discard, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of the documents table: each stage's result is written to the shared folder and read by the next."""
-    docs = read(spark, sf_dir, "documents")
+    """The mix of the documents table: each stage's result is written to the shared folder and read by the next,
+    after which it is deleted."""
+    docs, before = read(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = checkpoint(stage(spark, docs, sf_dir))
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
