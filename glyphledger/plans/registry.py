@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphledger.functions import catalog, evidence, text, vision
-from glyphledger.operators import escalate, evaluate, generate, matching, pages, readings, register, repair, rules, tiers
+from glyphledger.operators import align, descriptors, escalate, evaluate, generate, matching, pages, readings, register, repair, rules, tiers
 from glyphledger.plans.adapters import adapter
 from glyphledger.sources import files, shared
 from glyphledger.streaming import pairing
@@ -450,6 +450,51 @@ def match_guard(spark, sf_dir):
     return matching.enough(matching.good_matches(matching.two_nearest(rows, rows), 0.97), 3)
 
 
+def _words(vector, flipped=()):
+    """Four words of bits of 64 numbers each, by four levels; in the first, the bits of some places are turned."""
+    word = lambda t: F.aggregate(vector, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > t, 1).otherwise(0).cast("long")))
+    first, *rest = map(word, (-0.1, -0.03, 0.03, 0.1))
+    for place in flipped:
+        first = first.bitwiseXOR(F.expr(f"shiftleft(1L, CAST(63 - ({place}) AS INT))"))
+    return F.array(first, *rest)
+
+
+@query
+def descriptor_knn(spark, sf_dir):
+    """The two nearest of every vector among all others, by 256 bits."""
+    rows = _table(spark, sf_dir, "embeddings").select(F.lit(0).alias("image"), c("vec_id").alias("id"), _words(c("embedding")).alias("bits"))
+    return descriptors.two_nearest(rows, rows).select("q_id", "s_id", c("d").cast("long").alias("d"), "rank")
+
+
+def _features(spark, sf_dir):
+    """Features of templates, 64 to an image, and of photos of them: good ones, ambiguous ones, misplaced ones, hardly any."""
+    k, m = c("vec_id"), F.expr("vec_id div 64")
+    x, y = (k * 37 % 101).cast("double"), (k * 53 % 89).cast("double")
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", m.alias("image"), "embedding", x.alias("u"), y.alias("v"))
+    template = rows.select("image", c("vec_id").alias("id"), c("u").alias("x"), c("v").alias("y"), _words(c("embedding")).alias("bits"))
+    odd = c("image") % 4 == 2
+    at_x = F.when(odd, (k * k * 7919 % 997).cast("double")).otherwise(c("u") * 1.1 + 3 + F.when(k % 5 == 0, 40.0).otherwise(0.0))
+    at_y = F.when(odd, (k * k * 104729 % 991).cast("double")).otherwise(c("v") * 0.9 - 2)
+    photo = rows.where("image % 4 <> 3 OR vec_id % 64 < 8").select("image", c("vec_id").alias("id"), at_x.alias("x"), at_y.alias("y"), _words(c("embedding"), ("vec_id % 64", "(vec_id + 21) % 64", "(vec_id + 42) % 64")).alias("bits"))
+    twice = photo.where("image % 4 = 1 AND id % 3 > 0").withColumn("id", c("id") + 1_000_000_000)
+    return template, photo.unionByName(twice)
+
+
+@query
+def align_status(spark, sf_dir):
+    """How photos align with their templates, and the pairs that agree with the map."""
+    fits = align.fit(*_features(spark, sf_dir))
+    return fits.select("image", "status", "matches", F.when(c("status") == "aligned", c("inliers")).alias("inliers"), F.round(F.get("h", 0), 6).alias("scale_x"), F.round(F.get("h", 5), 4).alias("shift_y"))
+
+
+@query
+def aligned_pages(spark, sf_dir):
+    """Every small image as a page: aligned where the features of its number are, else resized with the reason."""
+    small = _images(spark, sf_dir).select((c("page_id") % 16).alias("of"), "page_id", "w", "h", "pixels")
+    made = align.align_pages(small.groupBy(c("of").alias("page_id")).agg(F.min("w").alias("w"), F.min("h").alias("h"), F.min_by("pixels", "page_id").alias("pixels")), *_features(spark, sf_dir), width=12, height=10)
+    return made.select("page_id", "w", "h", F.length("pixels").cast("long").alias("n"), "status", "reason")
+
+
 @query
 def round_robin(spark, sf_dir):
     """Row i in key order goes to pool place i mod 3; the keys have gaps."""
