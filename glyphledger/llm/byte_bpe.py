@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from glyphledger.llm.common import BLOCK_BYTES, blocks
 
 #: Pieces that a task remembers (twice as many at most), and up to how many characters each.
-REMEMBERED, REMEMBERED_CHARS = 1 << 17, 48
+REMEMBERED, REMEMBERED_CHARS = 1 << 18, 48
 #: From so many bytes on, lists of numbers are kept in four bytes each.
 LONG = 1 << 20
 #: Ids are kept in so many bits where two of them make a key.
@@ -188,7 +188,8 @@ class Pieces:
         """The ids of each text, which is a list of pieces."""
         if len(self.known) >= REMEMBERED:
             self.known, self.before = {}, self.known
-        known, missing = self.known, list(dict.fromkeys(piece for pieces in texts for piece in pieces if piece not in self.known))
+        known = self.known
+        missing = set().union(*texts).difference(known)
         new = [piece for piece in missing if piece not in self.before]
         known.update((piece, self.before[piece]) for piece in missing if piece in self.before)
         known.update(zip(new, self.encode(new), strict=True))
