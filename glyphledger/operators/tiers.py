@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from glyphledger.functions.alike import ratios
 from glyphledger.functions.evidence import THRESHOLDS
 from glyphledger.functions.text import ALPHABET, key_upper
 from glyphledger.operators.readings import needs_cleaner
@@ -19,10 +20,8 @@ SUGGEST, ADOPT = 0.4, 0.5
 
 @F.pandas_udf(DoubleType())
 def _ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    from difflib import SequenceMatcher
-
     for a, b in pairs:
-        yield pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+        yield pd.Series(ratios(a.fillna("").tolist(), b.fillna("").tolist()))
 
 
 def similarity(a: Column, b: Column) -> Column:

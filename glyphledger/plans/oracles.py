@@ -250,3 +250,20 @@ SELECT image, status, matches, CASE WHEN status = 'aligned' THEN inliers END AS
 SQL["aligned_pages"] = f"""
 WITH p AS (SELECT DISTINCT vec_id % 16 AS page_id FROM embeddings)
 SELECT page_id, 12 AS w, 10 AS h, CAST(120 AS BIGINT) AS n, CASE WHEN status = 'aligned' THEN 'aligned' ELSE 'resized' END AS status, CASE WHEN status IS NULL THEN 'no match' WHEN status <> 'aligned' THEN status END AS reason FROM p LEFT JOIN {_FITS} AS f ON p.page_id = f.image"""
+
+#: Common blocks of each pair: the longest one (earliest in x, then in y), then what is left and right of it.
+_RATIOS = """
+(WITH RECURSIVE block(a, b, x, y, n) AS (
+   SELECT DISTINCT a, b, a, b, 0 FROM {pairs} AS p
+   UNION ALL
+   SELECT a, b, s.x, s.y, s.n FROM (
+     SELECT a, b, unnest([struct_pack(x := substr(x, 1, i - 1), y := substr(y, 1, j - 1), n := best.n), struct_pack(x := substr(x, i + best.n), y := substr(y, j + best.n), n := 0)]) AS s FROM (
+       SELECT *, -best.at AS i, instr(y, substr(x, -best.at, best.n)) AS j FROM (
+         SELECT a, b, x, y, list_max(list_filter(flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(range(1, length(x) - i + 2), lambda n: struct_pack(n := n, at := -i)))), lambda c: contains(y, substr(x, -c.at, c.n)))) AS best
+         FROM block WHERE x <> '' AND y <> '') AS f
+       WHERE best IS NOT NULL) AS g) AS h)
+ SELECT a, b, CASE WHEN a = '' AND b = '' THEN 1.0 ELSE 2 * CAST(sum(n) AS DOUBLE) / (length(a) + length(b)) END AS ratio FROM block GROUP BY a, b)"""
+_PAIRS = f"(SELECT p_partkey, noisy, p_name, upper({_key('noisy')}) AS a, upper({_key('p_name')}) AS b FROM {NAMES} AS t)"
+_ALIKE = f"(SELECT p.*, r.ratio FROM {_PAIRS} AS p JOIN {_RATIOS.format(pairs=_PAIRS)} AS r ON p.a = r.a AND p.b = r.b)"
+SQL["similarity_ratio"] = f"SELECT p_partkey, ratio FROM {_ALIKE} AS t"
+SQL["revalidate_text"] = f"SELECT p_partkey, trim(noisy, ' ') <> '' AND regexp_full_match(trim(noisy, ' '), '[{ALPHABET} ]+') AND length(trim(noisy, ' ')) <= greatest(length(p_name) + 4, floor(length(p_name) * CAST(1.6 AS DOUBLE))) AND ratio >= 0.5 AS ok FROM {_ALIKE} AS t"
