@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The letters that block-letter fields may hold.
 ALPHABET = "aábäcčdďeéfghiíjklĺľmnňoóôpqrŕsštťuúvwxyýzžAÁBÄCČDĎEÉFGHIÍJKLĹĽMNŇOÓÔPQRŔSŠTŤUÚVWXYÝZŽ"
-#: Accented lower-case letters and their bases.
-ACCENTED = "áàâäãåāčçćďéèêëěēíìîïīľĺłňñńóòôöõőōŕřšśťúùûüůűūýÿžźż"
-BASES = "aaaaaaacccdeeeeeeiiiiilllnnnooooooorrsstuuuuuuuyyzzz"
 #: Marks that recognition reads for the decimal point.
 POINT_LIKE = "，,：:"
 
@@ -33,9 +33,43 @@ def normalize_id(s: Column) -> Column:
     return F.when(bare, F.concat(F.left(kept, F.lit(6)), F.lit("/"), F.right(kept, F.lit(4)))).otherwise(kept)
 
 
+@cache
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """(characters with one base and then all marks, their bases, characters with several bases) of the basic plane.
+
+    Decomposition is canonical; syllables of Hangul, which follow a rule, are not among them.
+    """
+    one, bases, marks, several = [], [], [], {}
+    for code in [*range(0x80, 0xAC00), *range(0xE000, 0x10000)]:
+        char = chr(code)
+        base = "".join(x for x in unicodedata.normalize("NFD", char) if unicodedata.category(x) != "Mn")
+        if not base:
+            marks.append(char)
+        elif len(base) > 1:
+            several[char] = base
+        elif base != char:
+            one.append(char)
+            bases.append(base)
+    return "".join(one + marks), "".join(bases), several
+
+
+def strip_marks(s: Column) -> Column:
+    """Characters decomposed into their bases; marks go. (Spacing marks stay, in the order that the text has.)"""
+    one, bases, several = _decomposed()
+    out = F.translate(s, one, bases)
+    place = F.ascii  # of one character, its code point
+    syllable = lambda ch: place(ch) - 0xAC00
+    jamo = lambda start, n, at: F.substring(F.lit("".join(map(chr, range(start, start + n)))), at.cast("int") + 1, F.lit(1))
+    lead, vowel, tail = (lambda ch: F.floor(syllable(ch) / 588)), (lambda ch: F.floor(syllable(ch) % 588 / 28)), (lambda ch: syllable(ch) % 28)
+    hangul = lambda ch: F.concat(jamo(0x1100, 19, lead(ch)), jamo(0x1161, 21, vowel(ch)), F.when(tail(ch) == 0, "").otherwise(jamo(0x11A8, 27, tail(ch) - 1)))
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    each = F.transform(F.split(out, ""), lambda ch: F.when(place(ch).between(0xAC00, 0xD7A3), hangul(ch)).otherwise(F.coalesce(F.element_at(table, ch), ch)))
+    return F.when(F.rlike(out, F.lit(f"[\uac00-\ud7a3{''.join(several)}]")), F.array_join(each, "")).otherwise(out)
+
+
 def fold(s: Column) -> Column:
     """Lower case without accents."""
-    return F.translate(F.lower(s), ACCENTED, BASES)
+    return strip_marks(F.lower(s))
 
 
 def key_lower(s: Column) -> Column:
@@ -65,14 +99,25 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 
 def contains_within_one_edit(word: Column, text: Column) -> Column:
-    """Whether the word, or a window of its length or one more or less that is one edit away, is in the text."""
-    n, m = F.length(word), F.length(text)
-
-    def windows(size: Column) -> Column:
-        starts = F.when((size >= 0) & (m >= size), F.sequence(F.lit(1), m - size + 1)).otherwise(F.array().cast("array<int>"))
-        return F.exists(starts, lambda i: within_one_edit(word, F.substring(text, i, size)))
-
-    return F.contains(text, word) | windows(n) | windows(n - 1) | windows(n + 1)
+    """Whether the word, or a window of its length or one more or less that is one edit away, is in the text.
+
+    One edit leaves one half of the word as it is: texts without either half are passed over by a plain search, the others
+    are matched against that half with the other one, edited in any one place, beside it. Words of one letter are in any text.
+    """
+    n = F.length(word)
+    left, right = F.substring(word, F.lit(1), F.floor(n / 2).cast("int")), F.substring(word, F.floor(n / 2).cast("int") + 1, n)
+    quoted = lambda s: F.regexp_replace(s, r"([\\^$.|?*+()\[\]{}&~#\-])", r"\\$1")
+    cut = lambda s, i, j: quoted(F.substring(s, i + 1, j - i))
+
+    def edited(s: Column) -> Column:
+        """A letter replaced, left out, or put in before another."""
+        size = F.length(s)
+        each = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+        ways = F.transform(each, lambda i: F.concat(cut(s, F.lit(0), i), F.lit("(?:.?"), cut(s, i + 1, size), F.lit("|."), cut(s, i, size), F.lit(")")))
+        return F.concat(F.lit("(?:"), F.array_join(ways, "|"), F.lit(")"))
+
+    pattern = F.concat(F.lit("(?s)"), quoted(left), edited(right), F.lit("|"), edited(left), quoted(right))
+    return F.contains(text, word) | ((F.contains(text, left) | F.contains(text, right)) & F.rlike(text, pattern))
 
 
 def text_agrees(truth: Column, read: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glyphledger.functions.text import ACCENTED, ALPHABET, BASES
+from glyphledger.functions.text import ALPHABET
 from glyphledger.plans.adapters import adapter_sql
 
 SQL: dict[str, str] = {}
@@ -26,7 +26,7 @@ def _id(x: str) -> str:
 
 
 def _fold(x: str) -> str:
-    return f"translate(lower({x}), '{ACCENTED}', '{BASES}')"
+    return f"strip_accents(lower({x}))"
 
 
 def _key(x: str) -> str:
@@ -267,3 +267,11 @@ _PAIRS = f"(SELECT p_partkey, noisy, p_name, upper({_key('noisy')}) AS a, upper(
 _ALIKE = f"(SELECT p.*, r.ratio FROM {_PAIRS} AS p JOIN {_RATIOS.format(pairs=_PAIRS)} AS r ON p.a = r.a AND p.b = r.b)"
 SQL["similarity_ratio"] = f"SELECT p_partkey, ratio FROM {_ALIKE} AS t"
 SQL["revalidate_text"] = f"SELECT p_partkey, trim(noisy, ' ') <> '' AND regexp_full_match(trim(noisy, ' '), '[{ALPHABET} ]+') AND length(trim(noisy, ' ')) <= greatest(length(p_name) + 4, floor(length(p_name) * CAST(1.6 AS DOUBLE))) AND ratio >= 0.5 AS ok FROM {_ALIKE} AS t"
+#: The parts of a word that an edit leaves, and the letters between them: a text has all of one way in a row.
+SQL["fuzzy_in_documents"] = """
+WITH p AS (SELECT doc_id, text, substr(text, 41, 9) AS piece FROM documents),
+q AS (SELECT doc_id, text, piece, substr(piece, 1, 2) || '#' || substr(piece, 4, 6) AS once FROM p),
+w AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN once WHEN 1 THEN substr(once, 1, 6) || '+' || substr(once, 7, 3) ELSE substr(piece, 1, 4) || substr(piece, 6, 4) END AS word FROM q),
+e AS (SELECT doc_id, text, word, [regexp_escape(substr(word, 1, i)) || g || regexp_escape(substr(word, i + k)) FOR i IN range(0, length(word) + 1)] AS ways FROM w, (VALUES ('.', 1), ('.', 2), ('', 2)) AS v(g, k))
+SELECT doc_id, length(any_value(word)) < 2 OR bool_or(regexp_matches(text, array_to_string(ways, '|'), 's')) AS inside FROM e WHERE text IS NOT NULL GROUP BY doc_id, text UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL"""
+SQL["fold_documents"] = "SELECT doc_id, sha256(strip_accents(lower(text))) AS folded FROM documents"

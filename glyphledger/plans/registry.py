@@ -57,6 +57,25 @@ def alphabet_filter(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", text.keep_alphabet(c("text")).alias("kept"))
 
 
+def _searched(spark, sf_dir):
+    """A piece of each document with one or two of its letters changed, which may be in it all the same."""
+    piece = F.substring(c("text"), 41, 9)
+    once = F.concat(F.substring(piece, 1, 2), F.lit("#"), F.substring(piece, 4, 6))
+    word = F.when(c("doc_id") % 3 == 0, once).when(c("doc_id") % 3 == 1, F.concat(F.substring(once, 1, 6), F.lit("+"), F.substring(once, 7, 3))).otherwise(F.concat(F.substring(piece, 1, 4), F.substring(piece, 6, 4)))
+    return _table(spark, sf_dir, "documents").select("doc_id", "text", word.alias("word"))
+
+
+@query
+def fuzzy_in_documents(spark, sf_dir):
+    """Whole documents searched for a word within one edit."""
+    return _searched(spark, sf_dir).select("doc_id", text.contains_within_one_edit(c("word"), c("text")).alias("inside"))
+
+
+@query
+def fold_documents(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.fold(c("text")), 256).alias("folded"))
+
+
 @query
 def truncate_money(spark, sf_dir):
     amount = c("l_extendedprice").cast("decimal(18,2)") * F.lit("0.134").cast("decimal(4,3)")
