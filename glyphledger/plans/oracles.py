@@ -275,3 +275,7 @@ w AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN once WHEN 1 THEN substr(o
 e AS (SELECT doc_id, text, word, [regexp_escape(substr(word, 1, i)) || g || regexp_escape(substr(word, i + k)) FOR i IN range(0, length(word) + 1)] AS ways FROM w, (VALUES ('.', 1), ('.', 2), ('', 2)) AS v(g, k))
 SELECT doc_id, length(any_value(word)) < 2 OR bool_or(regexp_matches(text, array_to_string(ways, '|'), 's')) AS inside FROM e WHERE text IS NOT NULL GROUP BY doc_id, text UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL"""
 SQL["fold_documents"] = "SELECT doc_id, sha256(strip_accents(lower(text))) AS folded FROM documents"
+_HEX = "list_transform(embedding, lambda x: printf('%02X', CAST(floor(least(greatest(CAST(x AS DOUBLE) + 0.5, CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE)) * 255) AS INT)))"
+SQL["samples_on_disk"] = f"""
+SELECT vec_id, CAST(vec_id AS VARCHAR) AS row_01, vec_id % 5 = 0 AS broken, vec_id % 3 > 0 AS two, sha256(unhex(array_to_string({_HEX}, ''))) AS p1_sha,
+       CASE WHEN vec_id % 3 > 0 THEN sha256(unhex(array_to_string(list_reverse({_HEX}), ''))) END AS p2_sha FROM embeddings"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from glyphledger.functions import catalog, evidence, text, vision
 from glyphledger.operators import align, descriptors, escalate, evaluate, generate, matching, pages, readings, register, repair, rules, tiers
 from glyphledger.plans.adapters import adapter
-from glyphledger.sources import files, shared
+from glyphledger.sources import files, sample_files, shared
 from glyphledger.streaming import pairing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -635,6 +635,21 @@ def comb_strip(spark, sf_dir):
     return vision.read_strips(pages, _mean_reader)
 
 
+@query
+def samples_on_disk(spark, sf_dir):
+    """Every small image as a form of two pages with its document, written as files and read back from them."""
+    rows = _images(spark, sf_dir).select("w", "h", "pixels", c("page_id").cast("string").alias("name"), (c("page_id") % 3 > 0).alias("two"))
+    document = F.to_json(F.struct(c("name").alias("sample_id"), F.when(c("name") % 5 == 0, True).alias("_is_broken"), F.create_map(F.lit("row_01"), "name").alias("ground_truth")))
+    path = shared.folder(spark)
+    other = F.when(c("two"), F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.hex("pixels"), F.lit(".."), F.lit(0))), "")))
+    sample_files.write_sample_files(rows.select("name", files.as_png("w", "h", "pixels").alias("p1"), files.as_png("w", "h", other).alias("p2"), document.alias("document")), path)
+    told = files.read_samples(spark, f"{path}/part-*/*.json").select(c("sample_id").alias("name"), "_is_broken", c("ground_truth")["row_01"].alias("row_01"))
+    seen = files.decode_pages(spark, f"{path}/part-*").select(F.regexp_extract("name", "^(.*)_p[12]$", 1).alias("name"), F.regexp_extract("name", "_p([12])$", 1).alias("page"), F.sha2("pixels", 256).alias("sha"))
+    both = seen.groupBy("name").agg(*[F.max(F.when(c("page") == p, c("sha"))).alias(f"p{p}_sha") for p in "12"])
+    stems = files.read_pages(spark, f"{path}/part-*").select(c("stem").alias("name"), c("p2").isNotNull().alias("two"))
+    return told.join(both, "name").join(stems, "name").select(c("name").cast("long").alias("vec_id"), "row_01", c("_is_broken").alias("broken"), "two", "p1_sha", "p2_sha")
+
+
 def _mean_reader(strip):
     """Stands in for a recogniser: a strip's size and its mean tone."""
     return f"{strip.shape[1]}x{strip.shape[0]}", float(strip.mean()) / 255

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from glyphledger.functions.evidence import aspect_off
 
@@ -146,8 +148,6 @@ def read_template(spark: SparkSession, path: str) -> DataFrame:
 
 def write_pages(pages: DataFrame, path: str) -> None:
     """Pages (page_id, w, h, pixels) as PNG images, in a table (page_id, content) that read_pages's bytes have the form of."""
-    import pandas as pd
-
     kind = dict(pages.dtypes)["page_id"]
 
     def run(batches):
@@ -157,6 +157,12 @@ def write_pages(pages: DataFrame, path: str) -> None:
     pages.select("page_id", "w", "h", "pixels").mapInPandas(run, f"page_id {kind}, content binary").write.mode("overwrite").parquet(path)
 
 
+@F.pandas_udf(BinaryType())
+def as_png(w: pd.Series, h: pd.Series, pixels: pd.Series) -> pd.Series:
+    """Grey pixels by row as a PNG image; null where there are none."""
+    return pd.Series([None if x is None else _png(int(a), int(b), x) for a, b, x in zip(w, h, pixels, strict=True)], dtype=object)
+
+
 def _png(w: int, h: int, pixels: bytes) -> bytes:
     """A grey image: a header, the rows (each unfiltered), an end, and the checksum of every part."""
     import struct
