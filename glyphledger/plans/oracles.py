@@ -279,3 +279,17 @@ _HEX = "list_transform(embedding, lambda x: printf('%02X', CAST(floor(least(grea
 SQL["samples_on_disk"] = f"""
 SELECT vec_id, CAST(vec_id AS VARCHAR) AS row_01, vec_id % 5 = 0 AS broken, vec_id % 3 > 0 AS two, sha256(unhex(array_to_string({_HEX}, ''))) AS p1_sha,
        CASE WHEN vec_id % 3 > 0 THEN sha256(unhex(array_to_string(list_reverse({_HEX}), ''))) END AS p2_sha FROM embeddings"""
+_SHIFTED = f"list_transform(range(0, 64), lambda i: CASE WHEN i % 8 >= 2 AND i >= 8 THEN ({_HEX})[i - 9] ELSE 'FF' END)"
+SQL["warp_page"] = f"SELECT vec_id AS page_id, sha256(unhex(array_to_string({_SHIFTED}, ''))) AS sha FROM embeddings"
+SQL["resize_canvas"] = "SELECT vec_id AS page_id, 16 AS w, 12 AS h, CAST(16 * 12 AS BIGINT) AS n FROM embeddings"
+SQL["homography_fit"] = "SELECT vec_id // 64 AS image, count(*) FILTER (vec_id % 7 <> 0) AS inliers, CAST(1.1 AS DOUBLE) AS scale_x, CAST(3 AS DOUBLE) AS shift_x FROM embeddings GROUP BY vec_id // 64"
+SQL["answer_document"] = f"""
+WITH i AS (SELECT form_id, string_agg(rule, '|' ORDER BY rule_ord, rule) AS rules FROM {_ISSUES} AS t GROUP BY form_id),
+r AS (SELECT form_id, person_id, tax_year, i.rules, CASE WHEN form_id % 9 = 0 THEN 'page 2 is not shaped like the form' END AS warned FROM {RECORDS} AS r LEFT JOIN i USING (form_id))
+SELECT form_id, person_id, coalesce(tax_year, '') AS tax_year, round_even(CAST(form_id % 1000 AS DOUBLE) / 1024, 3) AS sure, CAST(0.7 AS DOUBLE) AS needed, CASE WHEN form_id % 5 > 0 AND form_id % 4 = 0 THEN 'old -> ' || person_id END AS repair,
+       CASE WHEN form_id % 3 = 0 THEN 'STREET ' || form_id END AS suggestion, 'cleaner' AS source, concat_ws('|', warned, rules) AS issues, CASE WHEN form_id % 6 = 0 THEN 'street' ELSE '' END AS flagged, CASE WHEN form_id % 6 = 0 THEN 'unsure|unlisted' END AS reasons
+FROM r"""
+SQL["readings_in_catalog"] = f"""
+WITH m AS (SELECT l_orderkey AS form_id, 'row_0' || l_linenumber AS field FROM {MONEY} AS a UNION ALL SELECT k, 'person_id' FROM {IDS} AS b UNION ALL SELECT k, 'birth_date' FROM {DATES} AS d UNION ALL SELECT p_partkey, 'street' FROM {NAMES} AS e),
+t AS (SELECT *, CAST((form_id * 7 + length(field)) % 100 AS DOUBLE) / 100 AS confidence, CASE WHEN field = 'street' THEN 0.7 ELSE 0.8 END AS threshold FROM m)
+SELECT field, 1 AS page, CASE WHEN field = 'street' THEN 'text' ELSE 'numeric' END AS class, CASE WHEN field = 'street' THEN 'semi-open' END AS tier, CAST(min(threshold) AS DOUBLE) AS threshold, count(*) AS n, count(*) FILTER (confidence < CAST(threshold AS DOUBLE)) AS below FROM t GROUP BY field"""

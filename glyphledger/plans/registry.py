@@ -595,6 +595,29 @@ def result_json(spark, sf_dir):
     return body.select("form_id", F.get_json_object("body", "$.fields.person_id").alias("person_id"), F.get_json_object("body", "$.confidences.person_id").cast("double").alias("confidence"), F.size(F.from_json(F.get_json_object("body", "$.issues"), "array<string>")).cast("long").alias("n_issues"))
 
 
+@query
+def answer_document(spark, sf_dir):
+    """The whole answer of each record, parsed again: values, thresholds, repairs, suggestions, doubts, warnings before rules."""
+    records = _records(spark, sf_dir)
+    k, cat = c("form_id"), F.broadcast(catalog.field_catalog(spark).select("field", "threshold"))
+    value = F.explode(F.create_map(F.lit("person_id"), c("person_id"), F.lit("street"), F.concat(F.lit("street "), k.cast("string")), F.lit("tax_year"), c("tax_year"))).alias("field", "value")
+    rows = records.select("form_id", value).withColumns({"confidence": (k % 1000).cast("double") / 1024, "repaired": F.when((k % 5 > 0) & (c("field") == "person_id") & (k % 4 == 0), "old"), "suggestion": F.when((c("field") == "street") & (k % 3 == 0), F.upper("value")).otherwise(""), "source": F.when(c("field") == "street", "cleaner")})
+    flags = records.where("form_id % 6 = 0").select("form_id", F.lit("street").alias("field"), F.array(F.lit("unsure"), F.lit("unlisted")).alias("reasons"))
+    warnings = records.select("form_id", F.lit(2).alias("page"), F.when(k % 9 == 0, "page 2 is not shaped like the form").alias("warning"))
+    body = files.answer_documents(rows.join(cat, "field"), rules.issues(records), flags, warnings)
+    get = lambda path: F.get_json_object("body", path)
+    several = lambda path: F.array_join(F.from_json(get(path), "array<string>"), "|")
+    return body.select("form_id", get("$.fields.person_id").alias("person_id"), get("$.fields.tax_year").alias("tax_year"), get("$.confidences.street").cast("double").alias("sure"), get("$.thresholds.street").cast("double").alias("needed"), get("$.disambiguated.person_id").alias("repair"), get("$.suggestions.street").alias("suggestion"), get("$.second_check.street").alias("source"), several("$.validation_issues").alias("issues"), several("$.flagged_fields").alias("flagged"), several("$.field_reasons.street").alias("reasons"))
+
+
+@query
+def readings_in_catalog(spark, sf_dir):
+    """Readings of all kinds by what the form says of their fields, and how many are below what their class needs."""
+    cat = F.broadcast(catalog.field_catalog(spark).drop("kind"))
+    rows = _readings(spark, sf_dir).withColumn("confidence", ((c("form_id") * 7 + F.length("field")) % 100).cast("double") / 100).join(cat, "field")
+    return rows.groupBy("field", "page", "class", "tier").agg(F.min("threshold").alias("threshold"), F.count("*").alias("n"), F.count_if(c("confidence") < c("threshold")).alias("below"))
+
+
 @query
 def base64_image(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select("c_custkey", files.as_base64(c("c_name").cast("binary")).alias("b64"))
