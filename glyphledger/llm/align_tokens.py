@@ -32,7 +32,7 @@ from glyphledger.llm.common import blocks, checkpoint
 #: Up to so many pairs of ids the table of counts is broadcast (some 60 MB); a larger one is joined by shuffling the links.
 MAX_BROADCAST = 1 << 20
 #: Bytes of text that are one set of DuckDB tables, and memory that these may take before they spill to disk.
-TABLE_BYTES, TABLE_MEMORY = 1 << 20, "400MB"
+TABLE_BYTES, TABLE_MEMORY = 1 << 19, "300MB"
 #: The pattern of byte-level pre-tokenizers, and the sign for a blank in pieces.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLANK_SIGN = "▁"
