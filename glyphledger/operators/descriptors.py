@@ -3,7 +3,9 @@
 A descriptor is a row of 64-bit words. Cut into bands of sixteen bits, two descriptors that differ in fewer bits than there are
 bands share a band; with one bit turned in any band, those share one that differ in fewer than twice as many. So a lookup by band
 settles all queries whose two nearest are that close. Bands that very many descriptors share are left out, and the queries that
-have one stay open. Open queries meet the collection block by block, each pair of blocks in a task that keeps the nearest only.
+have one stay open, as do those that would meet so many descriptors that comparing blocks costs less. Open queries meet the
+collection block by block, each pair of blocks in a task that keeps the nearest only. Bands are many rows for each descriptor and
+look small to Spark as a file does: they are sorted and merged, never broadcast.
 """
 
 from __future__ import annotations
@@ -18,8 +20,12 @@ from glyphledger.sources.shared import written
 BAND_BITS = 16
 #: A band value that more descriptors of an image have isn't looked up.
 HOT = 200
+#: A query that would meet more descriptors in its bands, and more than this share of its image, is left to the blocks.
+LOOKUPS, SHARE = 256, 1000
 #: Descriptors in a block of the exhaustive part.
 BLOCK = 20_000
+#: Pairs that are compared at a time, few enough for a cache.
+CELLS = 1 << 16
 #: The nearest ids that are kept of equal descriptors and of a query: two, and one more that may be the query itself.
 KEPT = 3
 
@@ -60,9 +66,14 @@ def _bands(df: DataFrame, words: int, turned: int) -> DataFrame:
     """A row (band, key) for each band, and for each way to turn so many of its bits (none or one)."""
     cut = [F.shiftrightunsigned(F.get("bits", k), BAND_BITS * j).bitwiseAND(F.lit((1 << BAND_BITS) - 1)) for k in range(words) for j in range(64 // BAND_BITS)]
     rows = df.select("*", F.posexplode(F.array(*cut)).alias("band", "key"))
-    if turned:
-        rows = rows.withColumn("key", F.explode(F.transform(F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(BAND_BITS)]), lambda m: F.col("key").bitwiseXOR(m))))
-    return rows
+    return _turns(rows, turned)
+
+
+def _turns(rows: DataFrame, turned: int) -> DataFrame:
+    """Each row once more for each bit of its key, with that bit turned."""
+    if not turned:
+        return rows
+    return rows.withColumn("key", F.explode(F.transform(F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(BAND_BITS)]), lambda m: F.col("key").bitwiseXOR(m))))
 
 
 def _nearest(candidates: DataFrame) -> DataFrame:
@@ -73,17 +84,20 @@ def _nearest(candidates: DataFrame) -> DataFrame:
 
 def _by_bands(queries: DataFrame, kinds: DataFrame, words: int, turned: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """(nearest of the settled queries, queries left open)."""
-    index = _bands(kinds, words, 0).withColumnRenamed("bits", "s_bits")
-    crowded = written(index.groupBy("image", "band", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("image", "band", "key"))
-    asked = _bands(queries, words, turned)
-    unsure = asked.join(crowded, ["image", "band", "key"], "left_semi").select("image", "bits").distinct()
-    met = asked.join(crowded, ["image", "band", "key"], "left_anti").join(index, ["image", "band", "key"])
-    met = met.select("image", "bits", "s_bits", "ids").distinct()
+    number = ["image", "band", "key"]
+    kinds, queries = kinds.withColumnRenamed("bits", "s_bits"), written(queries.withColumn("q", F.monotonically_increasing_id()))
+    index = _bands(kinds.withColumn("bits", F.col("s_bits")), words, 0).select(*number, "s_bits", "ids")
+    sizes = index.groupBy(number).agg(F.count("*").alias("n"))
+    sizes = _turns(sizes, turned).groupBy(number).agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    of_image = kinds.groupBy("image").agg(F.greatest(F.lit(LOOKUPS), F.count("*") / SHARE).alias("lookups"))
+    load = _bands(queries, words, 0).select("q", *number).join(sizes.hint("merge"), number).groupBy("q", "image").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
+    few = written(load.join(of_image, "image").where((F.col("most") <= hot) & (F.col("n") <= F.col("lookups"))).select("q"))
+    asked = _bands(queries.join(few, "q", "left_semi"), words, turned).select("bits", *number)
+    met = asked.join(index.hint("merge"), number).select("image", "bits", "s_bits", "ids").distinct()
     near = written(_nearest(met.select("image", "bits", distance(F.col("bits"), F.col("s_bits"), words).alias("d"), F.explode("ids").alias("s_id"))))
     bands = words * 64 // BAND_BITS
-    sure = near.where((F.col("n") == KEPT) & (F.col("d") < (turned + 1) * bands)).select("image", "bits")
-    sure = written(sure.join(unsure, ["image", "bits"], "left_anti"))
-    return near.join(sure, ["image", "bits"], "left_semi").select("image", "bits", "d", "s_id"), written(queries.join(sure, ["image", "bits"], "left_anti"))
+    sure = written(near.where((F.col("n") == KEPT) & (F.col("d") < (turned + 1) * bands)).select("image", "bits"))
+    return near.join(sure, ["image", "bits"], "left_semi").select("image", "bits", "d", "s_id"), written(queries.drop("q").join(sure, ["image", "bits"], "left_anti"))
 
 
 def _by_blocks(queries: DataFrame, kinds: DataFrame, words: int, block: int) -> DataFrame:
@@ -100,17 +114,26 @@ def _by_blocks(queries: DataFrame, kinds: DataFrame, words: int, block: int) ->
         if not len(left) or not len(right):
             return pd.DataFrame({"image": [], "bits": [], "d": [], "s_id": []})
         right = right.iloc[np.argsort(np.array([ids[0] for ids in right["ids"]]), kind="stable")]
-        a, b = (np.stack(df["bits"].to_numpy()).astype(np.int64).view(np.uint64) for df in (left, right))
+        a, b = (np.asfortranarray(np.stack(df["bits"].to_numpy()).astype(np.int64).view(np.uint64)) for df in (left, right))
         k, out = min(KEPT, len(b)), []
-        step = max(1, (1 << 21) // len(b))
+        step = max(1, CELLS // len(b))
         for i in range(0, len(a), step):
-            d = np.zeros((len(a[i : i + step]), len(b)), np.int64)
-            for w in range(words):
-                d += np.bitwise_count(a[i : i + step, w, None] ^ b[None, :, w])
-            order = d * len(b) + np.arange(len(b))  # by distance, then by the least id
-            best = np.argpartition(order, k - 1, axis=1)[:, :k]
-            for row, col in zip(np.repeat(np.arange(len(d)), k).tolist(), best.ravel().tolist(), strict=True):
-                out += [(i + row, int(d[row, col]), s_id) for s_id in right["ids"].iat[col]]
+            some = a[i : i + step]
+            order = np.zeros((len(some), len(b)), np.int64)
+            for w in range(0, words, 3):  # counts of three words fit in a byte
+                d = np.bitwise_count(some[:, w, None] ^ b[None, :, w])
+                for v in range(w + 1, min(w + 3, words)):
+                    d += np.bitwise_count(some[:, v, None] ^ b[None, :, v])
+                order += d
+            order *= len(b)
+            order += np.arange(len(b))  # by distance, then by the least id
+            rows = np.arange(len(some))
+            for _ in range(k):
+                least = order.min(axis=1)
+                d, col = np.divmod(least, len(b))
+                order[rows, col] = np.iinfo(np.int64).max
+                for row, far, c in zip(rows.tolist(), d.tolist(), col.tolist(), strict=True):
+                    out += [(i + row, far, s_id) for s_id in right["ids"].iat[c]]
         at, dist, s_id = zip(*out, strict=True)
         return pd.DataFrame({"image": left["image"].iat[0], "bits": left["bits"].to_numpy()[list(at)], "d": dist, "s_id": s_id})
 
