@@ -13,10 +13,10 @@ def reasons(observations: DataFrame, extracted: DataFrame, issues: DataFrame, ca
     fields), catalog (field, kind, threshold). Blank text is never doubted for its confidence alone; a reading without a
     value, or without an extracted row, is.
     """
-    known = catalog.select("field", "kind", "threshold")
+    known = F.broadcast(catalog.select("field", "kind", "threshold"))  # as many rows as a form has fields; a shuffle by field has no more parts
     seen = extracted.join(known, "field")
     blank = F.coalesce(F.trim("value") == "", F.lit(False))
-    low = observations.join(known, "field").join(extracted.select("form_id", "field", "value"), ["form_id", "field"], "left")
+    low = observations.join(known, "field").join(extracted.select("form_id", "field", "value").hint("merge"), ["form_id", "field"], "left")
     low = low.where(~((F.col("kind") != "occupancy") & blank) & (F.col("confidence") < F.col("threshold")))
     low = low.select("form_id", "field", F.lit(1).alias("reason_ord"), F.format_string("low confidence %.2f < %.2f", "confidence", "threshold").alias("reason"))
     unread = seen.where((F.col("kind") == "decimal") & F.col("value").isNotNull() & ~F.col("value").rlike("[0-9]"))

@@ -340,8 +340,9 @@ def _escalation(spark, sf_dir):
     # line items repeat their numbers; a form has one reading of each field
     rows = _readings(spark, sf_dir).groupBy("form_id", "field", "kind").agg(F.min("value").alias("value"))
     cat = catalog.field_catalog(spark)
-    observed = rows.select("form_id", "field", ((c("form_id") * 7 + F.length("field")) % 100).cast("double").alias("h")).select("form_id", "field", (c("h") / 100).alias("confidence"))
-    extracted = rows.select("form_id", "field", text.extracted_value(c("kind"), c("value")).alias("value"))
+    # grouped once, for the confidences and for both uses of the values
+    rows = shared.written(rows.select("form_id", "field", (((c("form_id") * 7 + F.length("field")) % 100).cast("double") / 100).alias("confidence"), text.extracted_value(c("kind"), c("value")).alias("value")))
+    observed, extracted = rows.select("form_id", "field", "confidence"), rows.select("form_id", "field", "value")
     return escalate.reasons(observed, extracted, rules.issues(_records(spark, sf_dir)), cat)
 
 
