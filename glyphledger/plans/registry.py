@@ -606,9 +606,11 @@ def answer_document(spark, sf_dir):
     flags = records.where("form_id % 6 = 0").select("form_id", F.lit("street").alias("field"), F.array(F.lit("unsure"), F.lit("unlisted")).alias("reasons"))
     warnings = records.select("form_id", F.lit(2).alias("page"), F.when(k % 9 == 0, "page 2 is not shaped like the form").alias("warning"))
     body = files.answer_documents(rows.join(cat, "field"), rules.issues(records), flags, warnings)
-    get = lambda path: F.get_json_object("body", path)
-    several = lambda path: F.array_join(F.from_json(get(path), "array<string>"), "|")
-    return body.select("form_id", get("$.fields.person_id").alias("person_id"), get("$.fields.tax_year").alias("tax_year"), get("$.confidences.street").cast("double").alias("sure"), get("$.thresholds.street").cast("double").alias("needed"), get("$.disambiguated.person_id").alias("repair"), get("$.suggestions.street").alias("suggestion"), get("$.second_check.street").alias("source"), several("$.validation_issues").alias("issues"), several("$.flagged_fields").alias("flagged"), several("$.field_reasons.street").alias("reasons"))
+    words, numbers = "map<string,string>", "map<string,double>"
+    parsed = F.from_json("body", f"fields {words}, confidences {numbers}, thresholds {numbers}, disambiguated {words}, suggestions {words}, second_check {words}, validation_issues array<string>, flagged_fields array<string>, field_reasons map<string,array<string>>")
+    get = lambda part, field: F.try_element_at(c(f"b.{part}"), F.lit(field))
+    several = lambda texts: F.array_join(texts, "|")
+    return body.select("form_id", parsed.alias("b")).select("form_id", get("fields", "person_id").alias("person_id"), get("fields", "tax_year").alias("tax_year"), get("confidences", "street").alias("sure"), get("thresholds", "street").alias("needed"), get("disambiguated", "person_id").alias("repair"), get("suggestions", "street").alias("suggestion"), get("second_check", "street").alias("source"), several("b.validation_issues").alias("issues"), several("b.flagged_fields").alias("flagged"), several(get("field_reasons", "street")).alias("reasons"))
 
 
 @query
