@@ -2,7 +2,7 @@
 
 A block of texts is encoded by both tokenizers; the tokens of each are a table of byte intervals. In DuckDB an ASOF join gives
 every A token the first and the last B token that it overlaps, those in between follow by position, and window sums over the
-common ends number the groups. Each block counts for itself in how many of its texts a pair of ids is linked; Spark adds up
+common ends number the groups, in which each token finds its place by bisection. Each block counts for itself in how many of its texts a pair of ids is linked; Spark adds up
 these partial counts, looks them up for each text's links, and does all that crosses blocks.
 
 Tokenizer files are read on the driver (some megabytes) and sent to the executors, which need no copy of them.
@@ -108,8 +108,7 @@ class PieceModel(TokenBytes):
 
 #: Groups end where tokens of both end; the window sum over these places numbers them, and a token is in the group that the
 #: next such place ends.
-_CUTS = "CREATE OR REPLACE TEMP TABLE cuts AS SELECT stop, count(*) OVER (ORDER BY stop ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT stop FROM a JOIN b USING (stop)) AS both_end"
-_GROUPS = "SELECT t.i, cuts.g FROM {side} AS t ASOF JOIN cuts ON t.stop <= cuts.stop"
+_CUTS = "SELECT stop, count(*) OVER (ORDER BY stop ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT stop FROM a JOIN b USING (stop)) AS both_end ORDER BY g"
 #: The first B token that an A token overlaps is the last one that starts no later. Where that ends too early, the last one is
 #: looked for as well, and those in between follow by position.
 _LINKS = """
@@ -139,12 +138,6 @@ def _intervals(ids: list[np.ndarray], docs: list[int], kind: TokenBytes) -> pa.T
     return pa.table({"i": np.arange(len(flat), dtype=np.int32), "doc": np.repeat(np.array(docs, np.int32), [len(x) for x in ids]), "id": flat, "start": stop - kind.length[flat], "stop": stop})
 
 
-def _groups(db: duckdb.DuckDBPyConnection, side: str, n_tokens: int) -> np.ndarray:
-    found, group = db.execute(_GROUPS.format(side=side)).fetchnumpy(), np.zeros(n_tokens, np.int64)
-    group[found["i"]] = found["g"]
-    return group
-
-
 def _written(a: list[np.ndarray], b: list[np.ndarray], group_a: np.ndarray, group_b: np.ndarray, names: list[str]) -> list[str]:
     """`a1,a2|b1;a3|b2,b3` of each text; names has each id followed by a comma, then by a bar, then by a semicolon."""
     group, side = np.concatenate([group_a, group_b]), np.repeat(np.array([0, 1]), [len(group_a), len(group_b)])
@@ -193,10 +186,11 @@ def _aligned(db: duckdb.DuckDBPyConnection, doc_id: pa.Array, texts: list[str],
     groups, links, partial = [""] * len(texts), pa.nulls(len(texts), pa.list_(_LINK)), pa.nulls(len(texts), pa.list_(_PARTIAL))
     if kept:
         a, b = [a[k] for k in kept], [b[k] for k in kept]
-        db.register("a", _intervals(a, kept, a_kind))
-        db.register("b", _intervals(b, kept, b_kind))
-        db.execute(_CUTS)
-        group_a, group_b = _groups(db, "a", n_tokens=sum(map(len, a))), _groups(db, "b", n_tokens=sum(map(len, b)))
+        table_a, table_b = _intervals(a, kept, a_kind), _intervals(b, kept, b_kind)
+        db.register("a", table_a)
+        db.register("b", table_b)
+        cuts = db.execute(_CUTS).fetchnumpy()
+        group_a, group_b = (cuts["g"][np.searchsorted(cuts["stop"], side["stop"].to_numpy())] for side in (table_a, table_b))
         db.execute(_LINKS)
         by_doc, by_pair = (db.sql(sql).to_arrow_table().combine_chunks() for sql in (_BY_DOC, _BY_PAIR))
         n_a[kept], n_b[kept] = [len(x) for x in a], [len(x) for x in b]
