@@ -50,6 +50,14 @@ class TokenBytes:
         ends = np.cumsum(length)
         return self.bytes[np.repeat(self.start[ids] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
+    def spell(self, ids: list[np.ndarray], texts: list[bytes]) -> list[bool]:
+        """Whether the ids of each text are its bytes, looked at together where all have as many bytes as their texts."""
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(self.length[flat])])[np.cumsum([len(x) for x in ids], dtype=np.int64)]
+        if np.array_equal(ends, np.cumsum([len(x) for x in texts])) and self.joined(flat) == b"".join(texts):
+            return [True] * len(ids)
+        return [self.joined(x) == raw for x, raw in zip(ids, texts, strict=True)]
+
 
 class ByteLevel(TokenBytes):
     """A byte-level tokenizer from its JSON; the text gets a blank in front. Special tokens are plain text."""
@@ -181,7 +189,8 @@ def align(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
 def _aligned(db: duckdb.DuckDBPyConnection, doc_id: pa.Array, texts: list[str], a_kind: ByteLevel, b_kind: PieceModel, names: list[str]) -> pa.RecordBatch:
     spelled = [(f" {t}".encode() if t else b"") for t in texts]
     a, b = a_kind.encode(texts), b_kind.encode(texts)
-    kept = [k for k, raw in enumerate(spelled) if raw and a_kind.joined(a[k]) == raw and b_kind.joined(b[k]) == raw]
+    same = [side_kind.spell(side, spelled) for side_kind, side in ((a_kind, a), (b_kind, b))]
+    kept = [k for k, raw in enumerate(spelled) if raw and same[0][k] and same[1][k]]
     n_a, n_b, n_groups, n_links = np.zeros((4, len(texts)), np.int64)
     groups, links, partial = [""] * len(texts), pa.nulls(len(texts), pa.list_(_LINK)), pa.nulls(len(texts), pa.list_(_PARTIAL))
     if kept:

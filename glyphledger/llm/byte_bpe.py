@@ -190,8 +190,13 @@ class Pieces:
             self.known, self.before = {}, self.known
         known = self.known
         missing = set().union(*texts).difference(known)
-        new = [piece for piece in missing if piece not in self.before]
-        known.update((piece, self.before[piece]) for piece in missing if piece in self.before)
+        new, before = [], self.before.get
+        for piece in missing:
+            ids = before(piece)
+            if ids is None:
+                new.append(piece)
+            else:
+                known[piece] = ids
         known.update(zip(new, self.encode(new), strict=True))
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in texts]
         for piece in new:
