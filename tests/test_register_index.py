@@ -94,3 +94,56 @@ def test_few_of_all_pairs():
     assert (best >= 0).all() and compared < 0.05 * len(keys) * len(texts)
     for i in range(3):
         assert (d[i], best[i]) == min((edits(texts[i], k), j) for j, k in enumerate(keys))
+
+
+def test_no_key_farther_than_the_nearest_is_compared():
+    """The distance rises by one: with doubling, texts three edits away from a key met all keys at four."""
+    rng = random.Random(6)
+    keys = sorted({"".join(rng.choice("abcd") for _ in range(9)) for _ in range(4000)})
+    texts = [noisy(rng, "x" * 3 + rng.choice(keys), rng.randint(0, 2), "abcd") for _ in range(40)] + ["y" * 70, rng.choice(keys) + "z" * 60]
+    best, d, compared = nearest(Trie(keys), texts, np.full(len(texts), 5), np.arange(len(keys)))
+    far = [[edits(t, k) for k in keys] for t in texts]
+    want = [min((x, j) for j, x in enumerate(row)) for row in far]
+    assert [(x, j) for x, j in zip(d.tolist(), best.tolist(), strict=True) if j >= 0] == [(x, j) for x, j in want if x <= 5]
+    assert compared == sum(row.count(min(row)) for row in far if min(row) <= 5)
+
+
+@pytest.mark.parametrize("n", [62, 63, 64, 65])
+def test_words_of_bits(n):
+    rng = random.Random(n)
+    key = "".join(rng.choice("ab") for _ in range(n))
+    texts = [noisy(rng, key, 40, "ab")[:n].ljust(n, "b") for _ in range(5)]
+    keys = [key, key[1:], key + "a", key[:30], "", *texts[:2]]
+    got = sorted(zip(*(x.tolist() for x in Trie(keys).within(texts, np.full(5, n + 2))), strict=True))
+    assert got == [(i, k, edits(t, w)) for i, t in enumerate(texts) for k, w in enumerate(keys)]
+
+
+def test_lookups_are_dealt_over_tasks(spark):
+    """Keys to look up are few bytes, which Spark puts into one task."""
+    asked = spark.createDataFrame([("x", f"key{i}", 1) for i in range(40)], "_list string, _key string, reach int").coalesce(1)
+    entries = spark.createDataFrame([("x", f"kay{i}", i, f"kay{i}") for i in range(40)], "_list string, _key string, ord long, entry string")
+    assert register._by_broadcast(asked, entries).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_one_edit(spark):
+    """Exactly the keys that are one edit away, each with the entry of least place among these."""
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abé") for _ in range(rng.randint(0, 5))) for _ in range(150)}, key=lambda _: rng.random())
+    entries, keys = [(rng.choice("xy"), w) for w in words[:60]], [(n, w) for n in "xyz" for w in words[60:]]
+    placed = spark.createDataFrame([(n, w, i, i // 2, w) for i, (n, w) in enumerate(entries)], "_list string, _key string, place long, ord long, entry string")
+    asked = spark.createDataFrame([(*k, i) for i, k in enumerate(keys)], "_list string, _key string, q long")
+    want = [(n, w, 1, i // 2, entries[i][1]) for n, w in keys if (i := next((i for i, (m, e) in enumerate(entries) if m == n and edits(w, e) == 1), None)) is not None]
+    assert len(want) > 30 and sorted(map(tuple, register._one_edit(asked, placed).collect())) == sorted(want)
+
+
+def test_rounds_of_shards(spark, monkeypatch):
+    """Keys far from all entries visit the shards round by round, and the few that are left go all the way."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    entries = [("x", word(20), i) for i in range(60)]
+    said = [(i, "x", noisy(rng, rng.choice(entries)[1], rng.randint(0, 9), "abc")) for i in range(60)] + [(99, "x", word(90))]
+    rows, reg = spark.createDataFrame(said, "k int, list_name string, value string"), spark.createDataFrame(entries, "list_name string, entry string, ord int")
+    want = sorted(map(tuple, register.nearest_entry(rows, reg, key="k").collect()))
+    for few in (0, 100):
+        monkeypatch.setattr(register, "FEW", few)
+        assert sorted(map(tuple, register.nearest_entry(rows, reg, key="k", max_broadcast_bytes=0, shard_entries=9).collect())) == want
