@@ -15,6 +15,7 @@ import os
 import tempfile
 from array import array
 from collections.abc import Iterator
+from itertools import compress
 
 import duckdb
 import numpy as np
@@ -36,6 +37,8 @@ TABLE_BYTES, TABLE_MEMORY = 1 << 19, "300MB"
 #: The pattern of byte-level pre-tokenizers, and the sign for a blank in pieces.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLANK_SIGN = "▁"
+#: New pieces that a tokenizer gets as one text, and what such pieces of the pattern look like.
+RUN, BLANK_AND_MORE = 64, regex.compile(r" \S")
 
 
 class TokenBytes:
@@ -58,6 +61,27 @@ class TokenBytes:
             return [True] * len(ids)
         return [self.joined(x) == raw for x, raw in zip(ids, texts, strict=True)]
 
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as int32."""
+        raise NotImplementedError
+
+    def in_runs(self, pieces: list[str], sign: str) -> list[bytes]:
+        """The ids of each piece, made from runs of RUN pieces with a sign between them: for pieces that no token of a run
+        crosses, if each sign is counted to the piece behind it. Runs that aren't what their tokens spell are made piece by piece."""
+        runs = [pieces[i : i + RUN] for i in range(0, len(pieces), RUN)]
+        ids = [np.frombuffer(x, np.int32) for x in self.whole([sign.join(run) for run in runs])]
+        raw = [[f" {p}".encode() if sign else p.encode() for p in run] for run in runs]
+        out = []
+        for run, made, of, same in zip(runs, ids, raw, self.spell(ids, [b"".join(x) for x in raw]), strict=True):
+            stop, ends = np.cumsum(self.length[made]), np.cumsum([len(x) for x in of])
+            at = np.searchsorted(stop, ends) if same else ends
+            if same and (stop[at] == ends).all():
+                flat, cuts = made.tobytes(), (4 * at + 4).tolist()
+                out += [flat[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
+            else:
+                out += self.whole(run)
+        return out
+
 
 class ByteLevel(TokenBytes):
     """A byte-level tokenizer from its JSON; the text gets a blank in front. Special tokens are plain text."""
@@ -73,11 +97,17 @@ class ByteLevel(TokenBytes):
         # where pieces are encoded one by one anyway, those that come again needn't be
         step = made.get("pre_tokenizer") or {}
         self.by_piece = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space") and not made.get("normalizer")
-        self.pattern, self.pieces = regex.compile(BYTE_LEVEL_PATTERN), Pieces(self.whole)
+        self.pattern, self.pieces = regex.compile(BYTE_LEVEL_PATTERN), Pieces(self.new_pieces)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("i", made.ids).tobytes() for made in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def new_pieces(self, pieces: list[str]) -> list[bytes]:
+        # a blank and no other one: the pattern cuts a run of these as it cut the texts
+        worded = [BLANK_AND_MORE.match(p) is not None for p in pieces]
+        runs, others = iter(self.in_runs(list(compress(pieces, worded)), "")), iter(self.whole([p for p, ok in zip(pieces, worded, strict=True) if not ok]))
+        return [next(runs if ok else others) for ok in worded]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         texts = [f" {t}" for t in texts]
         return [np.frombuffer(ids, np.int32) for ids in (split_ids(texts, self.pattern, self.pieces) if self.by_piece else self.whole(texts))]
@@ -101,7 +131,7 @@ class PieceModel(TokenBytes):
             and not any(BLANK_SIGN in piece.lstrip(BLANK_SIGN) for piece in pieces)
             and not any(piece.type == kinds.USER_DEFINED for piece in made.pieces)
         )
-        self.words = Pieces(self.whole)
+        self.words = Pieces(lambda words: self.in_runs(words, " "))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("i", ids).tobytes() for ids in self.model.encode(texts, num_threads=1)]

@@ -257,3 +257,17 @@ def test_pieces_of_words_are_those_of_texts():
     assert sum("  " not in f" {t} " for t in texts) > 40
     for text, ids in zip(texts, kind.encode(texts), strict=True):
         assert ids.tolist() == kind.model.encode(text), text[:50]
+
+
+@pytest.mark.parametrize("kind,name", [(align_tokens.ByteLevel, "byte_bpe_50k.json"), (align_tokens.PieceModel, "piece_bpe_32k.model")])
+def test_new_pieces_in_runs(monkeypatch, kind, name):
+    """Words that come for the first time are few texts to the tokenizer, and each has the ids that it has alone."""
+    made = kind(byte_bpe.file_bytes(public_tokenizers.path(name)))
+    odd = ["a▁b", "▁", "<s>", "</s>", "<0x41>", "'s", "x's", "́", "١٢٣", "漢字仮名", "ée", "﻿x", "\x00", "a\xa0b", "…", "🙂🙂", "--", "1a2b3c", "a" * 3000]
+    words = odd + ["w" + str(i * 7919 % 10007).translate(str.maketrans("0123456789", "abcdefghij")) for i in range(3000)] + odd[::-1]
+    alone = [byte_bpe.np.frombuffer(x, "i4").tolist() for x in made.whole(words if kind is align_tokens.PieceModel else [f" {w}" for w in words])]
+    asked, whole = [], made.whole
+    monkeypatch.setattr(made, "whole", lambda texts: asked.extend(texts) or whole(texts))
+    got = made.encode([" ".join(words)])[0].tolist()
+    assert got == [i for ids in alone for i in ids]
+    assert len(asked) < len(words) // 4
