@@ -19,6 +19,8 @@ from glyphledger.sources.shared import written
 TOLERANCE, SURE = 0.34, 0.85
 #: A register of up to so many bytes is broadcast as a trie; a larger one is dealt into shards of about so many entries.
 MAX_BROADCAST_BYTES, SHARD_ENTRIES = 32 << 20, 20_000
+#: A register of more bytes is joined by a shuffle: rows sent to all executors go through the driver, at some three times their bytes.
+MAX_SENT_BYTES = 4 << 20
 #: Readings that meet a shard in one task; a shard that more of them visit is copied. Up to so many pairs of a reading and a
 #: shard may meet before it is known whether they have to.
 VISITS, FEW = 50_000, 5_000
@@ -67,15 +69,21 @@ def _tasks(rows: DataFrame, *by: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """rows for a join that deals out both sides. Of a written table Spark knows the size of its files, which hold keys that are
+    alike in few bytes; it would take millions of rows for small and send them through the driver."""
+    return rows.hint("merge")
+
+
 def _by_broadcast(asked: DataFrame, entries: DataFrame) -> DataFrame:
     """The nearest entry of each key (_list, _key, reach), from tries that every executor has."""
     context = asked.sparkSession.sparkContext
-    lists = context.broadcast(entries.toPandas())
+    lists = context.broadcast(entries.toArrow())  # as rows of Python objects they would take many times their bytes on the driver
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tries = None
         for batch in batches:
-            tries = tries or _Lists(lists.value, ["ord", "entry"])
+            tries = tries or _Lists(lists.value.to_pandas(), ["ord", "entry"])
             yield from tries.nearest(batch)
 
     return asked.repartition(context.defaultParallelism, "_key").mapInPandas(run, "_list string, _key string, d int, ord long, entry string")
@@ -98,9 +106,9 @@ def _one_edit(asked: DataFrame, entries: DataFrame) -> DataFrame:
         return rows.select(name, F.explode(F.when(F.col("i") == 0, F.array(hashed(whole, F.col("_key")))).otherwise(F.array(hashed(F.col("i"), cut), hashed(with_cut, cut)))).alias("h"))
 
     have = ways(entries, "place", shorter, longer).groupBy("h").agg(F.min("place").alias("place"))
-    met = ways(asked, "q", longer, shorter).join(have, "h").groupBy("q").agg(F.min("place").alias("place"))
+    met = ways(asked, "q", longer, shorter).join(_shuffled(have), "h").groupBy("q").agg(F.min("place").alias("place"))
     entry = entries.select("place", F.col("_list").alias("its_list"), F.col("_key").alias("its_key"), "ord", "entry")
-    found = asked.join(met, "q").join(entry, "place").where((F.col("_list") == F.col("its_list")) & (F.levenshtein("_key", "its_key") == 1))
+    found = asked.join(_shuffled(met), "q").join(_shuffled(entry), "place").where((F.col("_list") == F.col("its_list")) & (F.levenshtein("_key", "its_key") == 1))
     return found.select("_list", "_key", F.lit(1).alias("d"), "ord", "entry")
 
 
@@ -154,9 +162,9 @@ def _by_shards(asked: DataFrame, entries: DataFrame, n_entries: int, shard_entri
         there = sharded.join(asked_for, ["_list", "shard"]).select(*group, "_key", "place")
         met = _tasks(dealt, *group).groupBy(group).cogroup(_tasks(there, *group).groupBy(group)).applyInPandas(meet, "_list string, _key string, d int, place long")
         met = met.groupBy("_list", "_key").agg(F.min(F.struct("d", "place")).alias("b")).select("_list", "_key", "b.*")
-        return written(met.join(placed.select("place", "ord", "entry"), "place").select("_list", "_key", "d", "ord", "entry"))
+        return written(met.join(_shuffled(placed.select("place", "ord", "entry")), "place").select("_list", "_key", "d", "ord", "entry"))
 
-    least, open_ = 2, asked.select("_list", "_key", "reach").where("reach > 1").join(best, ["_list", "_key"], "left_anti")
+    least, open_ = 2, asked.select("_list", "_key", "reach").where("reach > 1").join(_shuffled(best), ["_list", "_key"], "left_anti")
     while True:
         open_ = written(open_)
         n_open, farthest = open_.agg(F.count("*"), F.max("reach")).first()
@@ -165,7 +173,7 @@ def _by_shards(asked: DataFrame, entries: DataFrame, n_entries: int, shard_entri
         reach = farthest if n_open * len(ends) <= FEW else least + least // 4
         found = look(open_.withColumn("reach", F.least("reach", F.lit(reach))), least)
         best = best.unionByName(found)
-        least, open_ = reach + 1, open_.where(F.col("reach") > reach).join(found, ["_list", "_key"], "left_anti")
+        least, open_ = reach + 1, open_.where(F.col("reach") > reach).join(_shuffled(found), ["_list", "_key"], "left_anti")
 
 
 def nearest_entry(readings: DataFrame, register: DataFrame, *, key: str, value: str = "value", list_name: str = "list_name", max_broadcast_bytes: int = MAX_BROADCAST_BYTES, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
@@ -181,10 +189,11 @@ def nearest_entry(readings: DataFrame, register: DataFrame, *, key: str, value:
     entries = written(entries.groupBy("_list", "_key").agg(F.min("e").alias("e")).select("_list", "_key", F.col("e.ord").cast("long").alias("ord"), "e.entry"))
     n_entries, n_bytes = entries.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_key") + F.octet_length("entry") + 16), F.lit(0))).first()
     rows = readings.withColumns({"_list": F.col(list_name), "_key": key_lower(F.trim(F.coalesce(value, F.lit(""))))})
-    rows = rows.join(entries.select("_list", "_key", F.col("entry").alias("_exact")), ["_list", "_key"], "left")
+    exact = entries.select("_list", "_key", F.col("entry").alias("_exact"))
+    rows = rows.join(exact if n_bytes <= MAX_SENT_BYTES else _shuffled(exact), ["_list", "_key"], "left")
     asked = rows.where(F.col("_exact").isNull() & F.col("_list").isNotNull() & (F.col("_key") != "")).select("_list", "_key").distinct()
     asked = asked.withColumn("reach", F.pandas_udf(_reach, "int")(F.length("_key")))
-    best = _by_broadcast(asked, entries) if n_bytes <= max_broadcast_bytes else _by_shards(asked, entries, n_entries, shard_entries)
+    best = _by_broadcast(asked, entries) if n_bytes <= max_broadcast_bytes else _shuffled(_by_shards(asked, entries, n_entries, shard_entries))
     best = best.select("_list", "_key", F.struct("d", "ord", "entry", F.length(key_lower(F.col("entry"))).alias("n")).alias("_best"))
     longest = F.greatest(F.length("_key"), F.col("_best.n"))
     near = F.col("_best.d") <= F.greatest(F.lit(1), F.floor(longest * TOLERANCE))

@@ -147,3 +147,22 @@ def test_rounds_of_shards(spark, monkeypatch):
     for few in (0, 100):
         monkeypatch.setattr(register, "FEW", few)
         assert sorted(map(tuple, register.nearest_entry(rows, reg, key="k", max_broadcast_bytes=0, shard_entries=9).collect())) == want
+
+
+def test_large_tables_do_not_pass_through_the_driver(spark, monkeypatch):
+    """Files of keys that are all alike are small, however many they are: no join of a large register sends a side to all tasks."""
+    n = 2000
+    placed = register.written(spark.range(n).selectExpr("'x' AS _list", "lpad(string(id), 9, 'k') AS _key", "id AS place", "id AS ord", "lpad(string(id), 9, 'k') AS entry"))
+    asked = register.written(spark.range(n).selectExpr("'x' AS _list", "lpad(string(id * 3), 10, 'k') AS _key", "id AS q", "3 AS reach"))
+    rows = spark.range(n).selectExpr("id AS k", "'x' AS list_name", "lpad(string(id * 3), 10, 'k') AS value")
+    reg = placed.select(placed["_list"].alias("list_name"), "entry", "ord")
+    monkeypatch.setattr(register, "MAX_SENT_BYTES", 0, raising=False)
+    for df in (register._one_edit(asked, placed), register.nearest_entry(rows, reg, key="k", max_broadcast_bytes=0, shard_entries=500)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_register_reaches_the_driver_as_arrow(spark, monkeypatch):
+    entries = spark.createDataFrame([("x", "kay", 1, "Kay"), ("x", "kai", None, "Kai")], "_list string, _key string, ord long, entry string")
+    asked = spark.createDataFrame([("x", "key", 1)], "_list string, _key string, reach int")
+    monkeypatch.setattr(type(entries), "toPandas", None)
+    assert [tuple(r) for r in register._by_broadcast(asked, entries).collect()] == [("x", "key", 1, 1, "Kay")]
